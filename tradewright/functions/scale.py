@@ -97,11 +97,13 @@ def weighted_median(value: Column | str, freq: Column | str) -> Column:
     return F.percentile(value, F.lit(0.5), freq)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, salt_by: Sequence[str], how: str = "inner",
+              salts: int = 16) -> DataFrame:
     """Equi-join for a key one value of which may hold a large share of `left`.
 
     `right` is repeated `salts` times; use it when `right` is unique (or nearly) per key.
+    The salt is a hash of row columns, so a recomputed task sends every row to the same place.
     """
-    l = left.withColumn("_salt", (F.rand(17) * salts).cast("int"))
+    l = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [key, "_salt"], how).drop("_salt")

@@ -53,7 +53,7 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
 
     def need(text: str, seen=()):
         for name in defs:
-            if name not in order and name not in seen and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+            if name not in order and name not in seen and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
                 need(defs[name], (*seen, name))
                 order.append(name)
 

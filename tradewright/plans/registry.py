@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tradewright.plans.oracle import with_views
 from tradewright.sources.canonical import Tables
 
-AREAS = ("ingestion", "dashboard", "margins", "supply", "receivables", "panels", "evaluation",
-         "forecasts", "recommendation", "documents", "actions")
+AREAS = ("dashboard", "ingestion")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _checks: dict[str, str] = {}
