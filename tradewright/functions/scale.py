@@ -94,7 +94,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFr
 
 def weighted_median(value: Column | str, freq: Column | str) -> Column:
     """Exact median from (value, frequency) rows."""
-    return F.percentile(value, F.lit(0.5), freq)
+    return F.percentile(value, F.lit(0.5), F.col(freq) if isinstance(freq, str) else freq)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, salt_by: Sequence[str], how: str = "inner",
