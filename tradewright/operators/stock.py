@@ -167,7 +167,7 @@ def annual_demand(mart: DataFrame) -> DataFrame:
 def customer_product_demand(mart: DataFrame, names: DataFrame) -> DataFrame:
     n = names.filter("customer_name is not null and trim(customer_name) <> ''").groupBy("customer").agg(F.max("customer_name").alias("customer_name"))
     return mart.filter("qty > 0 and trim(label) <> ''").join(n, "customer").select(
-        "customer", "customer_name", "label", "qty", F.round("revenue", 4).alias("revenue"), "n_years", F.round(R.ratio(F.col("revenue"), F.col("qty")), 8).alias("unit_price"))
+        "customer", "customer_name", "label", "qty", F.round("revenue", 4).alias("revenue"), "n_years", F.round(R.ratio(F.col("revenue"), F.col("qty")) + 1e-9, 6).alias("unit_price"))
 
 
 def policy_parameters(demand: DataFrame, kind: Column) -> DataFrame:

@@ -42,8 +42,14 @@ VIEWS = {
         CAST(ts AS DATE) AS created,
         CASE WHEN event_id % 3 <> 0 THEN CAST(ts AS DATE) + CAST(ceil((event_id % 240) / 24.0) AS INTEGER) END AS closed,
         CASE WHEN event_id % 3 <> 0 THEN (event_id % 240) / 24.0::DOUBLE END AS lead_days FROM events""",
+    "imported": """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('FV-', o_orderkey) WHEN 1 THEN concat('fv 000', o_orderkey) WHEN 2 THEN concat('X', o_orderkey * 7) END AS number,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'sale' ELSE 'purchase' END AS side, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey % 97 END AS party,
+        CASE WHEN o_orderkey % 50 <> 9 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 AS INTEGER) END AS date, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + 45 END AS due,
+        round(o_totalprice + (o_orderkey % 9 - 4) * 250.0::DOUBLE, 2) AS ttc, CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice + (o_orderkey % 9 - 4) * 250.0::DOUBLE, 2) - 1 END AS net,
+        CASE WHEN o_orderkey % 6 = 0 THEN 'matched' WHEN o_orderkey % 11 = 0 THEN 'probable_duplicate' ELSE 'unmatched' END AS recon_status,
+        CASE WHEN o_orderkey % 8 = 0 THEN CAST(o_orderdate AS DATE) END AS settled,
+        sha256(CAST(o_orderkey - CASE WHEN o_orderkey % 30 = 29 THEN 1 ELSE 0 END AS VARCHAR)) AS file_sha256 FROM orders""",
 }
-NEEDS = {"lines": ("products",)}
 
 
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:

@@ -150,8 +150,8 @@ q("p9_movement_flags", lambda t: stock.movement_flags(buys(t)), """
   SELECT stock_flag AS flag, count(*) AS lines, count(*) FILTER (label LIKE 'contrat%') AS services, count(DISTINCT label) AS labels,
     round(count(*) FILTER (label LIKE 'contrat%') * 100.0 / count(*), 2) AS service_pct FROM buys GROUP BY 1""")
 q("p9_movement_flag", lambda t: stock.movement_flag(buys(t)), "SELECT f AS flag FROM chosen")
-q("p10_c3_stock_flow", lambda t: flow(t).withColumns({x: F.round(x, 7) for x in ("amount_in", "amount_out", "unit_cost", "monthly_use")}), """
-  SELECT * REPLACE (round(amount_in, 7) AS amount_in, round(amount_out, 7) AS amount_out, round(unit_cost, 7) AS unit_cost, round(monthly_use, 7) AS monthly_use) FROM flow""")
+q("p10_c3_stock_flow", lambda t: flow(t).withColumns({x: F.round(c(x) + 1e-9, 6) for x in ("amount_in", "amount_out", "unit_cost", "monthly_use")}), """
+  SELECT * REPLACE (round(amount_in + 1e-9, 6) AS amount_in, round(amount_out + 1e-9, 6) AS amount_out, round(unit_cost + 1e-9, 6) AS unit_cost, round(monthly_use + 1e-9, 6) AS monthly_use) FROM flow""")
 q("p11_flow_summary", lambda t: stock.flow_summary(flow(t)), """
   SELECT count(*) AS products, count(*) FILTER (matched) AS matched, count(*) FILTER (is_service) AS services, count(*) FILTER (position > 0 AND NOT is_service) AS positive,
     count(*) FILTER (position < 0 AND NOT is_service) AS negative, round(sum(position * unit_cost) FILTER (position > 0 AND NOT is_service), 2) AS immobilised_value,
@@ -182,8 +182,8 @@ q("p14_h3_threshold_sensitivity", lambda t: stock.threshold_sensitivity(with_ope
   SELECT t AS threshold, count(*) AS products, round(sum(loss), 2) AS loss, count(*) FILTER (r <= 10 AND key IN (SELECT key FROM ref)) AS common_with_served,
     round(count(*) FILTER (r <= 10 AND key IN (SELECT key FROM ref)) * 100.0 / (SELECT count(*) FROM ref), 6) AS common_pct FROM k GROUP BY 1""")
 q("p15_c8_f6_monthly_positions", lambda t: stock.monthly_positions(buys(t), outs(t)).select(
-    "key", "month", F.round("unit_cost", 7).alias("unit_cost"), "qty_in", "qty_out", "cum_in", "cum_out", "position", "month_rank"), """
-  SELECT key, month, round(unit_cost, 7) AS unit_cost, qty_in, qty_out, cum_in, cum_out, position, month_rank FROM months WHERE cum_in > 0""")
+    "key", "month", F.round(c("unit_cost") + 1e-9, 6).alias("unit_cost"), "qty_in", "qty_out", "cum_in", "cum_out", "position", "month_rank"), """
+  SELECT key, month, round(unit_cost + 1e-9, 6) AS unit_cost, qty_in, qty_out, cum_in, cum_out, position, month_rank FROM months WHERE cum_in > 0""")
 
 # ------------------------------------------------------------ snapshot
 q("p16_snapshot_kpis", lambda t: stock.snapshot_kpis(snapshot(t)), """
@@ -226,7 +226,7 @@ q("p19_annual_demand", lambda t: stock.annual_demand(star.mart_sales_product(out
   SELECT label, sum(q) AS qty, round(avg(q), 4) AS mean_qty, round(coalesce(stddev_samp(q), 0), 4) AS std_qty, count(*) AS n_years, max(year) AS last_year, round(sum(r) / sum(q), 4) AS unit_price
   FROM y GROUP BY 1 HAVING avg(q) >= 1""")
 q("p20_customer_product_demand", lambda t: stock.customer_product_demand(star.mart_demand_customer_product(t.sales_lines), t.customers), """
-  SELECT customer, customer_name, label, qty, round(r, 4) AS revenue, n_years, round(r / qty, 8) AS unit_price FROM (SELECT customer, label, sum(qty) AS qty, sum(amount) AS r,
+  SELECT customer, customer_name, label, qty, round(r, 4) AS revenue, n_years, round(r / qty + 1e-9, 6) AS unit_price FROM (SELECT customer, label, sum(qty) AS qty, sum(amount) AS r,
     count(DISTINCT year(date)) AS n_years FROM lines GROUP BY 1, 2 HAVING sum(qty) > 0) JOIN customers USING (customer)""")
 
 

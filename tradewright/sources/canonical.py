@@ -142,3 +142,18 @@ class Tables:
             (n % 2 == 0).alias("automatic"), F.to_date("ts").alias("created"),
             F.when(status == "closed", F.date_add(F.to_date("ts"), F.ceil(lead).cast("int"))).alias("closed"),
             F.when(status == "closed", lead).alias("lead_days"))
+
+    @cached_property
+    def imported(self) -> DataFrame:
+        """Scanned invoices: every document re-read with the usual reading errors and missing fields."""
+        k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+        number = (F.when(k % 5 == 0, F.concat(F.lit("FV-"), k.cast("string"))).when(k % 5 == 1, F.concat(F.lit("fv 000"), k.cast("string")))
+                  .when(k % 5 == 2, F.concat(F.lit("X"), (k * 7).cast("string"))))
+        ttc = F.round(F.col("o_totalprice") + (k % 9 - 4) * 250.0, 2)
+        party = F.when(k % 2 == 0, F.col("o_custkey")).otherwise(k % 97)
+        return self.raw("orders").select(
+            k.alias("id"), number.alias("number"), F.when(k % 2 == 0, "sale").otherwise("purchase").alias("side"), party.alias("party"),
+            F.when(k % 50 == 9, F.lit(None)).otherwise(F.date_add(day, (k % 7).cast("int"))).alias("date"),
+            F.when(k % 3 != 0, F.date_add(day, 45)).alias("due"), ttc.alias("ttc"), F.when(k % 4 != 0, ttc - 1).alias("net"),
+            F.when(k % 6 == 0, "matched").when(k % 11 == 0, "probable_duplicate").otherwise("unmatched").alias("recon_status"),
+            F.when(k % 8 == 0, day).alias("settled"), F.sha2((k - F.when(k % 30 == 29, 1).otherwise(0)).cast("string"), 256).alias("file_sha256"))
