@@ -165,7 +165,7 @@ def maturity_correlation(book: DataFrame, h: int = 1) -> DataFrame:
     z = book.groupBy("due_m").agg(F.sum("amount").alias("z"))
     w = Window.partitionBy(F.lit(0)).orderBy("due_m").rangeBetween(-2, 0)
     level = z.select(F.col("due_m").alias("origin"), F.avg(F.when(F.col("z") > 0, F.col("z"))).over(w).alias("level"))
-    m = maturity(book, [h]).filter(F.col("rate").isNotNull()).join(level, "origin").filter("level is not null")
+    m = maturity(book, [h]).filter(F.col("rate").isNotNull()).withColumn("rate", F.round("rate", 9)).join(level, "origin").filter("level is not null")
     a = average_ranks(m, "rate").withColumnRenamed("avg_rank", "ra")
     b = average_ranks(m, "level").withColumnRenamed("avg_rank", "rb")
     return m.join(a, "rate").join(b, "level").agg(F.round(F.corr("ra", "rb"), 6).alias("spearman_level"))
@@ -253,7 +253,7 @@ def linear_projection(monthly: DataFrame, key: str, horizon: int = 3, points: in
     x = x.withColumn("x", F.row_number().over(k.orderBy("m")) - 1)
     fit = x.groupBy(key).agg(F.regr_slope("value", "x").alias("a"), F.regr_intercept("value", "x").alias("b"), F.count(F.lit(1)).alias("n"), F.max("m").alias("last")).filter("n >= 3")
     return fit.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).select(
-        key, "h", (F.col("last") + F.col("h")).alias("m"), F.round(F.greatest(F.lit(0.0), F.col("a") * (F.col("n") - 1 + F.col("h")) + F.col("b")), 2).alias("forecast"))
+        key, "h", (F.col("last") + F.col("h")).alias("m"), F.greatest(F.lit(0.0), F.col("a") * (F.col("n") - 1 + F.col("h")) + F.col("b")).alias("forecast"))
 
 
 # ---------------------------------------------------------------- imported invoices

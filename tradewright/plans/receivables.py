@@ -88,11 +88,11 @@ q("r7_damped_forecast", lambda t: rec.damped_seasonal_forecast(rec.clean_series(
     FROM f CROSS JOIN (SELECT unnest(range(1, 7)) AS h) JOIN q ON q.mode = f.mode AND q.s = (29 + h) % 12 JOIN v ON v.mode = f.mode), i AS (SELECT *, exp(zh * sd + mu) - 1 AS c FROM p)
   SELECT mode, h, m, round(greatest(0, c), 0) AS forecast, round(greatest(0, least(exp((zh - 1.96 * v) * sd + mu) - 1, 0.6 * c)), 0) AS lower, round(greatest(c, least(exp((zh + 1.96 * v) * sd + mu) - 1, 1.7 * c)), 0) AS upper FROM i""")
 q("r9_linear_projection", lambda t: rec.linear_projection(t.sales.groupBy("customer", R.month_index(c("date")).alias("m")).agg(F.sum("ttc").alias("value")), "customer").select(
-    "customer", "h", "m", F.round(c("forecast"), 2).alias("forecast")), f"""
+    "customer", "h", "m", F.round(c("forecast") + 1e-6, 2).alias("forecast")), f"""
   WITH s AS (SELECT customer, {MI.format('date')} AS m, sum(ttc) AS v FROM sales GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY m DESC) AS rn FROM s),
   y AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY m) - 1 AS i FROM x WHERE rn <= 12),
   f AS (SELECT customer, regr_slope(v, i) AS a, regr_intercept(v, i) AS b, count(*) AS n, max(m) AS la FROM y GROUP BY 1 HAVING count(*) >= 3)
-  SELECT customer, h, la + h AS m, round(greatest(0, a * (n - 1 + h) + b), 2) AS forecast FROM f, (SELECT unnest([1, 2, 3]) AS h)""")
+  SELECT customer, h, la + h AS m, round(greatest(0, a * (n - 1 + h) + b) + 1e-6, 2) AS forecast FROM f, (SELECT unnest([1, 2, 3]) AS h)""")
 AS_OF = dt.date(1999, 6, 30)
 
 
@@ -128,7 +128,7 @@ q("r10_maturity_estimators", lambda t: rec.maturity_estimators(book(t)), """
     (SELECT CASE WHEN count(*) >= 2 THEN median(rate) END FROM m y WHERE y.i < m.i AND y.due_m % 12 = m.due_m % 12) AS s, (SELECT median(rate) FROM m y WHERE y.i BETWEEN m.i - 6 AND m.i - 1) AS six FROM m WHERE i > 12)
   SELECT round(avg(abs(g - rate)), 6) AS global_error, round(avg(abs(coalesce(s, g) - rate)), 6) AS same_month_error, round(avg(abs(six - rate)), 6) AS last_six_error FROM x""")
 q("r10_maturity_correlation", lambda t: rec.maturity_correlation(book(t)), """
-  WITH m AS (SELECT rate, (SELECT avg(total) FROM tot WHERE tot.due_m BETWEEN origin - 2 AND origin) AS level FROM mat WHERE h = 1 AND rate IS NOT NULL AND origin IN (SELECT due_m FROM tot)),
+  WITH m AS (SELECT round(rate, 9) AS rate, (SELECT avg(total) FROM tot WHERE tot.due_m BETWEEN origin - 2 AND origin) AS level FROM mat WHERE h = 1 AND rate IS NOT NULL AND origin IN (SELECT due_m FROM tot)),
   r AS (SELECT rank() OVER (ORDER BY rate) + (count(*) OVER (PARTITION BY rate) - 1) / 2.0 AS a, rank() OVER (ORDER BY level) + (count(*) OVER (PARTITION BY level) - 1) / 2.0 AS b FROM m)
   SELECT round(corr(a, b), 6) AS spearman_level FROM r""")
 q("r10_delay_in_months", lambda t: rec.delay_in_months(book(t)), """

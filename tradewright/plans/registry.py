@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tradewright.plans.oracle import with_views
 from tradewright.sources.canonical import Tables
 
-AREAS = ("dashboard", "ingestion", "margins", "supply", "receivables")
+AREAS = ("dashboard", "ingestion", "margins", "supply", "receivables", "panels")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _checks: dict[str, str] = {}
