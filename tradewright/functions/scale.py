@@ -78,18 +78,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFr
     Works on the ranked distinct values, so no task ever holds the column.
     """
     ranked = running_totals(distinct_values(df.filter(F.col(value).isNotNull()), value), value, ["n"])
-    wanted = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
-    pos = F.col("p") * (F.col("n_total") - 1)
+    wanted = df.sparkSession.createDataFrame([(float(p),) for p in probs], "_prob double")
+    pos = F.col("_prob") * (F.col("n_total") - 1)
     lo, hi = F.floor(pos), F.ceil(pos)
     inside = lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
     # a handful of probabilities, attached to every distinct value without a join
-    exploded = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    hits = exploded.filter(inside(lo) | inside(hi)).groupBy("p").agg(
+    exploded = ranked.withColumn("_prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    hits = exploded.filter(inside(lo) | inside(hi)).groupBy("_prob").agg(
         F.max(F.when(inside(lo), F.col(value))).alias("vlo"),
         F.max(F.when(inside(hi), F.col(value))).alias("vhi"),
         F.max(pos - lo).alias("frac"))
-    return wanted.join(hits, "p", "left").select(
-        "p", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("quantile"))
+    return wanted.join(hits, "_prob", "left").select(
+        F.col("_prob").alias("p"), (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("quantile"))
 
 
 def weighted_median(value: Column | str, freq: Column | str) -> Column:

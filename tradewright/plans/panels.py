@@ -20,7 +20,7 @@ V = {
     "days": """SELECT customer, date, count(*) AS n, sum(ttc) AS ttc FROM sales WHERE NOT is_credit GROUP BY 1, 2""",
     "dgap": """SELECT *, avg(gap) OVER w AS gm, stddev_pop(gap) OVER w AS gs, avg(ttc) OVER w AS bk FROM (SELECT *, datediff('day', lag(date) OVER (PARTITION BY customer ORDER BY date), date) AS gap FROM days)
         WINDOW w AS (PARTITION BY customer ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
-    "churn": """SELECT customer, t AS obs_date, datediff('day', ld, t)::DOUBLE AS recency_days, datediff('day', fd, t)::DOUBLE AS age_days, f3::DOUBLE AS freq_3m, f6::DOUBLE AS freq_6m, f12::DOUBLE AS freq_12m,
+    "churn": """SELECT o.customer, t AS obs_date, datediff('day', ld, t)::DOUBLE AS recency_days, datediff('day', fd, t)::DOUBLE AS age_days, f3::DOUBLE AS freq_3m, f6::DOUBLE AS freq_6m, f12::DOUBLE AS freq_12m,
         r3 AS rev_3m, r6 AS rev_6m, r12 AS rev_12m, ln(1 + greatest(r12, 0)) AS log_rev_12m, CASE WHEN rp > 0 THEN least(r3 / rp, 10) WHEN r3 > 0 THEN 2 ELSE 0 END AS revenue_trend,
         CASE WHEN np > 0 THEN least(f3 / np, 10) WHEN f3 > 0 THEN 2 ELSE 0 END AS frequency_trend, coalesce(gm, 365) AS gap_mean, coalesce(gs, 0) AS gap_std,
         CASE WHEN coalesce(gm, 365) > 0 THEN datediff('day', ld, t) / coalesce(gm, 365) ELSE 0 END AS recency_gap_ratio, bk AS mean_basket, month(t)::DOUBLE AS month_no, CAST(nx = 0 AS INTEGER) AS y

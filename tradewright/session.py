@@ -28,5 +28,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tradewright-ckpt-"))
     return df.checkpoint(eager=True)
