@@ -177,11 +177,11 @@ def top_n_precision(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     return t.join(p, key).agg((F.count(F.lit(1)) / F.lit(float(n))).alias("top_n_precision"))
 
 
-def list_metrics(ranked: DataFrame, k: int = 10) -> DataFrame:
-    """HitRate, precision, recall, NDCG and MAP at k per customer, from (customer, item, y, rank) rows, rank from 1."""
+def list_metrics(ranked: DataFrame, positives: DataFrame, k: int = 10) -> DataFrame:
+    """HitRate, precision, recall, NDCG and MAP at k per customer, from (customer, item, rank) lists and (customer, item) positives."""
     c = F.col
-    npos = ranked.groupBy("customer").agg(F.sum("y").alias("npos")).filter("npos > 0")
-    top = ranked.filter(c("rank") <= k).join(npos, "customer")
+    npos = positives.groupBy("customer").agg(F.count(F.lit(1)).alias("npos"))
+    top = ranked.filter(c("rank") <= k).join(positives.withColumn("y", F.lit(1)), ["customer", "item"], "left").fillna(0, ["y"]).join(npos, "customer")
     w = Window.partitionBy("customer").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)    # k rows
     top = top.withColumns({"gain": c("y") / F.log2(c("rank") + 1), "prec": F.sum("y").over(w) / c("rank")})
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.max("npos"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tradewright.plans.oracle import with_views
 from tradewright.sources.canonical import Tables
 
-AREAS = ("dashboard", "ingestion", "margins", "supply", "receivables", "panels", "evaluation", "forecasts")
+AREAS = ("dashboard", "ingestion", "margins", "supply", "receivables", "panels", "evaluation", "forecasts", "recommendation", "documents",
+         "actions")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _checks: dict[str, str] = {}
