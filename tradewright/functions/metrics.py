@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.functions import rules as R
-from tradewright.functions.scale import exact_quantiles, running_totals, scalar
+from tradewright.functions.scale import exact_quantiles, range_buckets, running_totals, scalar
+from tradewright.session import cut_lineage
 
 
 def score_table(df: DataFrame, y: str = "y", score: str = "p") -> DataFrame:
@@ -87,8 +88,7 @@ def one_variable_baselines(df: DataFrame, directions: dict[str, int], y: str = "
 
 def grouped_auc(table: DataFrame, key: str, buckets: int = 200) -> DataFrame:
     """AUC per group from (key, p, pos, neg) rows: ranks within score buckets, offsets from bucket totals."""
-    from tradewright.functions.scale import range_buckets
-    b = range_buckets(table, "p", buckets=buckets)
+    b = range_buckets(cut_lineage(table), "p", buckets=buckets)
     tot = b.groupBy(key, "_bucket").agg(F.sum("neg").alias("bn"))
     off = tot.withColumn("off", F.coalesce(F.sum("bn").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bn")
     w = Window.partitionBy(key, "_bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,9 +123,8 @@ def calibration_error(groups: DataFrame) -> DataFrame:
 
 def ordered_position(df: DataFrame, order: Sequence[str], descending: bool = False) -> DataFrame:
     """1-based position of every row in a total order led by a numeric column, without a global window."""
-    from tradewright.functions.scale import range_buckets
     lead = order[0]
-    b = range_buckets(df.withColumn("_v", F.col(lead).cast("double")), "_v")
+    b = range_buckets(cut_lineage(df).withColumn("_v", F.col(lead).cast("double")), "_v")
     d = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     tot = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("bn"))
     off = tot.select("_bucket", F.coalesce(F.sum("bn").over(Window.orderBy(d("_bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),

@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewright.session import cut_lineage
+
 BUCKETS = 200
 
 
@@ -42,9 +44,10 @@ def range_buckets(df: DataFrame, value: str, out: str = "_bucket", buckets: int
 def running_totals(df: DataFrame, value: str, measures: Sequence[str], descending: bool = False) -> DataFrame:
     """Exclusive running totals of `measures` over rows ordered by a *distinct* numeric `value`.
 
-    Adds `<m>_before` and `<m>_total`. Each window partition is one range bucket.
+    Adds `<m>_before` and `<m>_total`. Each window partition is one range bucket. The rows are checkpointed
+    first, because they are read for the bucket bounds, the totals and the ranks.
     """
-    b = range_buckets(df.withColumn("_v", F.col(value).cast("double")), "_v")
+    b = range_buckets(cut_lineage(df).withColumn("_v", F.col(value).cast("double")), "_v")
     order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     inner_order = F.col("_v").desc() if descending else F.col("_v").asc()
     per_bucket = b.groupBy("_bucket").agg(*[F.sum(m).alias(f"_{m}") for m in measures])

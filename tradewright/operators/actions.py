@@ -71,7 +71,7 @@ def stakes(items: DataFrame, conversion: dict[str, float] = CONVERSION) -> DataF
     """Identified and recoverable amount per item and customer under the declared conversion rates."""
     rate = _lookup(F.col("item"), conversion, 0.0)
     return items.filter("amount > 0").groupBy("item", "customer").agg(F.sum("amount").alias("a")).select(
-        "item", "customer", F.round("a", 4).alias("identified"), F.round(F.col("a") * rate, 4).alias("recoverable"))
+        "item", "customer", F.round("a", 4).alias("identified"), F.round(F.col("a") * rate, 8).alias("recoverable"))
 
 
 def stake_totals(s: DataFrame) -> DataFrame:

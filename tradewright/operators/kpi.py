@@ -423,6 +423,10 @@ def public_recovery(sales: DataFrame, names: DataFrame, k: int = 3) -> DataFrame
     return lines.unionByName(top)
 
 
+def largest_customer(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("customer").agg(F.sum("ttc").alias("r")).orderBy(F.col("r").desc(), "customer").limit(1).select("customer")
+
+
 def customer_invoices(sales: DataFrame, customer, k: int = 50) -> DataFrame:
     return (sales.filter(F.col("customer") == customer).orderBy(F.col("date").desc(), "ent_id").limit(k)
             .select("piece_no", "date", "due", F.round("ttc", 2).alias("ttc"), "is_credit", "delay_days"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewright.functions import rules as R
+from tradewright.session import cut_lineage
 
 # ---------------------------------------------------------------- staging (text in, typed out)
 
@@ -103,7 +104,7 @@ def copies_kept(df: DataFrame, same: list[str], order: str, header_copies: DataF
     tagged = df.alias("l").join(g.alias("g"), null_safe).select("l.*", "_n", "_keep", "_first", whole.alias("_whole"))
     simple = tagged.filter(F.col("_whole") | (F.col("_keep") == 1)).filter(
         F.col("_whole") | (F.col(order) == F.col("_first")))
-    part = range_buckets(tagged.filter(~F.col("_whole") & (F.col("_keep") > 1)).withColumn(
+    part = range_buckets(cut_lineage(tagged.filter(~F.col("_whole") & (F.col("_keep") > 1))).withColumn(
         "_o", F.col(order).cast("double")), "_o", buckets=64)
     chunk = part.groupBy(*same, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*same).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -257,9 +258,6 @@ def costed_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("customer").isNotNull() & a.isNotNull() & (a != 0) & R.usable_cost(k, a))
 
 
-_MARGIN = (F.sum, "amount", "cost")
-
-
 def _margin_measures():
     return [F.sum("amount").alias("revenue"), F.sum("cost").alias("cost"), (F.sum("amount") - F.sum("cost")).alias("margin"),
             R.count_where(F.col("amount") >= 0).alias("n_lines"), R.count_where(F.col("amount") < 0).alias("n_returns")]

@@ -71,11 +71,11 @@ q("n12_multi_domain_customers", lambda t: A.multi_domain_customers(findings(t)),
 q("n13_open_quotes_by_customer", lambda t: A.open_quotes_by_customer(t.quotes), """
   WITH o AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY date DESC, quote_no) AS r FROM quotes WHERE NOT converted)
   SELECT customer, count(*) AS open_quotes, round(sum(ht), 4) AS amount, string_agg(CAST(quote_no AS VARCHAR), ', ' ORDER BY r) FILTER (r <= 5) AS latest_quotes FROM o GROUP BY 1""")
-q("n11_stakes", lambda t: A.stakes(stake_items(t)), "WITH {I} SELECT item, customer, round(sum(amount), 4) AS identified, round(sum(amount) * CASE item WHEN 'open_quotes' THEN 0.15 WHEN 'overdue' THEN 0.3 ELSE 0.2 END, 4) AS recoverable FROM i WHERE amount > 0 GROUP BY 1, 2".replace(
+q("n11_stakes", lambda t: A.stakes(stake_items(t)), "WITH {I} SELECT item, customer, round(sum(amount), 4) AS identified, round(sum(amount) * CASE item WHEN 'open_quotes' THEN 0.15 WHEN 'overdue' THEN 0.3 ELSE 0.2 END, 8) AS recoverable FROM i WHERE amount > 0 GROUP BY 1, 2".replace(
     "{I}", "i AS (SELECT 'open_quotes' AS item, code AS customer, amount::DOUBLE AS amount FROM t_com UNION ALL SELECT 'overdue', code, amount FROM t_rec UNION ALL SELECT 'churn', code, amount FROM t_ret)"))
 q("n11_stake_totals", lambda t: A.stake_totals(A.stakes(stake_items(t))), """
   WITH i AS (SELECT 'open_quotes' AS item, code AS customer, amount::DOUBLE AS amount FROM t_com UNION ALL SELECT 'overdue', code, amount FROM t_rec UNION ALL SELECT 'churn', code, amount FROM t_ret),
-  s AS (SELECT item, customer, round(sum(amount), 4) AS a, round(sum(amount) * CASE item WHEN 'open_quotes' THEN 0.15 WHEN 'overdue' THEN 0.3 ELSE 0.2 END, 4) AS r FROM i WHERE amount > 0 GROUP BY 1, 2),
+  s AS (SELECT item, customer, round(sum(amount), 4) AS a, round(sum(amount) * CASE item WHEN 'open_quotes' THEN 0.15 WHEN 'overdue' THEN 0.3 ELSE 0.2 END, 8) AS r FROM i WHERE amount > 0 GROUP BY 1, 2),
   g AS (SELECT item, count(*) AS customers, sum(a) AS a, sum(r) AS r FROM s GROUP BY 1)
   SELECT item, customers, round(a, 2) AS identified, round(r, 2) AS recoverable FROM g UNION ALL SELECT 'total', sum(customers)::BIGINT, round(sum(a), 2), round(sum(r), 2) FROM g""")
 

@@ -222,8 +222,8 @@ q("k38_public_recovery", lambda t: kpi.public_recovery(cur(t), t.customers), """
 q("k39_customer_totals", lambda t: kpi.customer_totals(t.sales, t.customers), """
   SELECT customer, customer_name, revenue, documents, last_date FROM (SELECT customer, round(sum(ttc), 2) AS revenue, count(*) AS documents,
     max(date) AS last_date FROM sales GROUP BY 1 ORDER BY sum(ttc) DESC, customer LIMIT 100) LEFT JOIN customers USING (customer)""")
-q("k39_customer_invoices", lambda t: kpi.customer_invoices(t.sales, 7), """
-  SELECT piece_no, date, due, round(ttc, 2) AS ttc, is_credit, delay_days FROM sales WHERE customer = 7 ORDER BY date DESC, ent_id LIMIT 50""")
+q("k39_customer_invoices", lambda t: kpi.customer_invoices(t.sales, kpi.largest_customer(t.sales).scalar()), """
+  SELECT piece_no, date, due, round(ttc, 2) AS ttc, is_credit, delay_days FROM sales WHERE customer = (SELECT customer FROM sales GROUP BY 1 ORDER BY sum(ttc) DESC, customer LIMIT 1) ORDER BY date DESC, ent_id LIMIT 50""")
 
 # ------------------------------------------------------------ filters
 CHOSEN = R.Filters(years=(1997, 1998), start=dt.date(1997, 3, 1), end=dt.date(1998, 11, 30), modes=("1-URGENT", "5-LOW"),

@@ -72,13 +72,13 @@ def export(t) -> dict[str, DataFrame]:
     deliveries = o.filter("o_orderstatus = 'O'").select(F.concat(F.lit("C"), s(c("o_custkey"))).alias("ENT_CLIENT_CODE"),
                                                         F.date_format(day, "M/d/yyyy").alias("ENT_DATE"), F.lit("2").alias("ENT_NBR_ARTICLE"))
     ck = c("c_custkey")
-    ref = (t.raw("customer").filter(ck % 10 != 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select(
-        F.concat(F.lit("C"), s(ck)).alias("ENT_CLIENT_CODE"), F.when(c("i") == 2, F.lower("c_name")).otherwise(c("c_name")).alias("ENT_CLIENT_INTITULE"),
+    ref = (t.raw("customer").select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select(
+        F.when(ck % 10 == 0, " ").otherwise(F.concat(F.lit("C"), s(ck))).alias("ENT_CLIENT_CODE"), F.when(c("i") == 2, F.lower("c_name")).otherwise(c("c_name")).alias("ENT_CLIENT_INTITULE"),
         F.lit("Tunis").alias("ENT_CLIENT_VILLE"), F.concat(F.lit("D"), s(ck % 4)).alias("ENT_DEPOT_CODE"),
         F.when(c("i") == 2, "alt").otherwise(F.concat(F.lit("Depot "), s(ck % 4))).alias("ENT_DEPOT_INTITULE")))
     sk = c("s_suppkey")
-    sup_ref = t.raw("supplier").filter(sk % 10 != 0).select(
-        F.concat(F.lit("F"), s(sk)).alias("CLE_FOURNISSEUR"), F.lit(" ").alias("TIERS"), c("s_name").alias("NOMFOURNISSEUR"),
+    sup_ref = t.raw("supplier").select(
+        F.when(sk % 10 == 0, "").otherwise(F.concat(F.lit("F"), s(sk))).alias("CLE_FOURNISSEUR"), F.lit(" ").alias("TIERS"), c("s_name").alias("NOMFOURNISSEUR"),
         F.lit("NULL").alias("VILLE"), F.when(sk % 5 == 1, "NULL").otherwise("FR").alias("PAYSLIBELLE"))
     return {"sales_headers": sales, "sales_lines": sales_lines, "purchase_headers": purchases, "purchase_lines": purchase_lines,
             "quotes": quotes, "deliveries": deliveries, "customer_reference": ref, "suppliers": sup_ref}
@@ -293,7 +293,7 @@ q("q2_volumes", lambda t: U(quality.volume_checks(built(t)[1])), """
 q("q3_unique_keys", lambda t: U(quality.uniqueness_checks(built(t)[2])), """
   SELECT concat('unique:', unnest(['dim_customer.code', 'dim_product.reference', 'dim_supplier.code', 'dim_depot.code', 'dim_mode.key', 'dim_date.date'])) AS "check",
     0.0::DOUBLE AS value, 'ok' AS status""")
-q("q4_c5_referential_integrity", lambda t: U(quality.reference_checks(built(t)[1], {**built(t)[2], "dim_customer": staged(t)["reference"].select("code").distinct()})), """
+q("q4_c5_referential_integrity", lambda t: U(quality.reference_checks(built(t)[1], {**built(t)[2], "dim_customer": star.present(staged(t)["reference"], "code").select("code").distinct()})), """
   WITH v AS (SELECT (SELECT count(*) FROM orders WHERE o_custkey % 10 = 0) AS s, (SELECT count(*) FROM kept JOIN orders ON o_orderkey = l_orderkey
       WHERE o_custkey % 10 = 0 AND ok IS DISTINCT FROM false) AS l, (SELECT sum(CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 101 = 1 THEN 2 ELSE 1 END) FROM orders
       WHERE o_custkey % 10 = 0) AS q, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 10 = 0) AS d)
