@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tradewright.functions import rules as R
 from tradewright.functions.scale import distinct_values, running_totals, scalar
 
-BILLED = ~F.col("is_credit")
+def billed() -> Column:
+    return ~F.col("is_credit")
 WALK_IN_NAMES = ("%passager%", "%comptant%", "%divers%")
 
 
@@ -45,11 +46,11 @@ def scope(sales: DataFrame, filters: R.Filters | None = None) -> DataFrame:
 
 def headline(sales: DataFrame) -> DataFrame:
     a = sales.agg(
-        F.sum("ttc").alias("ttc"), F.sum("ht").alias("ht"), R.count_where(BILLED).alias("invoices"),
+        F.sum("ttc").alias("ttc"), F.sum("ht").alias("ht"), R.count_where(billed()).alias("invoices"),
         R.count_where(F.col("is_credit")).alias("credits"),
         R.sum_where(-F.col("ttc"), F.col("is_credit")).alias("credit_amount"),
         F.countDistinct("customer").alias("customers"),
-        F.avg(F.when(BILLED, F.col("delay_days"))).alias("mean_delay"))
+        F.avg(F.when(billed(), F.col("delay_days"))).alias("mean_delay"))
     return a.select(
         F.round("ttc", 2).alias("revenue_ttc"), F.round("ht", 2).alias("revenue_ht"), "invoices", "credits",
         F.round(R.pct(F.col("credit_amount"), F.col("ttc")), 6).alias("credit_rate_pct"), "customers",
@@ -111,7 +112,7 @@ def seasonality(sales: DataFrame) -> DataFrame:
 
 def delay_counters(sales: DataFrame) -> DataFrame:
     d, t = F.col("delay_days"), F.col("ttc")
-    a = sales.filter(BILLED).agg(
+    a = sales.filter(billed()).agg(
         *[R.count_where(d > k).alias(f"over_{k}") for k in (30, 60, 90)],
         R.count_where(d.isNotNull()).alias("with_delay"),
         R.sum_where(t, d > 60).alias("a60"), R.sum_where(t, d > 90).alias("a90"))
@@ -140,7 +141,7 @@ def customers_to_chase(sales: DataFrame, names: DataFrame, k: int = 10, recent:
 
 
 def delay_ageing(sales: DataFrame) -> DataFrame:
-    return (sales.filter(BILLED & F.col("delay_days").isNotNull())
+    return (sales.filter(billed() & F.col("delay_days").isNotNull())
             .groupBy(R.delay_band(F.col("delay_days")).alias("band"))
             .agg(F.round(F.sum("ttc"), 2).alias("amount"), F.count(F.lit(1)).alias("documents")))
 
@@ -149,7 +150,7 @@ def granted_vs_obtained(sales: DataFrame, purchases: DataFrame, days: Column) ->
     """Simple and amount-weighted mean delays on both sides, gap and financed cash."""
     def side(df, label):
         t, d = F.col("ttc"), F.col("delay_days")
-        return df.filter(BILLED & d.isNotNull()).agg(
+        return df.filter(billed() & d.isNotNull()).agg(
             F.avg(d).alias(f"{label}_simple"), R.ratio(F.sum(t * d), F.sum(t)).alias(f"{label}_weighted"),
             F.count(F.lit(1)).alias(f"{label}_documents"), F.sum(t).alias(f"{label}_amount"))
     g, o = side(sales, "granted"), side(purchases, "obtained")
@@ -164,7 +165,7 @@ def granted_vs_obtained(sales: DataFrame, purchases: DataFrame, days: Column) ->
 
 
 def delay_band_shares(sales: DataFrame) -> DataFrame:
-    bands = (sales.filter(BILLED & F.col("delay_days").isNotNull())
+    bands = (sales.filter(billed() & F.col("delay_days").isNotNull())
              .groupBy(R.delay_band(F.col("delay_days")).alias("band"))
              .agg(F.sum("ttc").alias("a"), F.count(F.lit(1)).alias("documents")))
     total = F.sum("a").over(Window.partitionBy())             # five bands
@@ -176,8 +177,8 @@ def delay_band_shares(sales: DataFrame) -> DataFrame:
 
 def top_customers(sales: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     g = sales.groupBy("customer").agg(
-        F.sum("ttc").alias("r"), R.count_where(BILLED).alias("invoices"), R.count_where(F.col("is_credit")).alias("credits"),
-        R.sum_where(F.col("ttc"), BILLED & (F.col("delay_days") > 30)).alias("risk"))
+        F.sum("ttc").alias("r"), R.count_where(billed()).alias("invoices"), R.count_where(F.col("is_credit")).alias("credits"),
+        R.sum_where(F.col("ttc"), billed() & (F.col("delay_days") > 30)).alias("risk"))
     total = scalar(sales.agg(F.sum("ttc")))
     top = ranked_top(g, [F.col("r").desc_nulls_last(), F.col("customer").asc()], k)
     return top.join(names, "customer", "left").select(
@@ -189,7 +190,7 @@ def loyal_customers(sales: DataFrame, names: DataFrame, k: int = 8) -> DataFrame
     m = R.month_key(F.col("date"))
     # (customer, month) first: the distinct-month count becomes a plain count
     cm = sales.groupBy("customer", m.alias("m")).agg(
-        F.sum("ttc").alias("r"), F.count(F.lit(1)).alias("docs"), R.count_where(BILLED).alias("inv"))
+        F.sum("ttc").alias("r"), F.count(F.lit(1)).alias("docs"), R.count_where(billed()).alias("inv"))
     g = (cm.groupBy("customer").agg(
         F.sum("r").alias("r"), F.sum("docs").alias("docs"), F.sum("inv").alias("invoices"),
         R.count_where(F.col("inv") > 0).alias("active_months"),
@@ -298,9 +299,9 @@ def amount_distribution(sales: DataFrame) -> DataFrame:
 
 def purchases_headline(purchases: DataFrame) -> DataFrame:
     return purchases.agg(
-        F.round(F.sum("ttc"), 2).alias("purchases_ttc"), R.count_where(BILLED).alias("invoices"),
+        F.round(F.sum("ttc"), 2).alias("purchases_ttc"), R.count_where(billed()).alias("invoices"),
         R.count_where(F.col("is_credit")).alias("credits"), F.countDistinct("supplier").alias("suppliers"),
-        F.round(F.avg(F.when(BILLED, F.col("delay_days"))), 6).alias("mean_delay_days"))
+        F.round(F.avg(F.when(billed(), F.col("delay_days"))), 6).alias("mean_delay_days"))
 
 
 def top_suppliers(purchases: DataFrame, suppliers: DataFrame, k: int = 8) -> DataFrame:
@@ -318,8 +319,8 @@ def sales_vs_purchases(sales: DataFrame, purchases: DataFrame) -> DataFrame:
 
 
 def cash_cycle(sales: DataFrame, purchases: DataFrame) -> DataFrame:
-    granted = scalar(sales.filter(BILLED).agg(F.avg("delay_days")))
-    return purchases.filter(BILLED).agg(F.avg("delay_days").alias("obtained")).select(
+    granted = scalar(sales.filter(billed()).agg(F.avg("delay_days")))
+    return purchases.filter(billed()).agg(F.avg("delay_days").alias("obtained")).select(
         F.round(granted - F.col("obtained"), 6).alias("cash_conversion_cycle"))
 
 
@@ -367,8 +368,8 @@ def product_source(mart: DataFrame, lines: DataFrame, filters: R.Filters) -> Dat
 def anomaly_counters(sales: DataFrame) -> DataFrame:
     """Counts behind the dashboard's anomaly messages, one row per kind."""
     d = F.col("delay_days")
-    a = sales.agg(R.count_where(BILLED & (d > 90)).alias("long_delay"),
-                  R.count_where(BILLED & (d > 30) & (d <= 90)).alias("watch_delay"),
+    a = sales.agg(R.count_where(billed() & (d > 90)).alias("long_delay"),
+                  R.count_where(billed() & (d > 30) & (d <= 90)).alias("watch_delay"),
                   R.count_where(F.col("ttc") < 0).alias("negative"), R.count_where(F.col("ttc") == 0).alias("zero"))
     rows = a.selectExpr("stack(4, 'long_delay', long_delay, 'watch_delay', watch_delay, 'negative', negative, "
                         "'zero', zero) as (anomaly, n)")
@@ -390,7 +391,7 @@ def filter_options(sales: DataFrame, names: DataFrame, k: int = 400) -> DataFram
 
 def annual_revenue(sales: DataFrame) -> DataFrame:
     last = scalar(sales.agg(F.max("date")))
-    return (sales.filter(BILLED & (F.col("date") >= F.add_months(last, -12)))
+    return (sales.filter(billed() & (F.col("date") >= F.add_months(last, -12)))
             .agg(F.round(F.coalesce(F.sum("ttc"), F.lit(0.0)), 2).alias("annual_revenue")))
 
 
@@ -398,7 +399,7 @@ def booked_public_share(sales: DataFrame, names: DataFrame, ahead: int = 1, due_
     """Public establishments' share of receivables already booked for the month `ahead` of the last issue month."""
     origin = scalar(sales.agg(F.max(R.month_index(F.col("date")))))
     d, e = F.col("date"), F.col("due")
-    booked = sales.filter(BILLED & F.year(e).between(*due_years) & (e >= d) & (R.month_index(d) <= origin)
+    booked = sales.filter(billed() & F.year(e).between(*due_years) & (e >= d) & (R.month_index(d) <= origin)
                           & (R.month_index(e) == origin + ahead))
     per = booked.groupBy("customer").agg(F.sum("ttc").alias("a")).join(names, "customer", "left")
     return per.agg(F.round(F.sum("a"), 2).alias("booked"), F.round(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tradewright.functions import rules as R
 
-WHOLE = Window.partitionBy()
+def whole():
+    return Window.partitionBy()
 
 
 def totals(margin: DataFrame, quality: DataFrame) -> DataFrame:
@@ -38,8 +39,8 @@ def waterfall(margin: DataFrame) -> DataFrame:
 def by_category(category: DataFrame) -> DataFrame:
     g = category.groupBy("category").agg(F.sum("revenue").alias("r"), F.sum("cost").alias("k"), F.sum("margin").alias("m"), F.sum("n_lines").alias("n_lines"))
     return g.select("category", F.round("r", 1).alias("revenue"), F.round("k", 1).alias("cost"), F.round("m", 1).alias("margin"),
-                    F.round(R.pct(F.col("m"), F.col("r")), 6).alias("rate_pct"), F.round(R.pct(F.col("r"), F.sum("r").over(WHOLE)), 6).alias("revenue_pct"),
-                    F.round(R.pct(F.col("m"), F.sum("m").over(WHOLE)), 6).alias("margin_pct"), "n_lines")
+                    F.round(R.pct(F.col("m"), F.col("r")), 6).alias("rate_pct"), F.round(R.pct(F.col("r"), F.sum("r").over(whole())), 6).alias("revenue_pct"),
+                    F.round(R.pct(F.col("m"), F.sum("m").over(whole())), 6).alias("margin_pct"), "n_lines")
 
 
 def carriers_and_losers(product: DataFrame, k: int = 15) -> DataFrame:

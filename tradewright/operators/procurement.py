@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tradewright.functions import rules as R
 from tradewright.functions.scale import scalar
 
-WHOLE = Window.partitionBy()
+def whole():
+    return Window.partitionBy()
 
 
 def supplier_ranking(purchases: DataFrame, lines: DataFrame, suppliers: DataFrame, dependency_pct: float = 30.0) -> DataFrame:
@@ -27,7 +28,7 @@ def supplier_ranking(purchases: DataFrame, lines: DataFrame, suppliers: DataFram
 def purchases_by_country(purchases: DataFrame, suppliers: DataFrame, k: int = 8) -> DataFrame:
     per = purchases.groupBy("supplier").agg(F.sum("ttc").alias("m")).join(suppliers, "supplier", "left")
     g = per.groupBy(F.coalesce("country", F.lit("unknown")).alias("country")).agg(F.count(F.lit(1)).alias("suppliers"), F.sum("m").alias("m"))
-    g = g.withColumn("share", R.pct(F.col("m"), F.sum("m").over(WHOLE)))         # one row per country
+    g = g.withColumn("share", R.pct(F.col("m"), F.sum("m").over(whole())))         # one row per country
     return g.orderBy(F.col("m").desc_nulls_last(), "country").limit(k).select(
         "country", "suppliers", F.round("m", 2).alias("amount"), F.round("share", 6).alias("share_pct"))
 

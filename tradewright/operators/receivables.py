@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tradewright.functions import rules as R
 from tradewright.functions.scale import average_ranks, scalar
 
-BILLED = ~F.col("is_credit")
+def billed() -> Column:
+    return ~F.col("is_credit")
 
 
 # ---------------------------------------------------------------- overdue
@@ -20,10 +21,10 @@ def overdue_receivables(sales: DataFrame, names: DataFrame, months: int = 18, si
     """Documents past due over the window, by customer, with silence since the last document issued."""
     due_ref, issue_ref = scalar(sales.agg(F.max("due"))), scalar(sales.agg(F.max("date")))
     due = F.col("due")
-    late = sales.filter(BILLED & (due < due_ref) & (due >= F.add_months(due_ref, -months)))
+    late = sales.filter(billed() & (due < due_ref) & (due >= F.add_months(due_ref, -months)))
     e = late.groupBy("customer").agg(F.sum("ttc").alias("m"), F.count(F.lit(1)).alias("documents"), F.min("due").alias("oldest_due"),
                                      F.coalesce(R.sum_where(F.col("ttc"), due < F.date_sub(due_ref, 90)), F.lit(0.0)).alias("m90")).filter("m > 0")
-    act = sales.filter(BILLED).groupBy("customer").agg(F.max("date").alias("last_order"))
+    act = sales.filter(billed()).groupBy("customer").agg(F.max("date").alias("last_order"))
     n = names.filter(~F.col("customer_name").ilike("%passager%") & ~F.col("customer_name").ilike("%comptant%"))
     silence = F.datediff(issue_ref, "last_order")
     active = silence <= silence_days
@@ -67,7 +68,7 @@ def payment_scenarios(sales: DataFrame, scenarios: Sequence[tuple[str, int, floa
 def due_book(sales: DataFrame, years=(2016, 2035)) -> DataFrame:
     """(issue month, due month) cells: at most months squared rows, whatever the volume."""
     d, e = F.col("date"), F.col("due")
-    ok = sales.filter(BILLED & d.isNotNull() & e.isNotNull() & F.year(e).between(*years) & (e >= d))
+    ok = sales.filter(billed() & d.isNotNull() & e.isNotNull() & F.year(e).between(*years) & (e >= d))
     return ok.groupBy(R.month_index(d).alias("issue"), R.month_index(e).alias("due_m")).agg(F.sum("ttc").alias("amount"), F.count(F.lit(1)).alias("documents"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.functions import rules as R
-from tradewright.session import cut_lineage
+from tradewright.functions.scale import scalar
 
 # ---------------------------------------------------------------- staging (text in, typed out)
 
@@ -93,9 +93,6 @@ def copies_kept(df: DataFrame, same: list[str], order: str, header_copies: DataF
     Groups keeping a single line (nearly all) are reduced with a grouped minimum. The rest are ranked
     in chunks of `order`, with per-chunk counts as offsets, so no group is ever ranked in one task.
     """
-    from pyspark.sql import Window
-
-    from tradewright.functions.scale import range_buckets
     g = df.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
     g = g.join(header_copies.withColumnRenamed("copies", "_h"), doc, "left")
     g = g.withColumn("_keep", F.ceil(F.col("_n") / F.coalesce("_h", F.lit(1))))
@@ -104,8 +101,9 @@ def copies_kept(df: DataFrame, same: list[str], order: str, header_copies: DataF
     tagged = df.alias("l").join(g.alias("g"), null_safe).select("l.*", "_n", "_keep", "_first", whole.alias("_whole"))
     simple = tagged.filter(F.col("_whole") | (F.col("_keep") == 1)).filter(
         F.col("_whole") | (F.col(order) == F.col("_first")))
-    part = range_buckets(cut_lineage(tagged.filter(~F.col("_whole") & (F.col("_keep") > 1))).withColumn(
-        "_o", F.col(order).cast("double")), "_o", buckets=64)
+    lo, hi = scalar(df.agg(F.min(order))), scalar(df.agg(F.max(order)))
+    chunk_no = F.floor((F.col(order) - lo) / (hi - lo + 1) * 64).cast("int")
+    part = tagged.filter(~F.col("_whole") & (F.col("_keep") > 1)).withColumn("_bucket", chunk_no)
     chunk = part.groupBy(*same, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*same).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     chunk = chunk.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")

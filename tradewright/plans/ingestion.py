@@ -171,16 +171,17 @@ q("b13_public_hospital", lambda t: t.customers.groupBy(R.is_public_hospital(c("c
 q("b14_establishment_type", lambda t: t.customers.groupBy(R.establishment_type(c("customer_name")).alias("type")).agg(F.count(F.lit(1)).alias("n")), """
   SELECT CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'public_hospital' WHEN 'MACHINERY' THEN 'private_clinic' WHEN 'FURNITURE' THEN 'laboratory' ELSE 'other' END AS type,
     count(*) AS n FROM customer GROUP BY 1""")
-CLASSED = F.when(c("reference") % 5 == 0, F.concat(F.lit("joint "), c("label"))).when(c("reference") % 5 == 1, F.concat(F.lit("CONTRAT "), c("label"))) \
+def classed():
+    return F.when(c("reference") % 5 == 0, F.concat(F.lit("joint "), c("label"))).when(c("reference") % 5 == 1, F.concat(F.lit("CONTRAT "), c("label"))) \
     .when(c("reference") % 5 == 2, F.concat(F.lit("kit tube "), c("label"))).otherwise(c("label"))
 V["classed"] = """SELECT reference, list_price, label, CASE WHEN family LIKE 'REACTIF%' THEN CASE WHEN reference % 5 = 0 THEN 'part' ELSE 'consumable' END
     WHEN family LIKE 'EQUIPEMENT%' THEN 'equipment' WHEN family LIKE 'SERVICE%' THEN 'service' WHEN reference % 5 = 0 THEN 'part' WHEN reference % 5 = 1 THEN 'service'
     ELSE 'consumable' END AS class, CASE WHEN family LIKE 'REACTIF%' THEN CASE WHEN reference % 5 = 0 THEN 'erp_refined' ELSE 'erp' END
     WHEN family LIKE 'EQUIPEMENT%' OR family LIKE 'SERVICE%' THEN 'erp' WHEN reference % 5 <= 2 THEN 'keyword' ELSE 'default' END AS origin FROM products"""
-q("b15_product_class", lambda t: t.products.withColumn("label", CLASSED).select(
+q("b15_product_class", lambda t: t.products.withColumn("label", classed()).select(
     "reference", R.product_class(c("label"), c("family")).alias("class"), R.product_class_origin(c("label"), c("family")).alias("origin"),
     R.is_perishable(c("label"), c("family")).alias("perishable")), "SELECT reference, class, origin, class = 'consumable' AS perishable FROM classed")
-q("b16_service_flag", lambda t: t.products.withColumn("label", CLASSED).select("reference", (F.upper("label").rlike(R.SERVICE_WORDS) | (
+q("b16_service_flag", lambda t: t.products.withColumn("label", classed()).select("reference", (F.upper("label").rlike(R.SERVICE_WORDS) | (
     R.product_class(c("label"), c("family")) == "service")).alias("is_service")), """
   SELECT reference, class = 'service' OR reference % 5 = 1 AS is_service FROM classed""")
 q("b17_b18_bands", lambda t: t.sales.groupBy(R.delay_band(c("delay_days")).alias("delay"), R.amount_band(c("ttc")).alias("amount")).agg(F.count(F.lit(1)).alias("n")), """
@@ -336,8 +337,7 @@ q("q11_implausible_values", lambda t: quality.implausible_values(t.sales, t.sale
   SELECT 'unit_price' AS rule, count(*) FILTER (pu > 5000000 OR pu < 0.001) AS n FROM (SELECT sum(amount) / sum(qty) AS pu FROM lines WHERE qty > 0 AND amount > 0 GROUP BY label)
   UNION ALL SELECT 'ttc_below_ht', count(*) FILTER (abs(ttc) < abs(ht) - 0.01) FROM sales
   UNION ALL SELECT 'due_before_issue', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate""")
-SPARSE = F.month("date") != 7
-q("q12_c6_missing_months", lambda t: quality.missing_months(t.sales.filter(SPARSE)), """
+q("q12_c6_missing_months", lambda t: quality.missing_months(t.sales.filter(F.month("date") != 7)), """
   SELECT make_date(y, 7, 1) AS month FROM (SELECT unnest(range(1995, 2002)) AS y)""")
 q("q12_f4_yearly_collapse", lambda t: quality.yearly_collapse(t.sales.filter((c("year") != 1997) | (F.month("date") < 4))), """
   WITH y AS (SELECT year, sum(ttc) AS r FROM sales WHERE NOT is_credit AND (year <> 1997 OR month(date) < 4) GROUP BY 1), x AS (
@@ -373,7 +373,7 @@ q("q15_inclusion", lambda t: quality.inclusion(t.raw("orders"), "o_custkey", t.r
   WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders), b AS (SELECT DISTINCT c_custkey AS v FROM customer), x AS (SELECT count(*) AS n FROM a JOIN b USING (v))
   SELECT 'o_custkey / c_custkey' AS columns, (SELECT count(*) FROM a) AS left_values, (SELECT count(*) FROM b) AS right_values, n AS common,
     round(n / (SELECT count(*) FROM a), 6) AS left_ratio, round(n / (SELECT count(*) FROM b), 6) AS right_ratio FROM x""")
-q("q16_class_coverage", lambda t: quality.class_coverage(t.products.withColumn("label", CLASSED), "list_price"), """
+q("q16_class_coverage", lambda t: quality.class_coverage(t.products.withColumn("label", classed()), "list_price"), """
   WITH g AS (SELECT class, origin, count(*) AS n, sum(list_price) AS v FROM classed GROUP BY 1, 2)
   SELECT class, origin, n AS "references", round(v, 2) AS value, round(n * 100.0 / sum(n) OVER (), 6) AS references_pct, round(v * 100 / sum(v) OVER (), 6) AS value_pct FROM g""")
 q("q17_reader_accuracy", lambda t: quality.reader_accuracy(t.raw("orders").select(

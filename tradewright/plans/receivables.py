@@ -59,8 +59,8 @@ q("r2_payment_scenarios", lambda t: rec.payment_scenarios(t.sales), """
     round(max(g + late * share / 100) OVER () - min(g + late * share / 100) OVER (), 6) AS dso_range FROM x""")
 q("r3_due_book", lambda t: rec.maturity(book(t)).select("h", "origin", F.round("booked", 2).alias("booked"), F.round("total", 2).alias("total"), F.round("rate", 6).alias("rate")),
   "SELECT h, origin, round(booked, 2) AS booked, round(total, 2) AS total, round(rate, 6) AS rate FROM mat")
-q("r4_book_forecast", lambda t: rec.book_forecast(book(t)).select("h", "origin", F.round("maturity", 6).alias("maturity"), "method", F.round("forecast", 2).alias("forecast")),
-  "SELECT h, origin, round(maturity, 6) AS maturity, method, round(forecast, 2) AS forecast FROM fc")
+q("r4_book_forecast", lambda t: rec.book_forecast(book(t)).select("h", "origin", F.round("maturity", 6).alias("maturity"), "method", F.round("forecast", 4).alias("forecast")), 
+  "SELECT h, origin, round(maturity, 6) AS maturity, method, round(forecast, 4) AS forecast FROM fc")
 q("r5_book_evaluation", lambda t: rec.book_evaluation(book(t)).select("h", "share_long_enough", "refused", "origins", "mape", "last_month_mape", "seasonal_12_mape", "mean_3_mape", "median_6_mape"), """
   WITH e AS (SELECT max(issue) - 1 AS fin FROM book), x AS (SELECT fc.h, origin, total, forecast,
       (SELECT total FROM tot WHERE due_m <= origin ORDER BY due_m DESC LIMIT 1) AS l1, (SELECT total FROM tot WHERE due_m = origin + fc.h - 12) AS s12,

@@ -53,7 +53,7 @@ def read_role(spark: SparkSession, folder: str, role: str, keep_malformed: bool
     extra = ["_corrupt_record"] if keep_malformed else []
     df = (spark.read.schema(_text_schema(names + extra)).option("header", "true")
           .option("mode", "PERMISSIVE" if keep_malformed else "DROPMALFORMED")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", "false").csv(path))
+          .option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", "false").option("columnPruning", "false").csv(path))
     missing = [c for c in ROLES[role][1] if c not in names]
     for c in missing:
         df = df.withColumn(c, F.lit(None).cast("string"))
