@@ -258,11 +258,11 @@ q("c21_open_proposals", lambda t: pro.open_proposals(pro.overdue_replenishment(t
     AND reference NOT IN (SELECT reference FROM po WHERE status <> 'received')""")
 q("p24_policy_parameters", lambda t: stock.policy_parameters(stock.annual_demand(star.mart_sales_product(outs(t))).join(
     outs(t).groupBy("label").agg(F.min("family").alias("family")), "label"), F.split("family", " ")[0]).select(
-        "label", "kind", *[F.round(x, 6).alias(x) for x in ("daily_demand", "daily_sigma", "safety", "reorder_point", "target", "unit_cost")]), """
+        "label", "kind", *[F.round(c(x) + 1e-9, 6).alias(x) for x in ("daily_demand", "daily_sigma", "safety", "reorder_point", "target", "unit_cost")]), """
   WITH y AS (SELECT label, min(family) AS f, year(date) AS year, sum(qty) AS q, sum(amount) AS r FROM outs GROUP BY 1, 3 HAVING sum(qty) > 0),
   d AS (SELECT label, avg(q) / 365 AS dd, coalesce(stddev_samp(q), 0) / 365 AS sd, count(*) AS n, sum(r) / sum(q) AS pu, CASE split_part(min(f), ' ', 1) WHEN 'REACTIF' THEN 'REACTIF'
       WHEN 'EQUIPEMENT' THEN 'EQUIPEMENT' ELSE 'DEFAULT' END AS kind FROM y GROUP BY 1 HAVING avg(q) >= 1),
   p AS (SELECT *, greatest(CASE WHEN n > 1 THEN sd ELSE dd * 0.35 END, dd * 0.15) AS sg, CASE kind WHEN 'REACTIF' THEN 45 WHEN 'EQUIPEMENT' THEN 75 ELSE 40 END AS l,
       CASE kind WHEN 'EQUIPEMENT' THEN 90 ELSE 60 END AS cv FROM d)
-  SELECT label, kind, round(dd, 6) AS daily_demand, round(sg, 6) AS daily_sigma, round(1.65 * sg * sqrt(l), 6) AS safety, round(dd * l + 1.65 * sg * sqrt(l), 6) AS reorder_point,
-    round(dd * l + 1.65 * sg * sqrt(l) + dd * cv, 6) AS target, round(greatest(pu, 0) * 0.72, 6) AS unit_cost FROM p""")
+  SELECT label, kind, round(dd + 1e-9, 6) AS daily_demand, round(sg + 1e-9, 6) AS daily_sigma, round(1.65 * sg * sqrt(l) + 1e-9, 6) AS safety, round(dd * l + 1.65 * sg * sqrt(l) + 1e-9, 6) AS reorder_point,
+    round(dd * l + 1.65 * sg * sqrt(l) + dd * cv + 1e-9, 6) AS target, round(greatest(pu, 0) * 0.72 + 1e-9, 6) AS unit_cost FROM p""")
