@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -19,16 +24,47 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
             .getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so Python tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    # a driver-side file: Spark's own file server hands it to the executors
+    target = os.path.join(tempfile.mkdtemp(prefix="tradewright-pkg-"), "tradewright.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
 
-    The written files outlive a lost executor. A folder is made here only when
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, shared by the driver and all executors.
+
+    The cluster names it in `spark.checkpoint.dir`. A folder is made here only when
     the session names none, which is the case in tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tradewright-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back: a lineage cut that keeps columns and statistics."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable eager checkpoint in the shared folder; the written files outlive a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
