@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tradewright.llm import line_dedup, mixing, near_dedup, quality  # noqa: E402
+from tradewright.llm import bpe, line_dedup, mixing, near_dedup, quality  # noqa: E402
 from tradewright.llm.common import table  # noqa: E402
 from tradewright.session import shared_folder  # noqa: E402
 
@@ -38,6 +38,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where("repeats > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__tw_time")).drop("__tw_time")
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, with their number and the digests of ids and decoded bytes."""
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    return bpe.digests(encoded).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
 def run_stage(spark: SparkSession, step, docs: DataFrame, sf_dir: str, folder: str) -> DataFrame:
     step(spark, docs, sf_dir).write.parquet(folder)
     return spark.read.parquet(folder)
@@ -51,6 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", drop_repeated_lines), ("minhash_near_dedup", drop_near_copies), ("source_mixing", mix_sources)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", drop_repeated_lines), ("minhash_near_dedup", drop_near_copies), ("source_mixing", mix_sources), ("byte_bpe", byte_bpe)]
 #: The learned rules and the tokenizer's pattern are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

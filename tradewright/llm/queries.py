@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewright.llm import line_dedup, mixing, near_dedup, quality
+from tradewright.llm import bpe, chat, langid, line_dedup, mixing, near_dedup, quality, url_graph
 from tradewright.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,11 +72,28 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP B
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_source_mixing": op2_source_mixing, "op4_line_dedup": op4_line_dedup, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op9_quality_rules": op9_quality_rules}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_source_mixing, op4_line_dedup, op5_minhash_near_dedup, op6_language_id, op7_url_filters, op8_byte_bpe, op9_quality_rules, op10_chat_formatting)}
 SQL = {"op2_source_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL}
