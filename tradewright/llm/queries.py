@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewright.llm import bpe, chat, langid, line_dedup, mixing, near_dedup, quality, url_graph
+from tradewright.llm import ann, bpe, chat, langid, line_dedup, lm, mixing, near_dedup, quality, url_graph
 from tradewright.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -38,6 +42,10 @@ FROM sized s JOIN q ON s.source IS NOT DISTINCT FROM q.source JOIN one ON s.sour
 """
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -95,5 +103,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_source_mixing, op4_line_dedup, op5_minhash_near_dedup, op6_language_id, op7_url_filters, op8_byte_bpe, op9_quality_rules, op10_chat_formatting)}
+    op1_nn_descent, op2_source_mixing, op3_attention_lm, op4_line_dedup, op5_minhash_near_dedup, op6_language_id, op7_url_filters, op8_byte_bpe, op9_quality_rules, op10_chat_formatting)}
 SQL = {"op2_source_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL}
