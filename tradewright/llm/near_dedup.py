@@ -7,7 +7,7 @@ exactly on it. Counting collisions over whole lists is avoided in two ways that
 * prefix: with the postings of every document in one global order, rarest first, two documents that agree in
   `MATCHES` coordinates share one of the first COORDINATES - MATCHES + 1 of both, so only those are joined;
 * skip: in a list, documents that are already known to be connected are not compared again. Lists are first joined
-  with two of their own members (a star per list, linear in its length), and only what is then still in different components
+  with their smallest member (a star per list, linear in its length), and only what is then still in different components
   is compared pair by pair, the coordinates that agree being counted inside the join condition.
 
 Every link is confirmed on the full shingle sets. Exact copies are one class from the start.
@@ -28,6 +28,7 @@ from tradewright.session import cut_lineage, ship_package, stored
 
 COORDINATES, MATCHES = 32, 16
 SHINGLE = 5
+BITS = 2048
 PERCENT = 85
 
 
@@ -37,7 +38,7 @@ def _coordinates(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, s1, s2, signature): size, two sums over the set that identify it, MinHash values."""
+    """(doc_id, text) to (doc_id, n_shingles, s1, s2, signature, bits): size, two sums over the set that identify it, MinHash values, parities."""
     a, b = _coordinates(COORDINATES)
     for batch in batches:
         for first, data, offsets in chunks(batch.column(1)):
@@ -54,9 +55,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(COORDINATES):
                     x = flat * a[k] + b[k]
                     low[full, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), begin)
-            signature = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(low.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), signature],
-                                             ["doc_id", "n_shingles", "s1", "s2", "signature"])
+            place = np.repeat(np.arange(len(sets)), sizes) * BITS + (flat >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+            odd = np.packbits((np.bincount(place, minlength=len(sets) * BITS) & 1).astype(np.uint8)).view(np.int64)
+            listed = lambda values, n: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n), pa.array(values))
+            signature, bits = listed(low.reshape(-1).view(np.int64), COORDINATES), listed(odd, BITS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), signature, bits],
+                                             ["doc_id", "n_shingles", "s1", "s2", "signature", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +78,12 @@ def _agreeing(x: str, y: str) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
 
 
-def _near_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_be_near(x: str, y: str, percent: int) -> Column:
+    """No pair that is linked fails this but by its MinHash values: sizes, then differing parities, then agreeing coordinates."""
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    differing = F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, d: total + d)
+    return ((100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differing <= (100 - percent) * (n + m))
+            & (_agreeing(f"{x}.signature", f"{y}.signature") >= MATCHES))
 
 
 class _Links:
@@ -114,25 +122,23 @@ class _Links:
         return cut_lineage(named.join(open_lists, "token", "left_semi"))
 
 
-def _star(postings: DataFrame, far: bool, percent: int) -> DataFrame:
-    """Each list's documents with one of its members, if not yet in its component: its smallest id, or its largest."""
-    pick = F.max_by if far else F.min_by
-    hubs = postings.groupBy("token").agg(pick(F.struct("cid", "comp", "n_shingles", "signature"), F.col("cid")).alias("hub"))
-    met = postings.join(hubs, (postings.token == hubs.token) & (postings.comp != hubs.hub.comp) & _near_size(postings.n_shingles, hubs.hub.n_shingles, percent))
-    met = met.where(_agreeing("signature", "hub.signature") >= MATCHES)
-    return met.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+def _star(postings: DataFrame, percent: int) -> DataFrame:
+    """Each list's documents with the smallest of its members."""
+    hubs = postings.groupBy("token").agg(F.min_by(F.struct("cid", "n_shingles", "signature", "bits"), F.col("cid")).alias("hub")).select("token", "hub.*")
+    l, r = postings.alias("l"), hubs.alias("r")
+    met = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.cid") != F.col("r.cid")) & _may_be_near("l", "r", percent))
+    return met.select(F.col("r.cid").alias("a"), F.col("l.cid").alias("b")).distinct()
 
 
 def _rest(postings: DataFrame, percent: int) -> DataFrame:
     """Every pair of a list that is still in two components and may be near, each once."""
     l, r = postings.alias("l"), postings.alias("r")
-    near = ((F.col("l.token") == F.col("r.token")) & (F.col("l.cid") < F.col("r.cid")) & (F.col("l.comp") != F.col("r.comp"))
-            & _near_size(F.col("l.n_shingles"), F.col("r.n_shingles"), percent) & (_agreeing("l.signature", "r.signature") >= MATCHES))
+    near = ((F.col("l.token") == F.col("r.token")) & (F.col("l.cid") < F.col("r.cid")) & (F.col("l.comp") != F.col("r.comp")) & _may_be_near("l", "r", percent))
     return l.join(r, near).select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, cid, n_shingles, signature): the prefix postings whose list has two documents or more.
+    """(token, cid, n_shingles, signature, bits): the prefix postings whose list has two documents or more.
 
     A value posted by one document only comes first in the order and joins with nothing; so a document with fewer than
     `MATCHES` shared values has no partner, and of m shared values the rarest m - MATCHES + 1 are its prefix.
@@ -142,7 +148,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     ranked = (tokens.join(shared, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))     # COORDINATES values at most
               .where(F.size("held") >= MATCHES))
     prefix = ranked.select("cid", F.explode(F.slice("held", 1, F.size("held") - (MATCHES - 1))).alias("p")).select("cid", F.col("p.token").alias("token"))
-    return prefix.join(classes.select("cid", "n_shingles", "signature"), "cid")
+    return prefix.join(classes.select("cid", "n_shingles", "signature", "bits"), "cid")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -155,17 +161,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = stored(docs.mapInArrow(_signed, "doc_id long, n_shingles long, s1 long, s2 long, signature array<long>"), "signatures")
+    signed = stored(docs.mapInArrow(_signed, "doc_id long, n_shingles long, s1 long, s2 long, signature array<long>, bits array<long>"), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     ids = cut_lineage(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid")))
     first = usable.join(ids.withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("doc_id") == F.col("cid")))
-    classes = first.select("cid", "n_shingles", "signature").dropDuplicates(["cid"])
+    classes = first.select("cid", "n_shingles", "signature", "bits").dropDuplicates(["cid"])
     postings = stored(_postings(classes), "postings")
     links = _Links(docs, percent)
-    # lists of every document with itself alone: no links yet
-    start = postings.withColumn("comp", F.col("cid"))
-    links.confirm(stored(_star(start, False, percent), "pairs"))
-    links.confirm(stored(_star(links.label(postings), True, percent), "pairs"))
+    links.confirm(stored(_star(postings, percent), "pairs"))
     links.confirm(stored(_rest(links.label(postings), percent), "pairs"))
     named = (signed.join(ids.withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") > 0), "left")
              .join(links.comp, F.col("cid") == F.col("node"), "left"))
