@@ -21,6 +21,7 @@ EPOCHS = 2
 SHARE = (3, 2)                 # budget as a fraction of all sizes
 SEED = "mix-1"
 ROWS_PER_BUCKET = 20_000
+SMALL_PLAN = 50_000            # sources up to which the plan is broadcast
 
 
 def word_count(text: Column) -> Column:
@@ -70,7 +71,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EP
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     before = totals.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    crossed = before.join(plan, same(before, plan)).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size"))).select(
+    crossed = before.join(plan, same(before, plan)).where((F.col("rest") > 0) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("size"))).select(
         before["source"], "bucket", "before", "rest")
     inner = Window.partitionBy("__tw_source", "bucket").orderBy("key")
     met = (keyed.withColumnRenamed("source", "__tw_source").withColumnRenamed("bucket", "__tw_bucket")
@@ -92,6 +93,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS,
     """
     plan = mix_plan(docs, weights, epochs, share, seed).withColumnRenamed("source", "__tw_source")
     made = ("size", "source_size", "target", "repeats")
+    if plan.count() <= SMALL_PLAN:              # beyond it a sort-merge join, whose hot sources are split by the adaptive skew join
+        plan = F.broadcast(plan)
     joined = docs.join(plan.withColumnsRenamed({"source_size": "__tw_size", "target": "__tw_target"}), docs["source"].eqNullSafe(F.col("__tw_source")))
     return joined.select(*carried(docs, *made), word_count(text_or_empty()).alias("size"), F.col("__tw_size").alias("source_size"), F.col("__tw_target").alias("target"),
                          (F.col("whole") + (order_key(seed) <= F.col("last_key")).cast("long")).alias("repeats"))
