@@ -159,7 +159,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int
     near = cut_lineage(_around(edges, k).groupBy("w").agg(F.collect_list("x").alias("around")))
     pivots = nodes.orderBy(F.xxhash64("nid"), "nid").limit(PIVOTS).collect()                     # PIVOTS vectors, a fixed number
     ids = np.array([r.nid for r in pivots], np.int64)
-    points = np.array([r.vec for r in pivots], np.float32).reshape(len(ids), -1)
+    points = np.array([r.vec for r in pivots], np.float32)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

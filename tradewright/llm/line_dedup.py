@@ -92,7 +92,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     along, except that a column named like a result gives way to it.
     """
     lines = hashed_lines(docs, min_chars)
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 1000)).first()[0]
+    cuts = sorted(set(cuts or [])) if batches > 1 else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + (F.col("doc_id") > F.lit(int(cut))).cast("int")

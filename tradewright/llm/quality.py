@@ -23,7 +23,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 BINS = 16
 MAX_RULES, MAX_CONDITIONS = 8, 3
-MIN_PRECISION, MIN_SUPPORT = 0.95, 8
+MIN_PRECISION, MIN_SUPPORT = 0.95, 3
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_lines", "n_distinct_words", "n_digits", "n_upper", "n_chars_all")
 

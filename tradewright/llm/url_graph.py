@@ -1,8 +1,9 @@
 """URL filter: rules first, then trust and distrust carried over the link graph of hosts, in built-in functions only.
 
 Trust is a personalised PageRank from hosts whose pages rules allow; distrust the same over reversed links from
-hosts whose pages rules block. A seed's weight is the share of its pages that rules decide so. A host whose
-distrust exceeds its trust by half of what a wholly blocked host gives itself is blocked.
+hosts whose pages rules block. A seed's weight is the share of its pages that rules decide so; a host without links
+onward keeps its score, so a host that no link touches scores its own share, and in a set of hosts that link to each
+other the mean score is the mean share. A host whose distrust exceeds its trust by `THRESHOLD` is blocked.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from tradewright.llm.common import carried, lower_ascii
 from tradewright.session import cut_lineage, stored
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING = 0.85
-ROUNDS = 20
-TOLERANCE = 1e-6
+DAMPING = 0.7
+ROUNDS = 30
+TOLERANCE = 1e-4
 THRESHOLD = 0.5
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -61,10 +62,11 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     Each round sends a host's score along its links in proportion to n. Every round is checkpointed; one number of it
     reaches the driver, and the rounds end when no score moves by more than `TOLERANCE`.
     """
-    base = seeds.groupBy("host").agg((F.sum("weight") * (1 - damping)).alias("base"))
-    base = cut_lineage(base)
     if links.limit(1).count() == 0:
-        return base.select("host", F.col("base").alias("score"))
+        return seeds.groupBy("host").agg(F.sum("weight").alias("score"))
+    base = cut_lineage(seeds.groupBy("host").agg((F.sum("weight") * (1 - damping)).alias("base")))
+    ends = links.select(F.col("dst").alias("src")).union(seeds.select("host")).distinct().join(links.select("src"), "src", "left_anti")
+    links = links.select("src", "dst", "n").union(ends.select("src", F.col("src").alias("dst"), F.lit(1).cast("long")))
     out_links = links.groupBy("src").agg(F.sum("n").alias("total"))
     shares = cut_lineage(links.join(out_links, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     score = base.select("host", F.col("base").alias("score"))
@@ -98,5 +100,5 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> D
     # few columns for each page; a host with very many pages is split by the adaptive skew join
     joined = parsed.join(scores, parsed.host == scores["__tw_host"], "left").withColumns(
         {"trust": F.coalesce("__tw_trust", F.lit(0.0)), "distrust": F.coalesce("__tw_distrust", F.lit(0.0))}).drop("__tw_host", "__tw_trust", "__tw_distrust")
-    method = F.when(F.col("distrust") - F.col("trust") > THRESHOLD * (1 - DAMPING), "block").otherwise("allow")
+    method = F.when(F.col("distrust") - F.col("trust") > THRESHOLD, "block").otherwise("allow")
     return joined.withColumn("verdict", F.coalesce(_of_rule(F.col("rule"), rules), method))
