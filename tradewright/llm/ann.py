@@ -24,7 +24,7 @@ TREES = 3
 ROUNDS = 6
 SETTLED = 0.02
 PIVOTS = 512
-STARTS, BEAM, EXPAND = 8, 48, 12
+STARTS, BEAM, EXPAND = 8, 160, 40
 HOPS = 40
 EDGES = "u long, v long, sim float"
 
@@ -116,15 +116,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    """The `k` nearest of each node; `old` tells edges that stood before."""
+    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("u", "v", "sim")
+    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("u", "v", "sim", "old")
 
 
-def _around(edges: DataFrame, k: int) -> DataFrame:
-    """(w, x): each node's neighbours and the nearest `k` of those it is a neighbour of."""
+def _around(edges: DataFrame, k: int, turn: int | None = None) -> DataFrame:
+    """(w, x): each node's neighbours and `k` of those it is a neighbour of: the nearest, or in a turn of the descent any, dealt by a hash."""
     back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
-    w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    w = Window.partitionBy("u").orderBy(F.desc("sim") if turn is None else F.xxhash64(F.lit(turn), "u", "v"), "v")
     back = back.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("u", "v")
     return edges.select("u", "v").union(back).distinct().select(F.col("u").alias("w"), F.col("v").alias("x"))
 
@@ -139,19 +140,17 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     # a code with many nodes is cut by a hash of the node into blocks of about BLOCK
     cut = coded.join(sizes, ["tree", "code"]).withColumn("cut", F.pmod(F.xxhash64("nid", "tree"), F.ceil(F.col("n") / BLOCK)))
     blocks = cut.groupBy("tree", "code", "cut").agg(F.collect_list(F.struct("nid", "vec")).alias("held")).select("held")
-    edges = cut_lineage(_best(blocks.mapInArrow(_within, EDGES), k))
-    for _ in range(ROUNDS):
+    edges = cut_lineage(_best(blocks.mapInArrow(_within, EDGES).withColumn("old", F.lit(0)), k))
+    for turn in range(ROUNDS):
         far = edges.groupBy("u").agg(F.min("sim").alias("far"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("id"), F.when(F.col("n") < k, -2.0).otherwise(F.col("far")).cast("float").alias("far"))
         held = nodes.join(far, nodes.nid == far.id, "left").select("nid", F.coalesce("far", F.lit(-2.0).cast("float")).alias("far"), "vec")
-        lists = _around(edges, k).join(held, F.col("x") == F.col("nid")).groupBy("w").agg(F.collect_list(F.struct("nid", "far", "vec")).alias("held"))
+        lists = _around(edges, k, turn).join(held, F.col("x") == F.col("nid")).groupBy("w").agg(F.collect_list(F.struct("nid", "far", "vec")).alias("held"))
         found = lists.select("held").mapInArrow(_met, EDGES)
-        better = cut_lineage(_best(edges.withColumn("old", F.lit(1)).unionByName(found.withColumn("old", F.lit(0))), k))
-        total = better.count()
-        fresh = better.join(edges.select("u", "v"), ["u", "v"], "left_anti").count()
-        edges = better
-        if fresh <= SETTLED * total:
+        edges = cut_lineage(_best(edges.withColumn("old", F.lit(1)).unionByName(found.withColumn("old", F.lit(0))), k))
+        seen = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(1 - F.col("old")), F.lit(0)).alias("fresh")).first()
+        if seen.fresh <= SETTLED * seen.n:
             break
-    return edges
+    return edges.select("u", "v", "sim")
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -170,27 +169,20 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int
                 parts.append((np.repeat(batch.column(0).to_numpy(), best.shape[1]), ids[best].reshape(-1), np.take_along_axis(sims, best, 1).reshape(-1)))
             yield _edges(parts)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, parts = batch.num_rows, []
-            if n:
-                parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.einsum("ij,ij->i", _matrix(batch.column(2), n), _matrix(batch.column(3), n))))
-            yield _edges(parts)
-
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
-    named = lambda df: df.select(F.col("u").alias("q"), F.col("v").alias("node"), "sim")
-    beam = cut_lineage(named(queries.select("q", "qvec").mapInArrow(start, EDGES)).withColumn("done", F.lit(False)))
+    first = queries.select("q", "qvec").mapInArrow(start, EDGES).select(F.col("u").alias("q"), F.col("v").alias("node"), "sim")
+    beam = cut_lineage(first.withColumns({"done": F.lit(False), "now": F.lit(True)}))
     for _ in range(HOPS):
-        ranked = beam.withColumn("r", F.sum(F.when(F.col("done"), 0).otherwise(1)).over(best.rowsBetween(Window.unboundedPreceding, 0)))
-        marked = cut_lineage(ranked.select("q", "node", "sim", "done", (~F.col("done") & (F.col("r") <= EXPAND)).alias("now")))
-        front = marked.where("now")
+        front = beam.where("now")
         if front.limit(1).count() == 0:
             break
-        reached = front.join(near, front.node == near.w).select("q", F.explode("around").alias("node")).distinct().join(marked.select("q", "node"), ["q", "node"], "left_anti")
-        pairs = reached.join(queries, "q").join(nodes, F.col("node") == F.col("nid")).select("q", "node", "qvec", "vec")
-        new = named(pairs.mapInArrow(compare, EDGES)).withColumn("done", F.lit(False))
-        held = marked.select("q", "node", "sim", (F.col("done") | F.col("now")).alias("done")).unionByName(new)
-        beam = cut_lineage(held.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).drop("r"))
+        reached = front.join(near, front.node == near.w).select("q", F.explode("around").alias("node")).distinct().join(beam.select("q", "node"), ["q", "node"], "left_anti")
+        pairs = reached.join(queries, "q").join(nodes, F.col("node") == F.col("nid"))
+        new = pairs.select("q", "node", dot(F.col("qvec"), F.col("vec")).cast("float").alias("sim"), F.lit(False).alias("done"))
+        held = beam.select("q", "node", "sim", (F.col("done") | F.col("now")).alias("done")).unionByName(new)
+        held = held.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM)
+        left = F.sum(F.when(F.col("done"), 0).otherwise(1)).over(best.rowsBetween(Window.unboundedPreceding, 0))
+        beam = cut_lineage(held.select("q", "node", "sim", "done", (~F.col("done") & (left <= EXPAND)).alias("now")))
     return beam.select("q", "node", "sim")
 
 
