@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,23 +32,27 @@ def _lookup(col: Column, table: dict, default) -> Column:
 
 # ---------------------------------------------------------------- building findings
 
-def finding(targets: DataFrame, domain: str, title: str, severity: Column, key: str, name: str, amount: str, kept: int = 50) -> DataFrame:
-    """One finding from its target rows: total over all rows, and the largest targets listed with it."""
-    top = targets.orderBy(F.col(amount).desc(), F.col(key).asc()).limit(kept).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col(amount)).alias("neg"), F.col(key).cast("string").alias("code"), F.col(name).cast("string").alias("name")))).alias("t"))
-    total = scalar(targets.agg(F.coalesce(F.sum(amount), F.lit(0.0))))
-    n = scalar(targets.agg(F.count(F.lit(1))))
-    listed = F.transform("t", lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name"), (-x["neg"]).alias("amount")))
-    return top.select(F.lit(domain).alias("domain"), F.lit(title).alias("title"), total.alias("amount"), n.alias("n_targets"), listed.alias("targets")).select(
-        "domain", "title", severity.alias("severity"), "amount", "n_targets", "targets")
+class Findings(NamedTuple):
+    """Findings (domain, title, severity, amount, n_targets) and all their targets (domain, title, code, name, amount)."""
+    heads: DataFrame
+    targets: DataFrame
+
+
+def finding(targets: DataFrame, domain: str, title: str, severity: Column, key: str, name: str, amount: str) -> Findings:
+    """One finding from its target rows; every target stays."""
+    label = [F.lit(domain).alias("domain"), F.lit(title).alias("title")]
+    head = targets.agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias("amount"), F.count(F.lit(1)).alias("n_targets"))
+    rows = targets.select(*label, F.col(key).cast("string").alias("code"), F.col(name).cast("string").alias("name"), F.col(amount).alias("amount"))
+    return Findings(head.select(*label, severity.alias("severity"), "amount", "n_targets"), rows)
 
 
 def stake_severity(annual: Column) -> Column:
     return R.severity(F.col("amount"), annual)
 
 
-def all_findings(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).filter("n_targets > 0")
+def all_findings(parts: Sequence[Findings]) -> Findings:
+    both = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return Findings(both([p.heads for p in parts]).filter("n_targets > 0"), both([p.targets for p in parts]))
 
 
 def cash_finding(sales: DataFrame, purchases: DataFrame) -> DataFrame:
@@ -59,10 +64,10 @@ def cash_finding(sales: DataFrame, purchases: DataFrame) -> DataFrame:
     return rev.select(F.round(gap, 6).alias("gap_days"), F.round("revenue", 2).alias("trailing_revenue"), F.round(gap / 365 * F.col("revenue"), 2).alias("working_capital"))
 
 
-def ordered_findings(findings: DataFrame) -> DataFrame:
+def ordered_findings(findings: Findings) -> DataFrame:
     rank = _lookup(F.col("severity"), {"critical": 0, "high": 1, "medium": 2, "low": 3}, 4)
     w = Window.orderBy("s", F.col("amount").desc(), "title")                     # a few dozen findings
-    return findings.withColumn("s", rank).select(F.row_number().over(w).alias("position"), "domain", "title", "severity", F.round("amount", 2).alias("amount"), "n_targets")
+    return findings.heads.withColumn("s", rank).select(F.row_number().over(w).alias("position"), "domain", "title", "severity", F.round("amount", 2).alias("amount"), "n_targets")
 
 
 # ---------------------------------------------------------------- stakes and arbitration
@@ -81,34 +86,33 @@ def stake_totals(s: DataFrame) -> DataFrame:
     return g.unionByName(t).select("item", "customers", F.round("i", 2).alias("identified"), F.round("r", 2).alias("recoverable"))
 
 
-def arbitrate(findings: DataFrame) -> DataFrame:
+def arbitrate(findings: Findings) -> DataFrame:
     """Rank findings on one scale: amount times the recoverable share of their nature, severity stake when no amount."""
     share = _lookup(F.col("domain"), NATURE_SHARE, DEFAULT_SHARE)
     stake = F.when(F.col("domain") == "model_quality", 0.0).when(F.col("amount") > 0, F.col("amount") * share).otherwise(_lookup(F.col("severity"), SEVERITY_STAKE, 1e4))
     w = Window.orderBy(F.col("stake").desc(), "title")                           # a few dozen findings
-    return findings.withColumns({"share": share, "stake": stake}).withColumn("rank", F.row_number().over(w))
+    return findings.heads.withColumns({"share": share, "stake": stake}).withColumn("rank", F.row_number().over(w))
 
 
-def multi_domain_customers(findings: DataFrame) -> DataFrame:
-    """Names flagged in at least two domains, with the cumulated amount."""
-    t = findings.select("domain", F.explode("targets").alias("t")).filter(F.length(F.trim("t.name")) >= 3)
-    d = t.groupBy(F.upper(F.trim("t.name")).alias("name"), "domain").agg(F.sum("t.amount").alias("a"))
+def multi_domain_customers(findings: Findings) -> DataFrame:
+    """Names flagged in at least two domains, with the cumulated amount over all targets."""
+    t = findings.targets.filter(F.length(F.trim("name")) >= 3)
+    d = t.groupBy(F.upper(F.trim("name")).alias("name"), "domain").agg(F.sum("amount").alias("a"))
     return d.groupBy("name").agg(F.count(F.lit(1)).alias("n_domains"), F.array_sort(F.collect_set("domain")).alias("ds"), F.sum("a").alias("a")).filter("n_domains >= 2").select(
         "name", "n_domains", F.array_join("ds", ",").alias("domains"), F.round("a", 2).alias("amount"))
 
 
 def open_quotes_by_customer(quotes: DataFrame) -> DataFrame:
-    """One line per customer from its open quotes; the number list is bounded, the counts and amounts are whole."""
+    """One line per customer from its open quotes: their count, amount and numbers, latest first."""
     o = quotes.filter(~F.col("converted"))
-    g = o.groupBy("customer").agg(F.count(F.lit(1)).alias("open_quotes"), F.sum("ht").alias("h"))
-    first = top_k_per(o, ["customer"], [F.col("date").desc(), F.col("quote_no").asc()], 5).groupBy("customer").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("quote_no").cast("string").alias("q")))), lambda x: x["q"]), ", ").alias("latest_quotes"))
-    return g.join(first, "customer").select("customer", "open_quotes", F.round("h", 4).alias("amount"), "latest_quotes")
+    held = F.array_sort(F.collect_list(F.struct(F.datediff(F.lit("2100-01-01").cast("date"), "date").alias("age"), "quote_no")))
+    g = o.groupBy("customer").agg(F.count(F.lit(1)).alias("open_quotes"), F.sum("ht").alias("h"), held.alias("q"))
+    return g.select("customer", "open_quotes", F.round("h", 4).alias("amount"), F.array_join(F.transform("q", lambda x: x["quote_no"].cast("string")), ", ").alias("quotes"))
 
 
 # ---------------------------------------------------------------- dispatch
 
-def dispatch_plan(findings: DataFrame, per_finding: int = PER_FINDING, per_run: int = PER_RUN) -> DataFrame:
+def dispatch_plan(findings: Findings, per_finding: int = PER_FINDING, per_run: int = PER_RUN) -> DataFrame:
     """Proposals in order: customers flagged in several domains first, then ranked findings target by target, under the caps."""
     c, ranked = F.col, arbitrate(findings)
     multi = multi_domain_customers(findings)
@@ -116,9 +120,10 @@ def dispatch_plan(findings: DataFrame, per_finding: int = PER_FINDING, per_run:
                          F.lit("high").alias("severity"), c("amount"), c("name"))
     live = ranked.filter(c("severity").isin(*DELEGATED) & (c("domain") != "model_quality"))
     share = F.when(c("amount") > 0, c("share")).otherwise(F.lit(1.0))
-    targets = live.select("rank", "title", "domain", "severity", share.alias("sh"), F.posexplode("targets").alias("i", "t")).select(
-        "rank", "title", "domain", "severity", "i", F.upper(F.trim("t.name")).alias("name"), (c("t.amount") * c("sh")).alias("a")).join(multi.select("name"), "name", "left_anti")
-    rest = top_k_per(targets, ["rank"], [c("i").asc()], per_finding, "pos").select(
+    targets = findings.targets.select("domain", "title", F.upper(F.trim("name")).alias("name"), c("amount").alias("ta"), "code").join(
+        F.broadcast(live.select("rank", "title", "domain", "severity", share.alias("sh"))), ["domain", "title"]).select(
+        "rank", "title", "domain", "severity", "name", "ta", "code", (c("ta") * c("sh")).alias("a")).join(multi.select("name"), "name", "left_anti")      # a few dozen findings
+    rest = top_k_per(targets, ["rank"], [c("ta").desc(), c("code").asc()], per_finding, "pos").select(
         F.lit(1).alias("tier"), c("rank").alias("r"), "pos", F.concat("title", F.lit(": "), c("name")).alias("origin"), "domain", "severity", c("a").alias("amount"), "name")
     u = first.unionByName(rest)
     top = u.orderBy("tier", "r", "pos", c("amount").desc(), "name").limit(per_run)

@@ -18,9 +18,9 @@ ITEMS_PER_BLOCK = 2048
 
 
 def purchases(lines: DataFrame, names: DataFrame) -> DataFrame:
-    """(customer, item, month) of real goods, with the establishment type of the customer."""
+    """(customer, item, date) of real goods, items by product reference, with the establishment type of the customer."""
     ok = lines.filter((F.col("amount") > 0) & ~F.upper(F.coalesce("family", F.lit(""))).startswith("SERVICE"))
-    d = ok.groupBy("customer", F.col("label").alias("item"), "date").agg(F.sum("amount").alias("amount"), F.min("family").alias("family"))
+    d = ok.groupBy("customer", F.col("reference").alias("item"), "date").agg(F.sum("amount").alias("amount"), F.min("family").alias("family"))
     return d.join(names.select("customer", R.establishment_type(F.col("customer_name")).alias("type")), "customer", "left")
 
 
@@ -95,10 +95,7 @@ def basket_of(bought: DataFrame) -> DataFrame:
 
 
 def knn_candidates(bought: DataFrame, cutoff: Column) -> DataFrame:
-    """Items an active customer never bought that share a buyer with the basket, with similarity sum and maximum.
-
-    An item sharing no buyer has similarity zero, so it is never listed before these.
-    """
+    """Items an active customer never bought that share a buyer with the basket, with similarity sum and maximum; all others have zero for both."""
     past = bought.filter(F.col("date") <= cutoff)
     last12 = recent(bought, cutoff, 12)
     catalogue = last12.groupBy("item").agg(F.lit(1).alias("_")).drop("_")
@@ -114,8 +111,12 @@ def popularity(bought: DataFrame, cutoff: Column, by: Sequence[str] = ()) -> Dat
     """Buyers of the last twelve months per item (and per type), ranked."""
     cust = recent(bought, cutoff, 12).groupBy(*by, "customer", "item").agg(F.lit(1).alias("_"))
     g = cust.groupBy(*by, "item").agg(F.count(F.lit(1)).alias("buyers"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("buyers").desc(), "item")      # one row per catalogue item
-    return g.withColumn("pop_rank", F.row_number().over(w))
+    # items of one number of buyers are ranked together, after all with more
+    sizes = g.groupBy(*by, "buyers").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("buyers").desc()).rowsBetween(Window.unboundedPreceding, -1)      # one row per number of buyers
+    before = sizes.select(*by, F.col("buyers"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    inner = Window.partitionBy(*by, "buyers").orderBy("item")
+    return g.join(before, [*by, "buyers"]).select(*by, "item", "buyers", (F.col("before") + F.row_number().over(inner)).cast("int").alias("pop_rank"))
 
 
 def popular_unseen(bought: DataFrame, cutoff: Column, by_type: bool = False, k: int = 10) -> DataFrame:
@@ -135,7 +136,14 @@ def popular_unseen(bought: DataFrame, cutoff: Column, by_type: bool = False, k:
 
 
 def knn_lists(bought: DataFrame, cutoff: Column, k: int = 10) -> DataFrame:
-    c = knn_candidates(bought, cutoff).join(popularity(bought, cutoff).select("item", "buyers"), "item")
+    """The k unseen catalogue items of highest score per active customer, items of similarity zero among them.
+
+    Such an item scores by popularity alone, and every more popular unseen item scores at least as much; so of these
+    only the k most popular unseen items can be among the first k.
+    """
+    near = knn_candidates(bought, cutoff).select("customer", "item", "knn_sum")
+    popular = popular_unseen(bought, cutoff, k=k).select("customer", "item", F.lit(0.0).alias("knn_sum"))
+    c = near.unionByName(popular).groupBy("customer", "item").agg(F.max("knn_sum").alias("knn_sum")).join(popularity(bought, cutoff).select("item", "buyers"), "item")
     score = F.round(F.col("knn_sum") + 1e-3 * F.log1p("buyers"), 9)
     return top_k_per(c.withColumn("score", score), ["customer"], [F.col("score").desc(), F.col("item").asc()], k).select("customer", "item", "rank", "score")
 
@@ -194,12 +202,12 @@ def learned_lists(bought: DataFrame, train_cut: Column, test_cut: Column, k: int
 def recommendation_table(bought: DataFrame, lists: DataFrame, cutoff: Column) -> DataFrame:
     """Lists enriched with buyers, adoption in the same type and the median yearly spend of a buyer."""
     last12 = recent(bought, cutoff, 12)
-    spend = last12.groupBy("item", "customer").agg(F.sum("amount").alias("a")).groupBy("item").agg(F.count(F.lit(1)).alias("buyers"), F.percentile_approx("a", 0.5, 10000).alias("median_spend"))
+    spend = last12.groupBy("item", "customer").agg(F.sum("amount").alias("a")).groupBy("item").agg(F.count(F.lit(1)).alias("buyers"), F.percentile("a", F.lit(0.5)).alias("median_spend"))
     who = bought.groupBy("customer").agg(F.min("type").alias("type"))
     bt = popularity(bought, cutoff, ["type"]).select("type", "item", F.col("buyers").alias("bt"))
     nt = last12.groupBy("type", "customer").agg(F.lit(1).alias("_")).groupBy("type").agg(F.count(F.lit(1)).alias("nt"))
     x = lists.join(who, "customer").join(spend.withColumnRenamed("buyers", "item_buyers"), "item").join(bt, ["type", "item"], "left").join(nt, "type")
-    return x.select("customer", "rank", "item", "item_buyers", F.round(R.pct(F.coalesce("bt", F.lit(0)), F.col("nt")), 6).alias("type_adoption_pct"), F.round("median_spend", 4).alias("median_yearly_spend"))
+    return x.select("customer", "rank", "item", "item_buyers", F.round(R.pct(F.coalesce("bt", F.lit(0)), F.col("nt")), 6).alias("type_adoption_pct"), F.round(F.col("median_spend") + 1e-7, 4).alias("median_yearly_spend"))
 
 
 def potential(table: DataFrame, top: int = 3) -> DataFrame:

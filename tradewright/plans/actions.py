@@ -23,7 +23,7 @@ V = {
         round(coalesce(sum(ttc) FILTER (date >= md - 180 AND date < md - 90), 0), 2) AS before FROM sales, (SELECT max(date) AS md FROM sales) GROUP BY 1) JOIN customers USING (customer) WHERE am >= 6 AND before > 0 AND recent < before * 0.4""",
     "t_com": "SELECT customer AS code, customer_name AS name, amount FROM (SELECT customer, round(sum(ht), 4) AS amount FROM quotes WHERE NOT converted GROUP BY 1) JOIN customers USING (customer)",
     "found": " UNION ALL ".join(f"""SELECT '{d}' AS domain, '{t}' AS title, CASE WHEN a <= 0 THEN 'low' WHEN a / (SELECT round(y, 2) FROM annual) >= 0.05 THEN 'high' ELSE 'medium' END AS severity, a AS amount, n AS n_targets, l AS targets
-        FROM (SELECT sum(amount) AS a, count(*) AS n, list({{'code': code, 'name': name, 'amount': amount}} ORDER BY amount DESC, CAST(code AS VARCHAR))[1:50] AS l FROM {v})""" for d, t, v in (
+        FROM (SELECT sum(amount) AS a, count(*) AS n, list({{'code': code, 'name': name, 'amount': amount}} ORDER BY amount DESC, CAST(code AS VARCHAR)) AS l FROM {v})""" for d, t, v in (
         ("recovery", "overdue receivables", "t_rec"), ("retention", "disengaging customers", "t_ret"), ("commercial", "open quotes", "t_com"))),
     "arb": """SELECT *, row_number() OVER (ORDER BY stake DESC, title) AS rank FROM (SELECT *, CASE domain WHEN 'recovery' THEN 0.15::DOUBLE WHEN 'retention' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS share,
         amount * CASE domain WHEN 'recovery' THEN 0.15::DOUBLE WHEN 'retention' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS stake FROM found)""",
@@ -70,7 +70,7 @@ q("n12_arbitration", lambda t: A.arbitrate(findings(t)).select("rank", "domain",
 q("n12_multi_domain_customers", lambda t: A.multi_domain_customers(findings(t)), "SELECT * FROM multi")
 q("n13_open_quotes_by_customer", lambda t: A.open_quotes_by_customer(t.quotes), """
   WITH o AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY date DESC, quote_no) AS r FROM quotes WHERE NOT converted)
-  SELECT customer, count(*) AS open_quotes, round(sum(ht), 4) AS amount, string_agg(CAST(quote_no AS VARCHAR), ', ' ORDER BY r) FILTER (r <= 5) AS latest_quotes FROM o GROUP BY 1""")
+  SELECT customer, count(*) AS open_quotes, round(sum(ht), 4) AS amount, string_agg(CAST(quote_no AS VARCHAR), ', ' ORDER BY r) AS quotes FROM o GROUP BY 1""")
 q("n11_stakes", lambda t: A.stakes(stake_items(t)), "WITH {I} SELECT item, customer, round(sum(amount), 4) AS identified, round(sum(amount) * CASE item WHEN 'open_quotes' THEN 0.15 WHEN 'overdue' THEN 0.3 ELSE 0.2 END, 8) AS recoverable FROM i WHERE amount > 0 GROUP BY 1, 2".replace(
     "{I}", "i AS (SELECT 'open_quotes' AS item, code AS customer, amount::DOUBLE AS amount FROM t_com UNION ALL SELECT 'overdue', code, amount FROM t_rec UNION ALL SELECT 'churn', code, amount FROM t_ret)"))
 q("n11_stake_totals", lambda t: A.stake_totals(A.stakes(stake_items(t))), """
@@ -87,7 +87,7 @@ def stake_items(t):
         item(rec.overdue_receivables(t.sales, t.customers), "overdue", "customer", "overdue")).unionByName(item(away, "churn", "customer", "loss"))
 
 
-PLAN = """WITH tg AS (SELECT rank, title, domain, severity, share, upper(trim(targets[i].name)) AS name, targets[i].amount * share AS a, i FROM arb, (SELECT unnest(range(1, 51)) AS i) WHERE i <= len(targets) AND severity IN ('critical', 'high', 'medium')),
+PLAN = """WITH tg AS (SELECT rank, title, domain, severity, share, upper(trim(targets[i].name)) AS name, targets[i].amount * share AS a, i FROM arb, (SELECT unnest(range(1, (SELECT max(n_targets) FROM found) + 1)) AS i) WHERE i <= len(targets) AND severity IN ('critical', 'high', 'medium')),
   f AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY i) AS pos FROM tg WHERE name NOT IN (SELECT name FROM multi)),
   u AS (SELECT 0 AS tier, 0 AS r, 0 AS pos, concat('account review: ', name) AS origin, split_part(domains, ',', 1) AS domain, 'high' AS severity, amount AS a, name FROM multi
     UNION ALL SELECT 1, rank, pos, concat(title, ': ', name), domain, severity, a, name FROM f WHERE pos <= 3),

@@ -222,14 +222,14 @@ XF = [f for f in P.REFERENCE_FEATURES if f not in ("position", "growth_12")]
 q("t11_reference_features", lambda t: rnd(P.reference_features(ref_demand(t), ref_flows(t)), [*XF, "growth_12"], 4).drop("position", "h", "target_month"), f"""
   SELECT reference, m, {rsql(XF, 4)}, round(CASE WHEN mean_12_before > 0 THEN mean_12 / mean_12_before END + 1e-9, 4) AS growth_12, target FROM reffeat JOIN refmarket USING (m) WHERE eligible""")
 V["rbuy"] = "SELECT reference, customer, m, q FROM refper WHERE q > 0"
-q("t11_customer_signals", lambda t: rnd(P.customer_signals(t.sales_lines, t.quotes).filter("quoted_amount_3m > 0"), ["expected_repurchase", "quote_activity", "quoted_amount_3m"], 3), f"""
+q("t11_customer_signals", lambda t: rnd(P.customer_signals(t.sales_lines, t.quotes), ["expected_repurchase", "quote_activity", "quoted_amount_3m"], 3), f"""
   WITH v AS (SELECT reference, customer, m + k AS m, sum(q) AS v FROM rbuy, (SELECT unnest(range(12)) AS k) GROUP BY 1, 2, 3), qm AS (SELECT customer, {MI.format('date')} AS qm, sum(ht) AS ht FROM quotes GROUP BY 1, 2),
   lo AS (SELECT min(m) AS lo FROM rbuy), p AS (SELECT customer, qm + k AS m, coalesce(sum(ht) FILTER (k <= 2), 0) AS recent, coalesce(sum(ht) FILTER (k >= 3), 0) AS before FROM qm, (SELECT unnest(range(15)) AS k) GROUP BY 1, 2),
   x AS (SELECT v.*, coalesce(recent, 0) AS recent, coalesce(CASE WHEN m - lo - 2 > 0 THEN before / least(12, m - lo - 2) * 3 END, 0) AS usual FROM v LEFT JOIN p USING (customer, m), lo),
   s AS (SELECT reference, m, sum(v * least(CASE WHEN usual > 0 THEN recent / usual WHEN recent > 0 THEN 2 ELSE 1 END, 5)) / sum(v) AS qa, sum(v * recent) / sum(v) AS qq FROM x GROUP BY 1, 2),
   o AS (SELECT DISTINCT reference, customer, m + k AS o FROM rbuy, (SELECT unnest([10, 11, 12]) AS k)), w AS (SELECT o.reference, o.o AS m, o.customer, sum(q) FILTER (b.m BETWEEN o.o - 12 AND o.o - 10) AS th,
     coalesce(sum(q) FILTER (b.m BETWEEN o.o - 9 AND o.o), 0) AS si FROM o JOIN rbuy b ON b.reference = o.reference AND b.customer = o.customer GROUP BY 1, 2, 3), a AS (SELECT reference, m, sum(th) AS er FROM w WHERE si = 0 GROUP BY 1, 2)
-  SELECT reference, m, round(coalesce(er, 0) + 1e-9, 3) AS expected_repurchase, round(qa + 1e-9, 3) AS quote_activity, round(qq + 1e-9, 3) AS quoted_amount_3m FROM s LEFT JOIN a USING (reference, m) WHERE qq > 0""")
+  SELECT reference, m, round(coalesce(er, 0) + 1e-9, 3) AS expected_repurchase, round(coalesce(qa, 0) + 1e-9, 3) AS quote_activity, round(coalesce(qq, 0) + 1e-9, 3) AS quoted_amount_3m FROM s FULL JOIN a USING (reference, m)""")
 
 # ------------------------------------------------------------ profiles and elementary windows
 q("t12_customer_profiles", lambda t: rnd(P.customer_profiles(t.sales, t.customers, star.mart_demand_customer_product(t.sales_lines)).drop("revenue"), P.PROFILE_FEATURES), f"""

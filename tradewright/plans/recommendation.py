@@ -15,7 +15,7 @@ c = F.col
 CUT = "2001-03-31"
 V = {
     **pp.V,
-    "bought": """SELECT customer, label AS item, date, amount, family, type FROM (SELECT customer, label, date, sum(amount) AS amount, min(family) AS family FROM lines WHERE amount > 0 AND family NOT LIKE 'SERVICE%' GROUP BY 1, 2, 3)
+    "bought": """SELECT customer, reference AS item, date, amount, family, type FROM (SELECT customer, reference, date, sum(amount) AS amount, min(family) AS family FROM lines WHERE amount > 0 AND family NOT LIKE 'SERVICE%' GROUP BY 1, 2, 3)
         JOIN (SELECT customer, CASE segment WHEN 'HOUSEHOLD' THEN 'public_hospital' WHEN 'MACHINERY' THEN 'private_clinic' WHEN 'FURNITURE' THEN 'laboratory' ELSE 'other' END AS type FROM customers) USING (customer)""",
     "past": f"SELECT * FROM bought WHERE date <= DATE '{CUT}'",
     "l12": f"SELECT * FROM past WHERE date > DATE '2000-03-31'",
@@ -28,7 +28,8 @@ V = {
     "popt": "SELECT type, item, count(DISTINCT customer) AS bt FROM l12 GROUP BY 1, 2",
     "adopt": f"""SELECT DISTINCT customer, item FROM bought WHERE date > DATE '{CUT}' AND date <= DATE '2001-06-30' AND item IN (SELECT item FROM l12) AND customer IN (SELECT customer FROM l12)
         AND NOT EXISTS (SELECT 1 FROM past p WHERE p.customer = bought.customer AND p.item = bought.item)""",
-    "knn": """SELECT customer, item, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, item) AS rank FROM (SELECT customer, item, round(knn_sum + 1e-3 * ln(1 + buyers), 9) AS score FROM cand JOIN pop USING (item))
+    "knn": """SELECT customer, item, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, item) AS rank FROM (SELECT a.customer, pop.item, round(coalesce(knn_sum, 0) + 1e-3 * ln(1 + buyers), 9) AS score
+        FROM (SELECT DISTINCT customer FROM l12) a CROSS JOIN pop LEFT JOIN cand ON cand.customer = a.customer AND cand.item = pop.item WHERE NOT EXISTS (SELECT 1 FROM own w WHERE w.customer = a.customer AND w.item = pop.item))
         QUALIFY rank <= 10""",
     "popular": """SELECT customer, item, buyers, row_number() OVER (PARTITION BY customer ORDER BY buyers DESC, item) AS rank FROM (SELECT DISTINCT customer FROM l12) a, pop
         WHERE NOT EXISTS (SELECT 1 FROM past p WHERE p.customer = a.customer AND p.item = pop.item) QUALIFY rank <= 10""",
@@ -91,10 +92,12 @@ q("t13_recommendation_examples", lambda t: pp.rnd(Y.examples(bought(t), cut()),
   FROM e JOIN cu USING (customer) JOIN cr USING (customer) JOIN ow USING (customer) JOIN fi USING (item) JOIN pr USING (item) JOIN pop USING (item) LEFT JOIN b3 USING (item) LEFT JOIN popt USING (type, item) JOIN nt USING (type)
   LEFT JOIN fa USING (customer, family)""")
 q("y3_learned_ranker", lambda t: _summary(t, Y.learned_lists(bought(t), cut("2000-12-31"), cut())))
-q("y4_recommendation_table", lambda t: Y.recommendation_table(bought(t), Y.knn_lists(bought(t), cut()), cut()).drop("median_yearly_spend"), """
-  SELECT k.customer, rank, item, buyers AS item_buyers, round(coalesce(bt, 0) * 100.0 / nt, 6) AS type_adoption_pct FROM knn k JOIN (SELECT customer, min(type) AS type FROM bought GROUP BY 1) USING (customer) JOIN pop USING (item)
+q("y4_recommendation_table", lambda t: Y.recommendation_table(bought(t), Y.knn_lists(bought(t), cut()), cut()), """
+  WITH sp AS (SELECT item, round(median(a) + 1e-7::DOUBLE, 4) AS median_yearly_spend FROM (SELECT item, customer, sum(amount) AS a FROM l12 GROUP BY 1, 2) GROUP BY 1)
+  SELECT k.customer, rank, item, median_yearly_spend, buyers AS item_buyers, round(coalesce(bt, 0) * 100.0 / nt, 6) AS type_adoption_pct FROM knn k JOIN (SELECT customer, min(type) AS type FROM bought GROUP BY 1) USING (customer) JOIN pop USING (item) JOIN sp USING (item)
   LEFT JOIN popt USING (type, item) JOIN (SELECT type, count(DISTINCT customer) AS nt FROM l12 GROUP BY 1) USING (type)""")
-q("y4_potential", lambda t: Y.potential(Y.recommendation_table(bought(t), Y.knn_lists(bought(t), cut()), cut())))
+q("y4_potential", lambda t: Y.potential(Y.recommendation_table(bought(t), Y.knn_lists(bought(t), cut()), cut())), """
+  WITH sp AS (SELECT item, round(median(a) + 1e-7::DOUBLE, 4) AS s FROM (SELECT item, customer, sum(amount) AS a FROM l12 GROUP BY 1, 2) GROUP BY 1) SELECT customer, round(sum(s), 2) AS potential FROM knn JOIN sp USING (item) WHERE rank <= 3 GROUP BY 1""")
 
 # ------------------------------------------------------------ explanations
 WEIGHTS = {"recency_days": 0.8, "freq_12m": -0.6, "log_rev_12m": -0.4, "recency_gap_ratio": 0.5, "gap_std": 0.1}
