@@ -230,7 +230,9 @@ def severity(stake: Column, annual_revenue: Column, high_share: float = 0.05) ->
 
 
 # ---------------------------------------------------------------- names and numbers
+# Legal forms dropped from company names.
 LEGAL_FORMS = r"\b(s\.?a\.?r\.?l|s\.?a|suarl|sarl|ste|societe|company|co|ltd|inc|group|groupe)\b"
+# end of fixed values
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
