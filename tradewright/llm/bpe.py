@@ -3,7 +3,7 @@
 Bytes stand as characters U+0000 to U+00FF, so a byte array is a string and joining bytes is joining strings. The rank
 map is a literal, an array of small maps picked by a hash. A word's merges are a fold: each step joins the leftmost adjacent pair
 of lowest rank. The distinct words of the whole table are counted, and the most frequent, at most `DICTIONARY` of
-them, are folded once and become a second literal; a word outside it is folded where it stands. Decoding joins
+them, are folded once and become a second map; a word outside it is folded where it stands. Decoding joins
 the pieces of the ids.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import public_tokenizers
@@ -23,6 +24,7 @@ from tradewright.session import stored
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 16384
 DICTIONARY = 400_000
+DICTIONARY_SHARDS = 131072     # a few words each
 #: White space by Unicode's White_Space property, as a character class of Java.
 SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -62,41 +64,48 @@ class Codec:
         return F.from_json(F.lit(json.dumps(self.spark_shards)), "array<map<string,int>>")
 
 
-def _shard(piece: Column) -> Column:
-    return F.pmod(F.hash(piece), F.lit(SHARDS))
+def _shard(piece: Column, shards: int = SHARDS) -> Column:
+    return F.pmod(F.hash(piece), F.lit(shards))
 
 
-def _look_up(shards: Column, piece: Column) -> Column:
-    return F.try_element_at(F.get(shards, _shard(piece)), piece)
+def _look_up(maps: Column, piece: Column, shards: int = SHARDS) -> Column:
+    return F.try_element_at(F.get(maps, _shard(piece, shards)), piece)
 
 
 def as_bytes(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def merged(word: Column, ranks: Column) -> Column:
-    """The ids of one word of bytes: a fold of merges over its characters."""
-    def step(state: Column, _: Column) -> Column:
-        parts = state["parts"]
-        after = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
-        pairs = F.zip_with(parts, after, lambda a, b: _look_up(ranks, F.concat(a, b)))
-        return F.when(state["done"], state).otherwise(_join_lowest(parts, pairs))
+    """The ids of one word of bytes: a fold of merges over its characters.
+
+    The state holds the parts and, beside each, the rank of its pair with the next one; a merge looks up the two new pairs only.
+    """
+    def start(letters: Column) -> Column:
+        after = F.slice(letters, 2, F.greatest(F.size(letters), F.lit(1)))
+        return F.struct(letters.alias("parts"), F.zip_with(letters, after, lambda a, b: _look_up(ranks, F.concat(a, b))).alias("pairs"))
 
-    def _join_lowest(parts: Column, pairs: Column) -> Column:
-        # the pairs are computed once, as the accumulator of a fold over one element
-        held = F.transform(F.array(pairs), lambda p: F.struct(p.alias("p"), F.array_min(p).alias("low")))
-        out = F.transform(held, lambda h: F.when(h["low"].isNull(), F.struct(parts.alias("parts"), F.lit(True).alias("done"))).otherwise(
-            _joined(parts, F.array_position(h["p"], h["low"]).cast("int"))))
-        return F.get(out, F.lit(0))
+    def step(state: Column, _: Column) -> Column:
+        low = F.array_min(state["pairs"])
+        return F.when(low.isNull(), state).otherwise(_let(F.array_position(state["pairs"], low).cast("int"), lambda at: join(state["parts"], state["pairs"], at)))
 
-    def _joined(parts: Column, at: Column) -> Column:
-        one = F.array(F.concat(F.get(parts, at - 1), F.get(parts, at)))
-        return F.struct(F.concat(F.slice(parts, F.lit(1), at - 1), one, F.slice(parts, at + 2, F.size(parts))).alias("parts"), F.lit(False).alias("done"))
+    def join(parts: Column, pairs: Column, at: Column) -> Column:
+        # the parts `at` and the next one (counted from 1) become one; pairs on both sides of it are new
+        new = F.concat(F.get(parts, at - 1), F.get(parts, at))
+        longer = F.transform(parts, lambda p, i: F.when(i == at - 1, new).otherwise(p))
+        ranked = F.transform(pairs, lambda r, i: F.when(i == at - 2, _look_up(ranks, F.concat(F.get(parts, i), new))).when(i == at - 1, _look_up(ranks, F.concat(new, F.get(parts, at + 1)))).otherwise(r))
+        return F.struct(F.filter(longer, lambda _, i: i != at).alias("parts"), F.filter(ranked, lambda _, i: i != at).alias("pairs"))
 
-    letters = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    start = F.struct(letters.alias("parts"), F.lit(False).alias("done"))
-    last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step)
-    return F.transform(last["parts"], lambda p: _look_up(ranks, p))
+    def ids(raw: Column) -> Column:
+        letters = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
+        last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(raw) - 1, F.lit(1))), _let(letters, start), step)
+        return F.transform(last["parts"], lambda p: _look_up(ranks, p))
+    return _let(word, ids)
 
 
 def words(text: Column, pattern: str | None = None) -> Column:
@@ -115,15 +124,20 @@ def dictionary(docs: DataFrame, codec: Codec, most: int = DICTIONARY) -> DataFra
         least = r.level
     common = counted.where(level >= F.lit(least if least is not None else 1 << 20)).select("word", as_bytes(F.col("word")).alias("bytes"))
     ranks = codec.rank_map(docs)
-    return stored(common.select("word", F.coalesce(F.array(_look_up(ranks, F.col("bytes"))), F.array()).alias("whole"), "bytes")
-                  .select("word", F.when(F.get("whole", F.lit(0)).isNotNull(), F.col("whole")).otherwise(merged(F.col("bytes"), ranks)).alias("ids")), "word-ids")
+    ids = _let(ranks, lambda r: _whole_or_merged(F.col("bytes"), r))
+    return stored(common.select("word", ids.alias("ids")), "word-ids")
+
+
+def _whole_or_merged(raw: Column, ranks: Column) -> Column:
+    return _let(_look_up(ranks, raw), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(merged(raw, ranks)))
 
 
-def _as_literal(known: DataFrame) -> Column:
-    """The dictionary as a literal like the rank map; at most `SHARDS` texts with `most` words in all reach the driver."""
-    entries = F.map_from_entries(F.collect_list(F.struct("word", "ids")))
-    texts = dict(known.groupBy(_shard(F.col("word")).alias("s")).agg(F.to_json(entries).alias("m")).collect())
-    return F.from_json(F.lit("[" + ",".join(texts.get(s, "{}") for s in range(SHARDS)) + "]"), "array<map<string,array<int>>>")
+def _as_value(known: DataFrame) -> Column:
+    """The dictionary as one value, an array of small maps: a scalar subquery of bounded size."""
+    by = known.groupBy(_shard(F.col("word"), DICTIONARY_SHARDS).alias("s")).agg(F.collect_list(F.struct("word", "ids")).alias("m"))
+    slots = known.sparkSession.range(DICTIONARY_SHARDS).select(F.col("id").cast("int").alias("slot"))
+    one = slots.join(by, F.col("slot") == F.col("s"), "left").agg(F.sort_array(F.collect_list(F.struct("slot", "m"))).alias("all"))
+    return one.select(F.transform("all", lambda x: F.map_from_entries(F.coalesce(x["m"], F.array().cast("array<struct<word:string,ids:array<int>>>"))))).scalar()
 
 
 def encode(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
@@ -133,14 +147,11 @@ def encode(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) ->
     column named `ids` gives way.
     """
     codec = Codec(path)
-    ranks, common = codec.rank_map(docs), _as_literal(dictionary(docs, codec, most))
-
-    def ids(word: Column) -> Column:
-        raw = as_bytes(word)
-        whole = F.array(_look_up(ranks, raw))
-        return F.coalesce(_look_up(common, word), F.when(F.get(whole, F.lit(0)).isNotNull(), whole), merged(raw, ranks))
-
-    return docs.select(*carried(docs, "ids"), F.flatten(F.transform(words(text_or_empty()), ids)).alias("ids"))
+    ranks, known = codec.rank_map(docs), _as_value(dictionary(docs, codec, most))
+    # each map stands once in the plan and is handed down by name
+    one = lambda word, r, c: F.coalesce(_look_up(c, word, DICTIONARY_SHARDS), _let(as_bytes(word), lambda raw: _whole_or_merged(raw, r)))
+    ids = _let(ranks, lambda r: _let(F.col("__tw_known"), lambda c: F.flatten(F.transform(words(text_or_empty()), lambda word: one(word, r, c)))))
+    return docs.withColumn("__tw_known", known).select(*carried(docs, "ids"), ids.alias("ids"))
 
 
 def decode(ids: Column, codec: Codec) -> Column:
