@@ -19,7 +19,7 @@ from tradewright.session import cut_lineage, stored
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.7
 ROUNDS = 30
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
 THRESHOLD = 0.5
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 
