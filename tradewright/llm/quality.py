@@ -209,6 +209,6 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns as they were, that the base rules and the learned rules let pass."""
-    rules = learn_rules(statistics(docs.select("doc_id", "text")).drop("text"), labels)
-    counted = statistics(docs.select(F.struct(*carried(docs)).alias("__tw_row"), "text"))
-    return judge(counted, rules).where("kept").select("__tw_row.*")
+    # stored before the filter: pushed below, it would compute the counts anew inside its condition
+    counted = stored(statistics(docs.select(F.struct(*carried(docs)).alias("__tw_row"), "doc_id", "text")).drop("text"), "quality-counts")
+    return judge(counted, learn_rules(counted, labels)).where("kept").select("__tw_row.*")
