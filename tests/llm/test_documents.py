@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tests.llm.conftest import COPY, ROWS
+from tests.llm.conftest import COPY, LONG, ROWS
 from tradewright.llm import bpe, langid, line_dedup, lm, mixing, near_dedup, quality
 
 
@@ -225,3 +225,25 @@ def test_probabilities_of_all_ids_sum_to_one():
     logits = np.random.Generator(np.random.PCG64(1)).standard_normal((1, 1, lm.CLASSES))
     total = sum(np.exp(lm.log_probability(logits.copy(), np.array([[c]])))[0, 0] for c in range(lm.CLASSES))
     assert total == pytest.approx(1)
+
+
+def test_model_trains_on_every_window():
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    path = public_tokenizers.path(lm.RANKS)
+    texts = [LONG, COPY, "", None]
+    _, _, ids, bounds = lm._sequences(*list(lm.chunks(pa.array(texts)))[0][1:], lm.Subwords(path))
+    prior, classes = np.zeros((lm.IDS + 1, lm.CLASSES), np.float32), np.append(np.arange(lm.IDS) % lm.CLASSES, lm.CLASSES)
+    for turn in range(lm.ROUNDS):
+        out = list(lm._train(path, classes, prior, lm.Model.fresh(), turn)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+        assert out[0].column(2)[0].as_py() == len(lm.windows(ids, bounds)[0])
+
+
+def test_scores_do_not_depend_on_the_size_of_the_pair_table(docs, monkeypatch):
+    """Pairs outside the table are joined."""
+    some = docs.where("doc_id < 60").select("doc_id", "text").coalesce(1)
+    whole = {r.doc_id: r.score for r in lm.score_documents(some).collect()}
+    monkeypatch.setattr(lm, "PAIRS", 300)
+    cut = {r.doc_id: r.score for r in lm.score_documents(some).collect()}
+    assert cut == {d: pytest.approx(x, rel=1e-5) for d, x in whole.items()}
