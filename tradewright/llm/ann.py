@@ -2,7 +2,7 @@
 
 Index: equal vectors are one node. A first graph comes from exact neighbours within bounded blocks of hyperplane
 codes; then rounds of NN-descent join each node's neighbours and reverse neighbours with each other and keep the better
-ones, until few edges change. Search: a beam for each query starts at the nearest of a fixed number of pivots and moves along the
+ones, until few edges change. Search: a beam for each query starts at its own node and the nearest of a fixed number of pivots and moves along the
 edges of its best nodes not yet expanded, one Spark join a hop, until the beam stands still.
 """
 
@@ -21,11 +21,11 @@ from tradewright.session import cut_lineage, ship_package
 NEIGHBOURS = 24
 BLOCK = 256
 TREES = 3
-ROUNDS = 6
-SETTLED = 0.02
+ROUNDS = 100                      # a guard: a descent or search that has not settled by then is an error
+SETTLED = 0.02                    # share of new edges in a round at which the descent ends
 PIVOTS = 512
 STARTS, BEAM, EXPAND = 8, 160, 40
-HOPS = 40
+HOPS = 200
 EDGES = "u long, v long, sim float"
 
 
@@ -149,12 +149,12 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         edges = cut_lineage(_best(edges.withColumn("old", F.lit(1)).unionByName(found.withColumn("old", F.lit(0))), k))
         seen = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(1 - F.col("old")), F.lit(0)).alias("fresh")).first()
         if seen.fresh <= SETTLED * seen.n:
-            break
-    return edges.select("u", "v", "sim")
+            return edges.select("u", "v", "sim")
+    raise RuntimeError(f"the neighbour graph has not settled after {ROUNDS} rounds: {seen.fresh} of {seen.n} edges are new")
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(q, node, sim): the beam of each query (q, qvec) when it stands still."""
+    """(q, node, sim): the beam of each query (q, qvec), q a node, when it stands still."""
     near = cut_lineage(_around(edges, k).groupBy("w").agg(F.collect_list("x").alias("around")))
     pivots = nodes.orderBy(F.xxhash64("nid"), "nid").limit(PIVOTS).collect()                     # PIVOTS vectors, a fixed number
     ids = np.array([r.nid for r in pivots], np.int64)
@@ -171,11 +171,13 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int
 
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
     first = queries.select("q", "qvec").mapInArrow(start, EDGES).select(F.col("u").alias("q"), F.col("v").alias("node"), "sim")
+    own = queries.select("q", F.col("q").alias("node"), dot(F.col("qvec"), F.col("qvec")).cast("float").alias("sim"))
+    first = first.unionByName(own).groupBy("q", "node").agg(F.max("sim").alias("sim"))
     beam = cut_lineage(first.withColumns({"done": F.lit(False), "now": F.lit(True)}))
     for _ in range(HOPS):
         front = beam.where("now")
         if front.limit(1).count() == 0:
-            break
+            return beam.select("q", "node", "sim")
         reached = front.join(near, front.node == near.w).select("q", F.explode("around").alias("node")).distinct().join(beam.select("q", "node"), ["q", "node"], "left_anti")
         pairs = reached.join(queries, "q").join(nodes, F.col("node") == F.col("nid"))
         new = pairs.select("q", "node", dot(F.col("qvec"), F.col("vec")).cast("float").alias("sim"), F.lit(False).alias("done"))
@@ -183,7 +185,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int
         held = held.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM)
         left = F.sum(F.when(F.col("done"), 0).otherwise(1)).over(best.rowsBetween(Window.unboundedPreceding, 0))
         beam = cut_lineage(held.select("q", "node", "sim", "done", (~F.col("done") & (left <= EXPAND)).alias("now")))
-    return beam.select("q", "node", "sim")
+    raise RuntimeError(f"the search has not come to rest after {HOPS} hops")
 
 
 def nearest(vectors: DataFrame, is_query: Column, top: int = 5) -> DataFrame:
