@@ -135,12 +135,26 @@ def test_link_graph(spark):
     got = url_graph.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows)
     for x in got:
-        assert x.trust == pytest.approx(trust.get(x.host, 0), abs=5e-3) and x.distrust == pytest.approx(distrust.get(x.host, 0), abs=5e-3)
+        assert x.trust == pytest.approx(trust.get(x.host, 0), abs=2e-3) and x.distrust == pytest.approx(distrust.get(x.host, 0), abs=2e-3)
         method = "block" if x.distrust - x.trust > url_graph.THRESHOLD else "allow"
         assert x.verdict == (method if x.rule is None else dict(url_graph.RULES)[x.rule])
     assert {x.verdict for x in got if x.rule is None} == {"allow", "block"}
 
 
+def test_linkers_of_a_blocked_host_do_not_clear_each_other(spark):
+    """Hosts with links to a blocked host alone are blocked however many they are; one of many targets of a trusted hub is not."""
+    to = lambda *hosts: "".join(f"<a href='http://{h}/'>x</a>" for h in hosts)
+    pages, want = [], {}
+    for n in (1, 2, 10, 100):
+        farm, fed, clean = ([f"{name}{i}.of{n}.test" for i in range(n)] for name in ("farm", "fed", "clean"))
+        pages += [(f"http://bad{n}.net/1", ""), (f"http://hub{n}.org/fr/1", to(*fed))]
+        pages += [(f"http://{h}/", to(f"bad{n}.net")) for h in [*farm, *fed]] + [(f"http://{h}/", to(f"other{n}.test")) for h in clean]
+        want |= {h: "block" for h in farm} | {h: "allow" for h in [*fed, *clean]}
+    rows = spark.createDataFrame([(i, u, html) for i, (u, html) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in url_graph.judge_pages(rows).collect()}
+    assert {h: got[h] for h in want} == want
+
+
 def _cost(rows):
     from tradewright.llm.chat import END_COST, ROLES
     return sum(r.cost for r in rows) + END_COST[ROLES.index(rows[-1].role)]

@@ -3,7 +3,9 @@
 Trust is a personalised PageRank from hosts whose pages rules allow; distrust the same over reversed links from
 hosts whose pages rules block. A seed's weight is the share of its pages that rules decide so; a host without links
 onward keeps its score, so a host that no link touches scores its own share, and in a set of hosts that link to each
-other the mean score is the mean share. A host whose distrust exceeds its trust by `THRESHOLD` is blocked.
+other the mean score is the mean share. These scores are split among a host's neighbours, so beside them stand two
+that are not: a host's distrust is the mean of its own share and, by its links, of the hosts it links to; its trust the same over
+the hosts that link to it. A host whose distrust exceeds its trust by `THRESHOLD` in either pair is blocked, however many link alike.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from tradewright.session import cut_lineage, stored
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.7
 ROUNDS = 30
-TOLERANCE = 1e-3
+TOLERANCE = 1e-4
 THRESHOLD = 0.5
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -69,17 +71,36 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     links = links.select("src", "dst", "n").union(ends.select("src", F.col("src").alias("dst"), F.lit(1).cast("long")))
     out_links = links.groupBy("src").agg(F.sum("n").alias("total"))
     shares = cut_lineage(links.join(out_links, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    score = base.select("host", F.col("base").alias("score"))
+    return _settled(base, shares.select("src", "dst", (F.col("share") * damping).alias("share")), base.select("host", F.col("base").alias("score")), rounds)
+
+
+def _settled(base: DataFrame, shares: DataFrame, score: DataFrame, rounds: int) -> DataFrame:
+    """(host, score): base (host, base) and what each dst gets of the scores of src by (src, dst, share), until no score moves by more than `TOLERANCE`."""
     for _ in range(rounds):
-        sent = (shares.join(score, shares.src == score.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share") * damping).alias("got")))
-        new = base.join(sent, base.host == sent.dst, "full").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("base", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("next"))
-        step = cut_lineage(new.join(score, "host", "left").select("host", F.col("next").alias("score"), F.abs(F.col("next") - F.coalesce("score", F.lit(0.0))).alias("moved")))
+        sent = shares.join(score, shares.src == score.host).select(F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("next"), F.lit(0.0).alias("old"))
+        # summed, not joined: estimated sizes of joined rounds multiply until planning stands still
+        rows = sent.unionByName(base.select("host", F.col("base").alias("next"), F.lit(0.0).alias("old"))).unionByName(score.select("host", F.lit(0.0).alias("next"), F.col("score").alias("old")))
+        step = cut_lineage(rows.groupBy("host").agg(F.sum("next").alias("score"), F.sum("old").alias("old")).select("host", "score", F.abs(F.col("score") - F.col("old")).alias("moved")))
         score = step.select("host", "score")
         if (step.agg(F.max("moved")).first()[0] or 0.0) <= TOLERANCE:
             break
     return score
 
 
+def averaged(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(host, score): each host's own weight of seeds (host, weight), and by `damping` the mean score of the hosts it links to along (src, dst, n).
+
+    A host without links keeps its weight. A score does not depend on how many hosts link to the same ones; it never leaves the range of the
+    weights, so each round moves it by `damping` times the last move at most. Rounds are checkpointed and end as those of `propagate`.
+    """
+    out_links = links.groupBy("src").agg(F.sum("n").alias("total"))
+    shares = cut_lineage(links.join(out_links, "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("total") * damping).alias("share")))
+    own = seeds.groupBy("host").agg(F.sum("weight").alias("weight"))
+    own = cut_lineage(own.join(out_links, own.host == out_links.src, "full").select(F.coalesce("host", "src").alias("host"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("src").isNotNull().alias("links")))
+    base = own.select("host", F.when(F.col("links"), F.col("weight") * (1 - damping)).otherwise(F.col("weight")).alias("base"))
+    return _settled(base, shares, own.select("host", F.col("weight").alias("score")), rounds)
+
+
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """The pages without html, with host, path, rule, trust, distrust and verdict added.
 
@@ -97,8 +118,16 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> D
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(back, seeds.where("bad > 0").select("host", F.col("bad").alias("weight"))).select(F.col("host").alias("__tw_host"), F.col("score").alias("__tw_distrust"))
     scores = trust.join(distrust, "__tw_host", "full")
+    if links.limit(1).count():
+        near_good = averaged(back, seeds.select("host", F.col("good").alias("weight"))).select(F.col("host").alias("__tw_host"), F.col("score").alias("__tw_near_good"))
+        near_bad = averaged(links, seeds.select("host", F.col("bad").alias("weight"))).select(F.col("host").alias("__tw_host"), F.col("score").alias("__tw_near_bad"))
+        near = near_good.join(near_bad, "__tw_host", "full").select("__tw_host", (F.coalesce("__tw_near_bad", F.lit(0.0)) - F.coalesce("__tw_near_good", F.lit(0.0))).alias("__tw_near"))
+        scores = scores.join(near, "__tw_host", "full")
+    else:
+        scores = scores.withColumn("__tw_near", F.lit(0.0))
     # few columns for each page; a host with very many pages is split by the adaptive skew join
     joined = parsed.join(scores, parsed.host == scores["__tw_host"], "left").withColumns(
         {"trust": F.coalesce("__tw_trust", F.lit(0.0)), "distrust": F.coalesce("__tw_distrust", F.lit(0.0))}).drop("__tw_host", "__tw_trust", "__tw_distrust")
-    method = F.when(F.col("distrust") - F.col("trust") > THRESHOLD, "block").otherwise("allow")
-    return joined.withColumn("verdict", F.coalesce(_of_rule(F.col("rule"), rules), method))
+    apart = F.greatest(F.col("distrust") - F.col("trust"), F.coalesce("__tw_near", F.lit(0.0)))
+    method = F.when(apart > THRESHOLD, "block").otherwise("allow")
+    return joined.withColumn("verdict", F.coalesce(_of_rule(F.col("rule"), rules), method)).drop("__tw_near")
