@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewright.llm import ann, bpe, chat, langid, line_dedup, lm, mixing, near_dedup, quality, url_graph
+from tradewright.llm import ann, bitsliced, bpe, chat, imatch, langid, line_dedup, lm, mixing, near_dedup, quality, spelling, url_graph
 from tradewright.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,6 +102,92 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
 
 
+def op11_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = imatch.edited_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return seen.select("doc_id", "n_chars", F.sha2(F.col("edited_text"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_DIGITS = [f"substr(k, {4 * f + 1}, 4)" for f in range(imatch.FAMILIES)]
+_LOWEST = ", ".join(f"min({d}) AS low{f}" for f, d in enumerate(_DIGITS))
+_BOUNDS = ", ".join(f"repeat('0', 4 - len(ltrim(low{f}, '0'))) || translate(substr(ltrim(low{f}, '0'), 1, 1), '245689abcde', '3777fffffff') || repeat('f', greatest(len(ltrim(low{f}, '0')) - 1, 0)) AS to{f}"
+                    for f in range(imatch.FAMILIES))
+_HASHES = " || ".join(f"substr(md5(to{f} || string_agg(k, ' ' ORDER BY t) FILTER (WHERE {d} <= to{f})), 1, 16)" for f, d in enumerate(_DIGITS))
+_TO = ", ".join(f"to{f}" for f in range(imatch.FAMILIES))
+_AGREE = " + ".join("CASE WHEN substr({a}, %d, 16) = substr({b}, %d, 16) THEN 1 ELSE 0 END" % (16 * i + 1, 16 * i + 1) for i in range(imatch.PARTS))
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, lead(doc_id) OVER w AS after, lead(text) OVER w AS later, first_value(doc_id) OVER w AS head, first_value(text) OVER w AS opening FROM d WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT doc_id, n, text, coalesce(after, head) AS next_id, substr(text, 1, n - n // 2) || substr(coalesce(later, opening), 1, n // 2) AS edited FROM o),
+both_texts AS (SELECT doc_id, 0 AS which, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+held AS (SELECT doc_id, which, unnest(list_distinct(regexp_extract_all(translate(text, {_LOWER}), '{TERM}'))) AS t FROM both_texts),
+lex AS (SELECT t FROM held WHERE which = 0 GROUP BY t HAVING count(*) * {imatch.RAREST} >= (SELECT count(*) FROM d) AND count(*) * {imatch.COMMONEST} <= (SELECT count(*) FROM d)),
+marked AS (SELECT held.*, md5(held.t) || held.t AS k, lex.t IS NOT NULL AS inside, max(CASE WHEN lex.t IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, which) AS any_inside
+  FROM held LEFT JOIN lex ON held.t = lex.t),
+kept AS (SELECT doc_id, which, t, k FROM marked WHERE inside OR any_inside = 0),
+lows AS (SELECT doc_id, which, {_LOWEST} FROM kept GROUP BY doc_id, which),
+bounds AS (SELECT doc_id, which, {_BOUNDS} FROM lows),
+prints AS (SELECT kept.doc_id, kept.which, substr(md5(string_agg(k, ' ' ORDER BY t)), 1, 16) || {_HASHES} AS fp FROM kept JOIN bounds USING (doc_id, which) GROUP BY kept.doc_id, kept.which, {_TO}),
+named AS (SELECT doc_id, which, coalesce(fp, repeat('0', {16 * imatch.PARTS})) AS fp FROM both_texts LEFT JOIN prints USING (doc_id, which)),
+joined AS (SELECT e.doc_id, e.n, e.edited, x.fp, y.fp AS edited_fp, z.fp AS next_fp FROM e JOIN named x ON x.doc_id = e.doc_id AND x.which = 0
+  JOIN named y ON y.doc_id = e.doc_id AND y.which = 1 JOIN named z ON z.doc_id = e.next_id AND z.which = 0)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, edited_fp AS edited_fingerprint,
+       CAST({_AGREE.format(a="fp", b="edited_fp")} AS DOUBLE) / {imatch.PARTS} AS near_edited, CAST({_AGREE.format(a="fp", b="next_fp")} AS DOUBLE) / {imatch.PARTS} AS near_next
+FROM joined
+"""
+
+
+def op12_bitsliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = f"""
+WITH held AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{TERM}')) AS t FROM documents),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM held GROUP BY doc_id, t),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+norms AS (SELECT doc_id, 25 + (75 * n * docs) // words AS m FROM sizes, total),
+weights AS (SELECT t, CAST(floor(1000.0::DOUBLE * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tfs GROUP BY t), total),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{TERM}')) AS t FROM benchmark) GROUP BY item_id, t),
+scores AS (SELECT item_id, tfs.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN norms ON norms.doc_id = tfs.doc_id GROUP BY item_id, tfs.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0)
+SELECT item_id, CAST(r AS INT) AS rank, doc_id, score FROM ranked WHERE r <= 10
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b))"
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS tab),
+held AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+bytes AS (SELECT *, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x FROM held),
+hashed AS (SELECT doc_id, run, n, xor(list_reduce(range(CAST(len(x) // 2 AS BIGINT)), lambda c, i:
+  xor(c // 256, tab[1 + xor(c % 256, (strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 1 AS BIGINT), 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, CAST(2 * i + 2 AS BIGINT), 1)) - 1)]), 4294967295), 4294967295) AS h
+  FROM bytes, crc),
+slips AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+skips AS (SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT DISTINCT a, an, b, bn FROM (
+  SELECT x.word AS a, x.n AS an, y.word AS b, y.n AS bn FROM skips x JOIN skips y ON x.p = y.p AND x.s = y.s AND x.word <> y.word
+  UNION ALL SELECT x.word, x.n, w.word, w.n FROM skips x JOIN words w ON w.word = x.p || x.s
+  UNION ALL SELECT w.word, w.n, x.word, x.n FROM skips x JOIN words w ON w.word = x.p || x.s)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY bn DESC, encode(b)) AS r, count(*) OVER (PARTITION BY a) AS n_near FROM near),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * words.n THEN b END AS form, CASE WHEN bn >= 2 * words.n THEN bn END AS form_n
+  FROM words LEFT JOIN ranked ON ranked.a = words.word AND r = 1),
+walk AS (SELECT word, word AS here, 0 AS steps FROM forms UNION ALL SELECT walk.word, forms.form, steps + 1 FROM walk JOIN forms ON forms.word = walk.here WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_nn_descent, op2_source_mixing, op3_attention_lm, op4_line_dedup, op5_minhash_near_dedup, op6_language_id, op7_url_filters, op8_byte_bpe, op9_quality_rules, op10_chat_formatting)}
-SQL = {"op2_source_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL}
+    op1_nn_descent, op2_source_mixing, op3_attention_lm, op4_line_dedup, op5_minhash_near_dedup, op6_language_id, op7_url_filters, op8_byte_bpe, op9_quality_rules, op10_chat_formatting,
+    op11_imatch_fingerprints, op12_bitsliced_search, op13_spelling_variants)}
+SQL = {"op2_source_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL, "op11_imatch_fingerprints": OP11_SQL,
+       "op12_bitsliced_search": OP12_SQL, "op13_spelling_variants": OP13_SQL}
