@@ -25,19 +25,22 @@ def md5(text):
 
 
 def fingerprint(text, lexicon):
-    mine = sorted(set(terms(text)) & lexicon, key=str.encode) or sorted(set(terms(text)), key=str.encode)
+    mine = set(terms(text)) & lexicon or set(terms(text))
     if not mine:
         return "0" * 16 * 9
-    keyed, out = [md5(t) + t for t in mine], [md5(" ".join(md5(t) + t for t in mine))[:16]]
+    keyed = sorted(str(int(md5(t)[0], 16) % 8) + md5(t)[1:] + t for t in mine)
+    out = [md5(" ".join(keyed))[:16]]
     for f in range(8):
-        number = lambda k, f=f: int(k[4 * f:4 * f + 4], 16)
-        top = (1 << min(map(number, keyed)).bit_length()) - 1
-        out.append(md5(f"{top:04x}" + " ".join(k for k in keyed if number(k) <= top))[:16])
+        own = [k for k in keyed if k[0] == str(f)]
+        top = (1 << min([int(k[1:5], 16) for k in own], default=0).bit_length()) - 1
+        out.append(md5(f"{f}{top:04x}g" + " ".join(k for k in own if int(k[1:5], 16) <= top))[:16] if own else "0" * 16)
     return "".join(out)
 
 
 def like(a, b):
-    return sum(a[i:i + 16] == b[i:i + 16] for i in range(0, len(a), 16)) / 9
+    parts = [(a[i:i + 16], b[i:i + 16]) for i in range(0, len(a), 16)]
+    held = [x for x in parts if x != ("0" * 16, "0" * 16)]
+    return sum(x == y for x, y in held) / len(held) if held else 1.0
 
 
 def edited(rows, rarest, commonest):

@@ -1,8 +1,8 @@
 """I-Match fingerprints: hashes of the terms within a band of document frequency, over randomised subsets of that lexicon.
 
-A document's terms within the band are sorted and hashed once whole and once for each of `FAMILIES` random orders of the lexicon.
-A family deals every term a number by its own digits of the term's hash; its subsets are the terms below a power of two, each
-half of the one above. Of these nested subsets the smallest that holds a term of the document is hashed, so a text of three
+A document's terms within the band are sorted by hash and hashed once whole and once for each of `FAMILIES` parts into which
+the lexicon is dealt at random. A family numbers its terms by their hashes; its subsets are the terms below a power of two, each
+half of the one above. Of these nested subsets the smallest that holds a term of the document is hashed, so a text of thirty
 terms and one of twenty thousand are both described by a few terms for each family. Where two texts differ in no term
 of that subset they have the same hash: families agree in about the share of terms that the texts have in common.
 """
@@ -81,15 +81,19 @@ def _subset_bound(lowest: Column) -> Column:
 
 
 def _hashed(df: DataFrame, terms: str, out: str) -> DataFrame:
-    """The array of terms gives way to the fingerprint `out`."""
-    number = lambda f: lambda k: F.substring(k, DIGITS * f + 1, DIGITS)
-    within = lambda f: lambda k: number(f)(k) <= F.col(f"__tw_to{f}")
+    """The array of terms gives way to the fingerprint `out`. A term's key is its family's digit, the rest of its hash and the term."""
+    key = lambda t: F.concat(F.translate(F.substring(F.md5(t.cast("binary")), 1, 1), "89abcdef", "01234567"), F.substring(F.md5(t.cast("binary")), 2, 31), t)
+    starts = lambda f: lambda k: k.startswith(str(f))
+    within = lambda f: lambda k: k < F.col(f"__tw_to{f}")
     plain = [F.col(f"`{c}`") for c in df.columns if c not in (terms, out)]
-    df = df.select(*plain, F.transform(F.sort_array(terms), lambda t: F.concat(F.md5(t.cast("binary")), t)).alias("__tw_held"))
-    df = df.select(*plain, "__tw_held", *[F.array_min(F.transform("__tw_held", number(f))).alias(f"__tw_low{f}") for f in range(FAMILIES)])
-    df = df.select(*plain, "__tw_held", *[_subset_bound(F.col(f"__tw_low{f}")).alias(f"__tw_to{f}") for f in range(FAMILIES)])
-    parts = [_hash(F.col(f"__tw_to{f}"), F.filter("__tw_held", within(f))) for f in range(FAMILIES)]
-    return df.select(*plain, F.when(F.size("__tw_held") == 0, NO_TERM * PARTS).otherwise(F.concat(_hash(F.lit(""), "__tw_held"), *parts)).alias(out))
+    df = df.select(*plain, F.sort_array(F.transform(terms, key)).alias("__tw_held"))
+    df = df.select(*plain, _hash(F.lit(""), "__tw_held").alias("__tw_all"), F.size("__tw_held").alias("__tw_n"),
+                   *[F.filter("__tw_held", starts(f)).alias(f"__tw_of{f}") for f in range(FAMILIES)])
+    # the next letter after f closes the numbers up to the bound
+    bounds = [F.concat(F.lit(str(f)), _subset_bound(F.substring(F.get(f"__tw_of{f}", F.lit(0)), 2, DIGITS)), F.lit("g")) for f in range(FAMILIES)]
+    df = df.select("*", *[to.alias(f"__tw_to{f}") for f, to in enumerate(bounds)])
+    parts = [F.coalesce(_hash(F.col(f"__tw_to{f}"), F.filter(f"__tw_of{f}", within(f))), F.lit(NO_TERM)) for f in range(FAMILIES)]
+    return df.select(*plain, F.when(F.col("__tw_n") == 0, NO_TERM * PARTS).otherwise(F.concat("__tw_all", *parts)).alias(out))
 
 
 def fingerprint(df: DataFrame, band: Band, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -104,10 +108,12 @@ def fingerprint(df: DataFrame, band: Band, text: str = "text", out: str = "finge
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the hashes on which two fingerprints agree: 1 for equal ones, that of two texts without a term included."""
+    """The share of the hashes on which two fingerprints agree, of those over a term of either; 1 if neither has a term."""
     part = lambda c, i: F.substr(c, i * WIDTH + 1, F.lit(WIDTH))
-    agree = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: part(a, i) == part(b, i))
-    return F.size(agree).cast("double") / PARTS
+    every = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    held = F.filter(every, lambda i: (part(a, i) != NO_TERM) | (part(b, i) != NO_TERM))
+    agree = F.filter(every, lambda i: (part(a, i) != NO_TERM) & (part(a, i) == part(b, i)))
+    return F.when(F.size(held) == 0, 1.0).otherwise(F.size(agree).cast("double") / F.greatest(F.size(held), F.lit(1)))
 
 
 def with_next(docs: DataFrame, columns: dict[str, str]) -> DataFrame:

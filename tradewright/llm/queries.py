@@ -109,13 +109,16 @@ def op11_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-_DIGITS = [f"substr(k, {4 * f + 1}, 4)" for f in range(imatch.FAMILIES)]
-_LOWEST = ", ".join(f"min({d}) AS low{f}" for f, d in enumerate(_DIGITS))
-_BOUNDS = ", ".join(f"repeat('0', 4 - len(ltrim(low{f}, '0'))) || translate(substr(ltrim(low{f}, '0'), 1, 1), '245689abcde', '3777fffffff') || repeat('f', greatest(len(ltrim(low{f}, '0')) - 1, 0)) AS to{f}"
+_FAMILY = [f"substr(k, 1, 1) = '{f}'" for f in range(imatch.FAMILIES)]
+_LOWEST = ", ".join(f"substr(min(k) FILTER (WHERE {own}), 2, 4) AS low{f}" for f, own in enumerate(_FAMILY))
+_BOUNDS = ", ".join(f"'{f}' || repeat('0', 4 - len(ltrim(low{f}, '0'))) || translate(substr(ltrim(low{f}, '0'), 1, 1), '245689abcde', '3777fffffff') || repeat('f', greatest(len(ltrim(low{f}, '0')) - 1, 0)) || 'g' AS to{f}"
                     for f in range(imatch.FAMILIES))
-_HASHES = " || ".join(f"substr(md5(to{f} || string_agg(k, ' ' ORDER BY t) FILTER (WHERE {d} <= to{f})), 1, 16)" for f, d in enumerate(_DIGITS))
+_HASHES = " || ".join(f"coalesce(substr(md5(to{f} || string_agg(k, ' ' ORDER BY k) FILTER (WHERE {own} AND k < to{f})), 1, 16), '{imatch.NO_TERM}')" for f, own in enumerate(_FAMILY))
 _TO = ", ".join(f"to{f}" for f in range(imatch.FAMILIES))
-_AGREE = " + ".join("CASE WHEN substr({a}, %d, 16) = substr({b}, %d, 16) THEN 1 ELSE 0 END" % (16 * i + 1, 16 * i + 1) for i in range(imatch.PARTS))
+_PART = ["substr({a}, %d, 16)" % (16 * i + 1) for i in range(imatch.PARTS)]
+_AGREE = " + ".join("CASE WHEN %s = %s AND %s <> '%s' THEN 1 ELSE 0 END" % (x, x.replace("{a}", "{b}"), x, imatch.NO_TERM) for x in _PART)
+_HELD = " + ".join("CASE WHEN %s <> '%s' OR %s <> '%s' THEN 1 ELSE 0 END" % (x, imatch.NO_TERM, x.replace("{a}", "{b}"), imatch.NO_TERM) for x in _PART)
+_LIKE = f"coalesce(CAST({_AGREE} AS DOUBLE) / nullif({_HELD}, 0), 1.0::DOUBLE)"
 OP11_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 o AS (SELECT *, lead(doc_id) OVER w AS after, lead(text) OVER w AS later, first_value(doc_id) OVER w AS head, first_value(text) OVER w AS opening FROM d WINDOW w AS (ORDER BY doc_id)),
@@ -123,17 +126,17 @@ e AS (SELECT doc_id, n, text, coalesce(after, head) AS next_id, substr(text, 1,
 both_texts AS (SELECT doc_id, 0 AS which, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
 held AS (SELECT doc_id, which, unnest(list_distinct(regexp_extract_all(translate(text, {_LOWER}), '{TERM}'))) AS t FROM both_texts),
 lex AS (SELECT t FROM held WHERE which = 0 GROUP BY t HAVING count(*) * {imatch.RAREST} >= (SELECT count(*) FROM d) AND count(*) * {imatch.COMMONEST} <= (SELECT count(*) FROM d)),
-marked AS (SELECT held.*, md5(held.t) || held.t AS k, lex.t IS NOT NULL AS inside, max(CASE WHEN lex.t IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, which) AS any_inside
+marked AS (SELECT held.*, translate(substr(md5(held.t), 1, 1), '89abcdef', '01234567') || substr(md5(held.t), 2) || held.t AS k, lex.t IS NOT NULL AS inside, max(CASE WHEN lex.t IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, which) AS any_inside
   FROM held LEFT JOIN lex ON held.t = lex.t),
 kept AS (SELECT doc_id, which, t, k FROM marked WHERE inside OR any_inside = 0),
 lows AS (SELECT doc_id, which, {_LOWEST} FROM kept GROUP BY doc_id, which),
 bounds AS (SELECT doc_id, which, {_BOUNDS} FROM lows),
-prints AS (SELECT kept.doc_id, kept.which, substr(md5(string_agg(k, ' ' ORDER BY t)), 1, 16) || {_HASHES} AS fp FROM kept JOIN bounds USING (doc_id, which) GROUP BY kept.doc_id, kept.which, {_TO}),
+prints AS (SELECT kept.doc_id, kept.which, substr(md5(string_agg(k, ' ' ORDER BY k)), 1, 16) || {_HASHES} AS fp FROM kept JOIN bounds USING (doc_id, which) GROUP BY kept.doc_id, kept.which, {_TO}),
 named AS (SELECT doc_id, which, coalesce(fp, repeat('0', {16 * imatch.PARTS})) AS fp FROM both_texts LEFT JOIN prints USING (doc_id, which)),
 joined AS (SELECT e.doc_id, e.n, e.edited, x.fp, y.fp AS edited_fp, z.fp AS next_fp FROM e JOIN named x ON x.doc_id = e.doc_id AND x.which = 0
   JOIN named y ON y.doc_id = e.doc_id AND y.which = 1 JOIN named z ON z.doc_id = e.next_id AND z.which = 0)
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, edited_fp AS edited_fingerprint,
-       CAST({_AGREE.format(a="fp", b="edited_fp")} AS DOUBLE) / {imatch.PARTS} AS near_edited, CAST({_AGREE.format(a="fp", b="next_fp")} AS DOUBLE) / {imatch.PARTS} AS near_next
+       {_LIKE.format(a="fp", b="edited_fp")} AS near_edited, {_LIKE.format(a="fp", b="next_fp")} AS near_next
 FROM joined
 """
 
