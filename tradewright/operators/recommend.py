@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from tradewright.functions import rules as R
 from tradewright.functions.scale import scalar, top_k_per
+from tradewright.session import cut_lineage, ship_package, stored
 
 CUSTOMERS_PER_BLOCK = 256
 ITEMS_PER_BLOCK = 2048
+#: A task scores so many customers over so many items.
+USERS, TILE = 2048, 512
+STRIDE = 7919
 
 
 def purchases(lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -94,17 +98,85 @@ def basket_of(bought: DataFrame) -> DataFrame:
     return bought.groupBy("customer", "item").agg(F.lit(1).alias("owned"))
 
 
+def catalogue(bought: DataFrame, cutoff: Column) -> DataFrame:
+    """(item, buyers, place): the items sold in the last twelve months, numbered from 0 by buyers."""
+    return stored(popularity(bought, cutoff).select("item", "buyers", (F.col("pop_rank") - 1).alias("place")), "catalogue")
+
+
+def _tile_scores(k: int | None, pairs: bool):
+    """Similarity sums and maxima of a block of customers over a tile of items, from the similarity rows of the items they own."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        n = len(right)
+        total, most = np.zeros((n, TILE)), np.zeros((n, TILE))
+        baskets = [np.asarray(x, dtype=np.int64) for x in right["items"]]
+        owned, who = np.concatenate([*baskets, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in baskets])
+        order = np.argsort(owned, kind="stable")
+        owned, who = owned[order], who[order]
+        bonus = np.full(TILE, np.nan)
+        left = left.sort_values("item", kind="stable")
+        firsts, lasts = np.searchsorted(owned, left["item"]), np.searchsorted(owned, left["item"], "right")
+        for lo, hi, item, others, values in zip(firsts, lasts, left["item"], left["others"], left["sims"], strict=True):
+            if item < 0:
+                bonus[np.asarray(others)] = values
+                continue
+            row = np.zeros(TILE)
+            row[np.asarray(others)] = values
+            total[who[lo:hi]] += row
+            most[who[lo:hi]] = np.maximum(most[who[lo:hi]], row)
+        at = int(right["tile"].iloc[0]) * TILE if n else 0
+        if pairs:
+            asked = [np.asarray(x, dtype=np.int64) - at for x in right["wanted"]]
+            i, j = np.repeat(np.arange(n), [len(x) for x in asked]), np.concatenate([*asked, np.zeros(0, np.int64)])
+        else:
+            open_to = np.broadcast_to(~np.isnan(bonus), (n, TILE)).copy()
+            here = (owned >= at) & (owned < at + TILE)
+            open_to[who[here], owned[here] - at] = False
+            if k is not None and k < TILE:
+                score = np.where(open_to, total + np.nan_to_num(bonus), -1.0)
+                # equal scores are parted later by the item, so all that may tie with the last one stay
+                open_to &= score >= np.partition(score, TILE - k, axis=1)[:, TILE - k, None] - 4e-9
+            i, j = np.nonzero(open_to)
+        return pd.DataFrame({"customer": right["customer"].to_numpy()[i], "place": j + at, "knn_sum": total[i, j], "knn_max": most[i, j]})
+    return run
+
+
+def basket_scores(bought: DataFrame, cutoff: Column, items: DataFrame, k: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(customer, item, knn_sum, knn_max): similarity of unseen catalogue items to the past basket, sum and maximum, zero included.
+
+    For every active customer and every catalogue item it never bought, or only those that may be among the `k` of highest
+    knn_sum + log1p(buyers) / 1000, or only the given (customer, item) `pairs`. Blocks of customers meet tiles of items: a task adds the
+    similarity rows of the items that its customers own into one dense array, so a customer's neighbours are never listed
+    and a task holds `USERS` customers and `TILE` items whatever the data.
+    """
+    ship_package(bought.sparkSession)
+    own = stored(basket_of(bought.filter(F.col("date") <= cutoff)).join(items, "item").select("customer", F.col("place").alias("item")), "baskets")
+    active = recent(bought, cutoff, 12).select("customer").distinct()
+    if pairs is not None:
+        asked = pairs.join(items, "item").groupBy("customer", F.floor(F.col("place") / TILE).cast("int").alias("tile")).agg(F.collect_list("place").alias("wanted"))
+        active = active.join(pairs.select("customer").distinct(), "customer", "left_semi")
+    baskets = stored(active.join(own, "customer", "left").groupBy("customer").agg(F.collect_list("item").alias("items")), "active-baskets")
+    blocks, tiles = -(-max(1, baskets.count()) // USERS), -(-max(1, items.count()) // TILE)
+    baskets = baskets.withColumn("block", F.pmod(F.xxhash64("customer"), F.lit(blocks)).cast("int"))
+    rows = (item_similarity(own).groupBy("item", F.floor(F.col("other") / TILE).cast("int").alias("tile"))
+            .agg(F.collect_list(F.struct((F.col("other") % TILE).cast("int").alias("o"), F.col("similarity").alias("s"))).alias("r")))             # at most TILE of them
+    needed = baskets.select(F.col("block").alias("part"), F.explode("items").alias("item")).distinct()
+    sent = rows.join(needed, "item").select("part", F.col("tile").alias("shelf"), F.col("item").cast("long").alias("item"), F.col("r.o").alias("others"), F.col("r.s").alias("sims"))
+    shelf = items.groupBy(F.floor(F.col("place") / TILE).cast("int").alias("tile")).agg(F.collect_list(F.struct((F.col("place") % TILE).cast("int").alias("o"), (1e-3 * F.log1p("buyers")).alias("s"))).alias("r"))
+    shelf = shelf.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.col("tile").alias("shelf"), F.lit(-1).cast("long").alias("item"), F.col("r.o").alias("others"), F.col("r.s").alias("sims"))
+    if pairs is not None:
+        asking = baskets.join(asked, "customer").select("block", "tile", "customer", "items", "wanted")
+    else:
+        asking = baskets.select("block", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "customer", "items", F.array().cast("array<int>").alias("wanted"))
+    kind = bought.schema["customer"].dataType.simpleString()
+    met = (sent.unionByName(shelf).groupBy("part", "shelf").cogroup(asking.groupBy("block", "tile"))
+           .applyInPandas(_tile_scores(k, pairs is not None), f"customer {kind}, place long, knn_sum double, knn_max double"))
+    return met.join(items.select("item", "place"), "place").select("customer", "item", "knn_sum", "knn_max")
+
+
 def knn_candidates(bought: DataFrame, cutoff: Column) -> DataFrame:
-    """Items an active customer never bought that share a buyer with the basket, with similarity sum and maximum; all others have zero for both."""
-    past = bought.filter(F.col("date") <= cutoff)
-    last12 = recent(bought, cutoff, 12)
-    catalogue = last12.groupBy("item").agg(F.lit(1).alias("_")).drop("_")
-    active = last12.groupBy("customer").agg(F.lit(1).alias("_")).drop("_")
-    own = basket_of(past.join(catalogue, "item", "left_semi"))
-    sim = item_similarity(past.join(catalogue, "item", "left_semi"))
-    s = own.join(active, "customer", "left_semi").join(sim, "item").groupBy("customer", F.col("other").alias("item")).agg(
-        F.sum("similarity").alias("knn_sum"), F.max("similarity").alias("knn_max"))
-    return s.join(own, ["customer", "item"], "left_anti")
+    """Every catalogue item that an active customer never bought, with the sum and maximum of its similarity to the basket."""
+    return basket_scores(bought, cutoff, catalogue(bought, cutoff))
 
 
 def popularity(bought: DataFrame, cutoff: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -136,14 +208,9 @@ def popular_unseen(bought: DataFrame, cutoff: Column, by_type: bool = False, k:
 
 
 def knn_lists(bought: DataFrame, cutoff: Column, k: int = 10) -> DataFrame:
-    """The k unseen catalogue items of highest score per active customer, items of similarity zero among them.
-
-    Such an item scores by popularity alone, and every more popular unseen item scores at least as much; so of these
-    only the k most popular unseen items can be among the first k.
-    """
-    near = knn_candidates(bought, cutoff).select("customer", "item", "knn_sum")
-    popular = popular_unseen(bought, cutoff, k=k).select("customer", "item", F.lit(0.0).alias("knn_sum"))
-    c = near.unionByName(popular).groupBy("customer", "item").agg(F.max("knn_sum").alias("knn_sum")).join(popularity(bought, cutoff).select("item", "buyers"), "item")
+    """The k unseen catalogue items of highest score per active customer, items of similarity zero among them."""
+    items = catalogue(bought, cutoff)
+    c = basket_scores(bought, cutoff, items, k).join(items.select("item", "buyers"), "item")
     score = F.round(F.col("knn_sum") + 1e-3 * F.log1p("buyers"), 9)
     return top_k_per(c.withColumn("score", score), ["customer"], [F.col("score").desc(), F.col("item").asc()], k).select("customer", "item", "rank", "score")
 
@@ -156,16 +223,38 @@ def adoptions(bought: DataFrame, cutoff: Column, horizon: int = 3) -> DataFrame:
     return new.join(last12.select("item").distinct(), "item", "left_semi").join(last12.select("customer").distinct(), "customer", "left_semi").select("customer", "item")
 
 
+def dealt_negatives(bought: DataFrame, cutoff: Column, items: DataFrame, adopted: DataFrame, per_positive: int) -> DataFrame:
+    """(customer, item): for each adoption `per_positive` unseen items that the customer did not adopt, out of the whole catalogue.
+
+    A customer walks the catalogue from a place given by its hash in steps prime to its size, which meets every item once; items owned
+    or adopted are skipped. So as many probes as items owned, adopted and wanted are enough, and nothing is crossed.
+    """
+    c = F.col
+    n = scalar(items.agg(F.count(F.lit(1))))
+    own = basket_of(bought.filter(c("date") <= cutoff)).select("customer", "item").join(items.select("item"), "item", "left_semi")
+    taken = own.unionByName(adopted.select("customer", "item"))
+    size = taken.groupBy("customer").agg(F.count(F.lit(1)).alias("taken"))
+    wish = adopted.groupBy("customer").agg((F.count(F.lit(1)) * per_positive).alias("wish")).join(size, "customer")
+    start = F.conv(F.substring(F.md5(c("customer").cast("string")), 1, 8), 16, 10).cast("long")
+    walk = wish.withColumn("n", n).select("customer", "wish", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.least(c("wish") + c("taken"), c("n")) - 1)).alias("step"))
+    stride = F.when(c("n") % STRIDE == 0, 1).otherwise(STRIDE)
+    met = walk.select("customer", "wish", "step", ((start + c("step") * stride) % c("n")).alias("place")).join(items.select("item", "place"), "place")
+    free = met.join(taken, ["customer", "item"], "left_anti")
+    w = Window.partitionBy("customer").orderBy("step")                        # at most what the customer owns and wants
+    return free.withColumn("_r", F.row_number().over(w)).filter(c("_r") <= c("wish")).select("customer", "item")
+
+
 def examples(bought: DataFrame, cutoff: Column, horizon: int = 3, negatives: int | None = 10) -> DataFrame:
-    """Features of (customer, unseen item) pairs at a cut-off; ten hashed negatives per positive when training."""
+    """Features of (customer, unseen item) pairs at a cut-off, over the whole catalogue; ten dealt negatives per positive when training."""
     c = F.col
     past, last12 = bought.filter(F.col("date") <= cutoff), recent(bought, cutoff, 12)
-    cand = knn_candidates(bought, cutoff).join(adoptions(bought, cutoff, horizon).withColumn("y", F.lit(1)), ["customer", "item"], "left").fillna(0, ["y"])
-    if negatives is not None:
-        npos = cand.groupBy("customer").agg(F.sum("y").alias("npos")).filter("npos > 0")
-        deal = F.md5(F.concat_ws("|", c("customer").cast("string"), c("item").cast("string")))
-        w = Window.partitionBy("customer", "y").orderBy(deal, "item")             # at most the catalogue per customer
-        cand = cand.join(npos, "customer").withColumn("_r", F.row_number().over(w)).filter((c("y") == 1) | (c("_r") <= negatives * c("npos"))).drop("_r", "npos")
+    items, adopted = catalogue(bought, cutoff), stored(adoptions(bought, cutoff, horizon), "adoptions")
+    if negatives is None:
+        cand = basket_scores(bought, cutoff, items).join(adopted.withColumn("y", F.lit(1)), ["customer", "item"], "left").fillna(0, ["y"])
+    else:
+        pairs = adopted.withColumn("y", F.lit(1)).unionByName(dealt_negatives(bought, cutoff, items, adopted, negatives).withColumn("y", F.lit(0)))
+        pairs = stored(pairs, "example-pairs")
+        cand = pairs.join(basket_scores(bought, cutoff, items, pairs=pairs.select("customer", "item")), ["customer", "item"])
     b12 = popularity(bought, cutoff).select("item", c("buyers").alias("b12"))
     b3 = basket_of(recent(bought, cutoff, 3)).groupBy("item").agg(F.count(F.lit(1)).alias("b3"))
     bt = popularity(bought, cutoff, ["type"]).select("type", "item", c("buyers").alias("bt"))
@@ -190,11 +279,10 @@ EXAMPLE_FEATURES = ["log_buyers_12m", "log_buyers_3m", "trend", "log_buyers_type
                     "log_customer_revenue", "active_share", "recency_years", "family_share", "family_known"]
 
 
-def learned_lists(bought: DataFrame, train_cut: Column, test_cut: Column, k: int = 10) -> DataFrame:
-    """Logistic ranker trained at one cut-off and applied to every candidate of a later one."""
+def learned_lists(bought: DataFrame, train_cut: Column, test_cut: Column, k: int = 10, kind: str = "logistic") -> DataFrame:
+    """Logistic or boosted ranker trained at one cut-off and applied to every candidate of a later one."""
     from tradewright.operators.learning import classifier, predict
-    from tradewright.session import cut_lineage
-    model: Pipeline = classifier("logistic", EXAMPLE_FEATURES).fit(cut_lineage(examples(bought, train_cut)))
+    model: Pipeline = classifier(kind, EXAMPLE_FEATURES).fit(cut_lineage(examples(bought, train_cut)))
     p = predict(model, cut_lineage(examples(bought, test_cut, negatives=None)))
     return top_k_per(p.withColumn("score", F.round("p", 9)), ["customer"], [F.col("score").desc(), F.col("item").asc()], k).select("customer", "item", "rank", "score")
 

@@ -22,15 +22,21 @@ V = {
     "own": "SELECT DISTINCT customer, item FROM past WHERE item IN (SELECT item FROM l12)",
     "sim": """SELECT a.item, b.item AS other, count(*) AS n_common, count(*) / sqrt(max(na) * max(nb)) AS similarity FROM own a JOIN own b ON a.customer = b.customer AND a.item <> b.item
         JOIN (SELECT item, count(*) AS na FROM own GROUP BY 1) x ON x.item = a.item JOIN (SELECT item, count(*) AS nb FROM own GROUP BY 1) z ON z.item = b.item GROUP BY 1, 2""",
-    "cand": """SELECT o.customer, s.other AS item, sum(similarity) AS knn_sum, max(similarity) AS knn_max FROM own o JOIN sim s ON s.item = o.item WHERE o.customer IN (SELECT customer FROM l12)
+    "near": """SELECT o.customer, s.other AS item, sum(similarity) AS knn_sum, max(similarity) AS knn_max FROM own o JOIN sim s ON s.item = o.item WHERE o.customer IN (SELECT customer FROM l12)
         AND NOT EXISTS (SELECT 1 FROM own w WHERE w.customer = o.customer AND w.item = s.other) GROUP BY 1, 2""",
     "pop": "SELECT item, count(DISTINCT customer) AS buyers FROM l12 GROUP BY 1",
     "popt": "SELECT type, item, count(DISTINCT customer) AS bt FROM l12 GROUP BY 1, 2",
     "adopt": f"""SELECT DISTINCT customer, item FROM bought WHERE date > DATE '{CUT}' AND date <= DATE '2001-06-30' AND item IN (SELECT item FROM l12) AND customer IN (SELECT customer FROM l12)
         AND NOT EXISTS (SELECT 1 FROM past p WHERE p.customer = bought.customer AND p.item = bought.item)""",
-    "knn": """SELECT customer, item, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, item) AS rank FROM (SELECT a.customer, pop.item, round(coalesce(knn_sum, 0) + 1e-3 * ln(1 + buyers), 9) AS score
-        FROM (SELECT DISTINCT customer FROM l12) a CROSS JOIN pop LEFT JOIN cand ON cand.customer = a.customer AND cand.item = pop.item WHERE NOT EXISTS (SELECT 1 FROM own w WHERE w.customer = a.customer AND w.item = pop.item))
-        QUALIFY rank <= 10""",
+    "cand": """SELECT a.customer, pop.item, coalesce(knn_sum, 0) AS knn_sum, coalesce(knn_max, 0) AS knn_max FROM (SELECT DISTINCT customer FROM l12) a CROSS JOIN pop LEFT JOIN near ON near.customer = a.customer AND near.item = pop.item
+        WHERE NOT EXISTS (SELECT 1 FROM own w WHERE w.customer = a.customer AND w.item = pop.item)""",
+    "knn": """SELECT customer, item, score, row_number() OVER (PARTITION BY customer ORDER BY score DESC, item) AS rank FROM (SELECT customer, item, round(knn_sum + 1e-3 * ln(1 + buyers), 9) AS score FROM cand JOIN pop USING (item)) QUALIFY rank <= 10""",
+    "places": "SELECT item, row_number() OVER (ORDER BY buyers DESC, item) - 1 AS place, count(*) OVER () AS n FROM pop",
+    "walk": """SELECT customer, wish, step, (CAST('0x' || substr(md5(CAST(customer AS VARCHAR)), 1, 8) AS BIGINT) + step * CASE WHEN n % 7919 = 0 THEN 1 ELSE 7919 END) % n AS place FROM (
+        SELECT customer, wish, n, unnest(range(0, least(wish + taken, n))) AS step FROM (SELECT customer, 10 * count(*) AS wish, count(*) + any_value(n_own) AS taken FROM adopt JOIN (SELECT customer, count(*) AS n_own FROM own GROUP BY 1) USING (customer) GROUP BY 1),
+          (SELECT count(*) AS n FROM pop))""",
+    "dealt": """SELECT customer, item FROM walk JOIN places USING (place) WHERE NOT EXISTS (SELECT 1 FROM own w WHERE w.customer = walk.customer AND w.item = places.item)
+        AND NOT EXISTS (SELECT 1 FROM adopt w WHERE w.customer = walk.customer AND w.item = places.item) QUALIFY row_number() OVER (PARTITION BY customer ORDER BY step) <= wish""",
     "popular": """SELECT customer, item, buyers, row_number() OVER (PARTITION BY customer ORDER BY buyers DESC, item) AS rank FROM (SELECT DISTINCT customer FROM l12) a, pop
         WHERE NOT EXISTS (SELECT 1 FROM past p WHERE p.customer = a.customer AND p.item = pop.item) QUALIFY rank <= 10""",
 }
@@ -79,8 +85,7 @@ def _summary(t, lists):
 q("x10_f15_knn_list_metrics", lambda t: _summary(t, Y.knn_lists(bought(t), cut())), "WITH l AS (SELECT customer, item, rank FROM knn)" + LM)
 q("x10_popularity_list_metrics", lambda t: _summary(t, Y.popular_unseen(bought(t), cut())), "WITH l AS (SELECT customer, item, rank FROM popular)" + LM)
 q("t13_recommendation_examples", lambda t: pp.rnd(Y.examples(bought(t), cut()), Y.EXAMPLE_FEATURES), f"""
-  WITH y AS (SELECT c.*, CASE WHEN a.item IS NULL THEN 0 ELSE 1 END AS y FROM cand c LEFT JOIN adopt a USING (customer, item)), np AS (SELECT customer, sum(y) AS np FROM y GROUP BY 1 HAVING sum(y) > 0),
-  k AS (SELECT y.*, np, row_number() OVER (PARTITION BY customer, y ORDER BY md5(concat(customer, '|', item)), item) AS r FROM y JOIN np USING (customer)), e AS (SELECT * FROM k WHERE y = 1 OR r <= 10 * np),
+  WITH e AS (SELECT cand.*, y FROM cand JOIN (SELECT customer, item, 1 AS y FROM adopt UNION ALL SELECT customer, item, 0 FROM dealt) USING (customer, item)),
   b3 AS (SELECT item, count(DISTINCT customer) AS b3 FROM l12 WHERE date > DATE '2000-12-31' GROUP BY 1), pr AS (SELECT item, sum(amount) AS pr FROM l12 GROUP BY 1), fi AS (SELECT item, min(date) AS fd, min(family) AS family FROM bought GROUP BY 1),
   nt AS (SELECT type, count(DISTINCT customer) AS nt FROM l12 GROUP BY 1), ow AS (SELECT customer, count(*) AS n_own FROM own GROUP BY 1), fa AS (SELECT customer, family, count(*) AS nf FROM own JOIN fi USING (item) GROUP BY 1, 2),
   cu AS (SELECT customer, min(type) AS type, max(date) AS ld FROM past GROUP BY 1), cr AS (SELECT customer, sum(amount) AS cr, count(DISTINCT date_trunc('month', date)) AS am FROM l12 GROUP BY 1)
@@ -92,6 +97,7 @@ q("t13_recommendation_examples", lambda t: pp.rnd(Y.examples(bought(t), cut()),
   FROM e JOIN cu USING (customer) JOIN cr USING (customer) JOIN ow USING (customer) JOIN fi USING (item) JOIN pr USING (item) JOIN pop USING (item) LEFT JOIN b3 USING (item) LEFT JOIN popt USING (type, item) JOIN nt USING (type)
   LEFT JOIN fa USING (customer, family)""")
 q("y3_learned_ranker", lambda t: _summary(t, Y.learned_lists(bought(t), cut("2000-12-31"), cut())))
+q("y3_boosted_ranker", lambda t: _summary(t, Y.learned_lists(bought(t), cut("2000-12-31"), cut(), kind="boosted")))
 q("y4_recommendation_table", lambda t: Y.recommendation_table(bought(t), Y.knn_lists(bought(t), cut()), cut()), """
   WITH sp AS (SELECT item, round(median(a) + 1e-7::DOUBLE, 4) AS median_yearly_spend FROM (SELECT item, customer, sum(amount) AS a FROM l12 GROUP BY 1, 2) GROUP BY 1)
   SELECT k.customer, rank, item, median_yearly_spend, buyers AS item_buyers, round(coalesce(bt, 0) * 100.0 / nt, 6) AS type_adoption_pct FROM knn k JOIN (SELECT customer, min(type) AS type FROM bought GROUP BY 1) USING (customer) JOIN pop USING (item) JOIN sp USING (item)
