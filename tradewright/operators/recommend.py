@@ -14,10 +14,9 @@ from tradewright.functions import rules as R
 from tradewright.functions.scale import scalar, top_k_per
 from tradewright.session import cut_lineage, ship_package, stored
 
-CUSTOMERS_PER_BLOCK = 256
-ITEMS_PER_BLOCK = 2048
+PAIRS = 2_000_000
 #: A task scores so many customers over so many items.
-USERS, TILE = 2048, 512
+USERS, TILE = 8192, 512
 STRIDE = 7919
 
 
@@ -37,14 +36,14 @@ def cutoff_dates(bought: DataFrame, horizon: int = 3, step: int = 3, warmup: int
     return b.select(F.explode(F.sequence(F.lit(0), n)).alias("i"), "hi", "lo").select(F.last_day(F.add_months("hi", -step * F.col("i"))).alias("cutoff"), "lo").filter("cutoff >= lo").select("cutoff")
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Customers arrive sorted; whole customers are handed on a block at a time."""
+def _baskets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole baskets from rows sorted by customer, many at a time."""
     held = None
     for b in batches:
         held = b if held is None else pd.concat([held, b], ignore_index=True)
         first = held["customer"].ne(held["customer"].shift())
-        if first.sum() > CUSTOMERS_PER_BLOCK:
-            cut = held.index[first][-1]
+        cut = held.index[first][-1] if len(held) else 0
+        if cut:
             yield held.iloc[:cut]
             held = held.iloc[cut:].reset_index(drop=True)
     if held is not None and len(held):
@@ -52,26 +51,20 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _co_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Co-purchase counts of each block of customers by dense tile products, never pair by pair."""
-    for block in _blocks(batches):
-        rows, _ = pd.factorize(block["customer"])
-        cols, items = pd.factorize(block["item"])
+    """Co-purchase counts by runs of basket entries, each run with at most `PAIRS` pairs or one entry; a large basket is several runs."""
+    for held in _baskets(batches):
+        code, items = pd.factorize(held["item"])
         items = np.asarray(items)
-        n = rows.max() + 1
-
-        def tile(lo):
-            pick = (cols >= lo) & (cols < lo + ITEMS_PER_BLOCK)
-            m = np.zeros((n, min(ITEMS_PER_BLOCK, len(items) - lo)), dtype=np.float32)
-            m[rows[pick], cols[pick] - lo] = 1.0
-            return m
-        for a in range(0, len(items), ITEMS_PER_BLOCK):
-            left = tile(a)
-            for b in range(0, len(items), ITEMS_PER_BLOCK):
-                c = left.T @ tile(b)
-                i, j = np.nonzero(c)
-                keep = (i + a) != (j + b)
-                i, j = i[keep], j[keep]
-                yield pd.DataFrame({"item": items[i + a], "other": items[j + b], "n": c[i, j].astype(np.int64)})
+        change = np.flatnonzero(np.r_[True, held["customer"].to_numpy()[1:] != held["customer"].to_numpy()[:-1]])
+        sizes = np.diff(np.r_[change, len(code)])
+        offset, width = np.repeat(change, sizes), np.repeat(sizes, sizes)
+        run = np.cumsum(width) // PAIRS
+        for lo, hi in zip(*(np.searchsorted(run, np.unique(run), side) for side in ("left", "right")), strict=True):
+            w = width[lo:hi]
+            within = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            left, right = np.repeat(code[lo:hi], w), code[np.repeat(offset[lo:hi], w) + within]
+            pair, n = np.unique(left[left != right] * len(items) + right[left != right], return_counts=True)
+            yield pd.DataFrame({"item": items[pair // len(items)], "other": items[pair % len(items)], "n": n})
 
 
 def item_similarity(bought: DataFrame) -> DataFrame:
@@ -108,7 +101,8 @@ def _tile_scores(k: int | None, pairs: bool):
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         n = len(right)
-        total, most = np.zeros((n, TILE)), np.zeros((n, TILE))
+        total = np.zeros((n, TILE))
+        most = None if k is not None else np.zeros((n, TILE))                # not asked for by lists
         baskets = [np.asarray(x, dtype=np.int64) for x in right["items"]]
         owned, who = np.concatenate([*baskets, np.zeros(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in baskets])
         order = np.argsort(owned, kind="stable")
@@ -123,7 +117,8 @@ def _tile_scores(k: int | None, pairs: bool):
             row = np.zeros(TILE)
             row[np.asarray(others)] = values
             total[who[lo:hi]] += row
-            most[who[lo:hi]] = np.maximum(most[who[lo:hi]], row)
+            if most is not None:
+                most[who[lo:hi]] = np.maximum(most[who[lo:hi]], row)
         at = int(right["tile"].iloc[0]) * TILE if n else 0
         if pairs:
             asked = [np.asarray(x, dtype=np.int64) - at for x in right["wanted"]]
@@ -137,12 +132,12 @@ def _tile_scores(k: int | None, pairs: bool):
                 # equal scores are parted later by the item, so all that may tie with the last one stay
                 open_to &= score >= np.partition(score, TILE - k, axis=1)[:, TILE - k, None] - 4e-9
             i, j = np.nonzero(open_to)
-        return pd.DataFrame({"customer": right["customer"].to_numpy()[i], "place": j + at, "knn_sum": total[i, j], "knn_max": most[i, j]})
+        return pd.DataFrame({"customer": right["customer"].to_numpy()[i], "place": j + at, "knn_sum": total[i, j], "knn_max": total[i, j] * np.nan if most is None else most[i, j]})
     return run
 
 
 def basket_scores(bought: DataFrame, cutoff: Column, items: DataFrame, k: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """(customer, item, knn_sum, knn_max): similarity of unseen catalogue items to the past basket, sum and maximum, zero included.
+    """(customer, item, knn_sum, knn_max (not with `k`)): similarity of unseen catalogue items to the past basket, sum and maximum, zero included.
 
     For every active customer and every catalogue item it never bought, or only those that may be among the `k` of highest
     knn_sum + log1p(buyers) / 1000, or only the given (customer, item) `pairs`. Blocks of customers meet tiles of items: a task adds the
@@ -176,7 +171,8 @@ def basket_scores(bought: DataFrame, cutoff: Column, items: DataFrame, k: int |
 
 def knn_candidates(bought: DataFrame, cutoff: Column) -> DataFrame:
     """Every catalogue item that an active customer never bought, with the sum and maximum of its similarity to the basket."""
-    return basket_scores(bought, cutoff, catalogue(bought, cutoff))
+    past = stored(bought.filter(F.col("date") <= cutoff), "past-purchases")
+    return basket_scores(past, cutoff, catalogue(past, cutoff))
 
 
 def popularity(bought: DataFrame, cutoff: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -209,8 +205,9 @@ def popular_unseen(bought: DataFrame, cutoff: Column, by_type: bool = False, k:
 
 def knn_lists(bought: DataFrame, cutoff: Column, k: int = 10) -> DataFrame:
     """The k unseen catalogue items of highest score per active customer, items of similarity zero among them."""
-    items = catalogue(bought, cutoff)
-    c = basket_scores(bought, cutoff, items, k).join(items.select("item", "buyers"), "item")
+    past = stored(bought.filter(F.col("date") <= cutoff), "past-purchases")           # read five times
+    items = catalogue(past, cutoff)
+    c = basket_scores(past, cutoff, items, k).join(items.select("item", "buyers"), "item")
     score = F.round(F.col("knn_sum") + 1e-3 * F.log1p("buyers"), 9)
     return top_k_per(c.withColumn("score", score), ["customer"], [F.col("score").desc(), F.col("item").asc()], k).select("customer", "item", "rank", "score")
 
