@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.functions import rules as R
+from tradewright.functions.bootstrap import bootstrap_auc_gap, bootstrap_gap  # noqa: F401
 from tradewright.functions.scale import exact_quantiles, range_buckets, running_totals, scalar
 from tradewright.session import cut_lineage
 
@@ -223,36 +224,3 @@ def target_drift(reference: DataFrame, current: DataFrame, limit: float = 0.5) -
     b = current.agg(F.avg("y").alias("c")).withColumn("k", F.lit(1))
     d = F.abs(F.col("c") - F.col("r")) / F.col("r")
     return a.join(b, "k").select(F.round("r", 6).alias("reference_rate"), F.round("c", 6).alias("current_rate"), F.round(d, 6).alias("relative_drift"), (d > limit).alias("alert"))
-
-
-# ---------------------------------------------------------------- paired bootstrap
-
-def unit_weight(unit: Column, replicate: Column) -> Column:
-    """Poisson(1) resampling weight of a unit in a replicate, from a stable hash: no row is drawn on the driver."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", unit.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    cdf, k = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119], None
-    for i, limit in enumerate(cdf):
-        k = F.when(u < limit, i) if k is None else k.when(u < limit, i)
-    return k.otherwise(len(cdf))
-
-
-def bootstrap_gap(per_unit: DataFrame, unit: str, a: str, b: str, base: str, replicates: int = 200) -> DataFrame:
-    """95 % interval of sum(a)/sum(base) - sum(b)/sum(base), resampling units (already summed per unit)."""
-    r = per_unit.select(unit, a, b, base, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = unit_weight(F.col(unit), F.col("rep"))
-    g = r.withColumn("w", w).groupBy("rep").agg(((F.sum(F.col("w") * F.col(a)) - F.sum(F.col("w") * F.col(b))) / F.sum(F.col("w") * F.col(base)) * 100).alias("gap"))
-    return g.agg(F.count(F.lit(1)).alias("replicates"), *[F.round(F.percentile("gap", F.lit(q)), 5).alias(n) for q, n in ((0.025, "low"), (0.5, "median"), (0.975, "high"))],
-                 F.round(F.avg((F.col("gap") < 0).cast("double")) * 100, 4).alias("a_better_pct"))
-
-
-def bootstrap_auc_gap(df: DataFrame, unit: str, a: str, b: str, replicates: int = 50) -> DataFrame:
-    """Interval of the AUC gap between two scores; every replicate and score is one group of a single job."""
-    rows = df.select("y", unit, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"), F.col(a).alias("pa"), F.col(b).alias("pb"))
-    rows = rows.withColumn("w", unit_weight(F.col(unit), F.col("rep"))).filter("w > 0")
-    long = rows.select("y", "w", "rep", F.explode(F.create_map(F.lit("a"), F.col("pa").cast("double"), F.lit("b"), F.col("pb").cast("double"))).alias("side", "p"))
-    t = long.groupBy(F.concat_ws(":", "rep", "side").alias("k"), "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
-    g = grouped_auc(t, "k").select(F.split("k", ":")[0].alias("rep"), F.split("k", ":")[1].alias("side"), "auc")
-    gap = g.groupBy("rep").agg((F.max(F.when(F.col("side") == "a", F.col("auc"))) - F.max(F.when(F.col("side") == "b", F.col("auc")))).alias("gap"))
-    low = F.percentile("gap", F.lit(0.025))
-    return gap.agg(F.count(F.lit(1)).alias("replicates"), F.round(low, 5).alias("low"), F.round(F.percentile("gap", F.lit(0.5)), 5).alias("median"),
-                   F.round(F.percentile("gap", F.lit(0.975)), 5).alias("high"), (low > 0).alias("significant"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradewright.functions import metrics as X
+from tradewright.functions.bootstrap import weight_sql
 from tradewright.functions import rules as R
 from tradewright.operators import learning as L
 from tradewright.operators import panels as P
@@ -60,14 +61,26 @@ def rounded_churn(t):
     return pp.rnd(pp.churn(t), ["recency_gap_ratio", "revenue_trend"])
 
 
-W = "(CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.9999167588507119 THEN 6 ELSE 7 END)"
+W = weight_sql("customer", "rep")
+INTERVAL = """SELECT count(*) AS replicates, round(quantile_cont(gap, 0.025), 5) AS low, round(median(gap), 5) AS median, round(quantile_cont(gap, 0.975), 5) AS high,
+  round(avg(CAST(gap < 0 AS INTEGER)) * 100, 4) AS a_better_pct FROM g"""
+RESAMPLED = f"""r AS (SELECT u.*, rep, {W} AS w FROM u, (SELECT unnest(range(1, 2001)) AS rep)), g AS (SELECT (sum(w * a) - sum(w * b)) / sum(w * base) * 100 AS gap FROM r GROUP BY rep) {INTERVAL}"""
 q("x5_bootstrap_wape_gap", lambda t: X.bootstrap_gap(pp.revenue_panel(t).groupBy("customer").agg(
     F.sum(F.abs(c("rev_3m") - c("future_revenue"))).alias("a"), F.sum(F.abs(c("rev_12m") / 4 - c("future_revenue"))).alias("b"), F.sum("future_revenue").alias("base")), "customer", "a", "b", "base"), f"""
-  WITH u AS (SELECT customer, sum(abs(rev_3m - future_revenue)) AS a, sum(abs(rev_12m / 4 - future_revenue)) AS b, sum(future_revenue) AS base FROM rp WHERE n_lines_12m >= 3 AND rank >= 12 AND active AND future_revenue IS NOT NULL GROUP BY 1),
-  r AS (SELECT u.*, rep, CAST(concat('0x', substr(md5(concat(customer, '-', rep)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM u, (SELECT unnest(range(1, 201)) AS rep)),
-  g AS (SELECT rep, (sum({W} * a) - sum({W} * b)) / sum({W} * base) * 100 AS gap FROM r GROUP BY 1)
-  SELECT count(*) AS replicates, round(quantile_cont(gap, 0.025), 5) AS low, round(median(gap), 5) AS median, round(quantile_cont(gap, 0.975), 5) AS high, round(avg(CAST(gap < 0 AS INTEGER)) * 100, 4) AS a_better_pct FROM g""")
-q("x5_bootstrap_auc_gap", lambda t: X.bootstrap_auc_gap(scored(t), "customer", "p", "p2", 20))
+  WITH u AS (SELECT customer, sum(abs(rev_3m - future_revenue)) AS a, sum(abs(rev_12m / 4 - future_revenue)) AS b, sum(future_revenue) AS base FROM rp WHERE n_lines_12m >= 3 AND rank >= 12 AND active AND future_revenue IS NOT NULL GROUP BY 1), {RESAMPLED}""")
+
+
+def relative_errors(t):
+    p = pp.revenue_panel(t).filter("future_revenue > 0")
+    off = lambda x: F.abs(x - c("future_revenue")) / c("future_revenue")
+    return p.groupBy("customer").agg(F.sum(off(c("rev_3m"))).alias("a"), F.sum(off(c("rev_12m") / 4)).alias("b"), F.count(F.lit(1)).alias("base"))
+
+
+q("x5_bootstrap_mape_gap", lambda t: X.bootstrap_gap(relative_errors(t), "customer", "a", "b", "base"), f"""
+  WITH u AS (SELECT customer, sum(abs(rev_3m - future_revenue) / future_revenue) AS a, sum(abs(rev_12m / 4 - future_revenue) / future_revenue) AS b, count(*) AS base FROM rp
+    WHERE n_lines_12m >= 3 AND rank >= 12 AND active AND future_revenue > 0 GROUP BY 1), {RESAMPLED}""")
+# two thousand weighted rankings are too much for SQL over whole tables: tests hold the replicates against sorted pairs
+q("x5_bootstrap_auc_gap", lambda t: X.bootstrap_auc_gap(scored(t), "customer", "p", "p2"))
 q("x6_calibration", lambda t: X.calibration(scored(t), "id"), """
   WITH o AS (SELECT *, row_number() OVER (ORDER BY p, concat(customer, '@', obs_date)) - 1 AS i, count(*) OVER () AS n FROM pr), g AS (SELECT *, n // 10 AS b, n % 10 AS e FROM o)
   SELECT CAST(CASE WHEN i < e * (b + 1) THEN i // (b + 1) ELSE e + (i - e * (b + 1)) // b END + 1 AS INTEGER) AS rank_group, count(*) AS n, sum(y) AS positives, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS observed,

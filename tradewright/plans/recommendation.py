@@ -8,6 +8,7 @@ from tradewright.functions import metrics as X
 from tradewright.operators import explain as E
 from tradewright.operators import panels as P
 from tradewright.operators import recommend as Y
+from tradewright.plans import evaluation as ev
 from tradewright.plans import panels as pp
 from tradewright.plans.registry import register
 
@@ -84,6 +85,20 @@ def _summary(t, lists):
 
 q("x10_f15_knn_list_metrics", lambda t: _summary(t, Y.knn_lists(bought(t), cut())), "WITH l AS (SELECT customer, item, rank FROM knn)" + LM)
 q("x10_popularity_list_metrics", lambda t: _summary(t, Y.popular_unseen(bought(t), cut())), "WITH l AS (SELECT customer, item, rank FROM popular)" + LM)
+NDCG = """SELECT l.customer, sum(CASE WHEN a.item IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) / list_sum(list_transform(range(1, least(max(np), 10) + 1), lambda i: 1 / log2(i + 1))) AS v FROM {0} l LEFT JOIN adopt a USING (customer, item)
+  JOIN (SELECT customer, count(*) AS np FROM adopt GROUP BY 1) n ON n.customer = l.customer GROUP BY 1"""
+
+
+def ndcg_pairs(t):
+    """NDCG of the similarity lists and of the popularity lists, a row for each adopting customer."""
+    b = bought(t)
+    adopted = Y.adoptions(b, cut())
+    a, p = (X.list_metrics(lists, adopted).select("customer", c("ndcg").alias(name)) for lists, name in ((Y.knn_lists(b, cut()), "a"), (Y.popular_unseen(b, cut()), "b")))
+    return a.join(p, "customer", "full").fillna(0.0).withColumn("base", F.lit(1))
+
+
+q("x5_bootstrap_ndcg_gap", lambda t: X.bootstrap_gap(ndcg_pairs(t), "customer", "a", "b", "base"), f"""
+  WITH u AS (SELECT customer, coalesce(x.v, 0) AS a, coalesce(y.v, 0) AS b, 1 AS base FROM ({NDCG.format('knn')}) x FULL JOIN ({NDCG.format('popular')}) y USING (customer)), {ev.RESAMPLED}""")
 q("t13_recommendation_examples", lambda t: pp.rnd(Y.examples(bought(t), cut()), Y.EXAMPLE_FEATURES), f"""
   WITH e AS (SELECT cand.*, y FROM cand JOIN (SELECT customer, item, 1 AS y FROM adopt UNION ALL SELECT customer, item, 0 FROM dealt) USING (customer, item)),
   b3 AS (SELECT item, count(DISTINCT customer) AS b3 FROM l12 WHERE date > DATE '2000-12-31' GROUP BY 1), pr AS (SELECT item, sum(amount) AS pr FROM l12 GROUP BY 1), fi AS (SELECT item, min(date) AS fd, min(family) AS family FROM bought GROUP BY 1),
