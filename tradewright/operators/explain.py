@@ -11,7 +11,7 @@ from tradewright.functions.scale import average_ranks
 
 
 def moments(panel: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row of means, deviations and 5-95 % bounds."""
+    """One row of means, deviations, and least and largest values as bounds."""
     return panel.agg(*[e for f in features for e in (F.avg(f).alias(f"mu_{f}"), F.stddev_pop(f).alias(f"sd_{f}"), F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))])
 
 

@@ -7,6 +7,7 @@ lost job leaves the previous build in place.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def published(spark: SparkSession, target: str) -> str | None:
     """Identifier of the newest published build."""
     try:
         rows = spark.read.parquet(f"{target}/manifest")
-    except Exception:  # no build published yet
+    except AnalysisException:  # no build published yet
         return None
     return rows.agg(F.max_by("build_id", "built_at")).first()[0]
 
