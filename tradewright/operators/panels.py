@@ -411,6 +411,14 @@ def eligible(demand: DataFrame, min_active_24: int = 6) -> DataFrame:
     return demand.filter("y is not null").withColumn("eligible", (roll(pos, w, 24) >= min_active_24) & (roll(pos, w, 12) >= 1))
 
 
+def reference_positions(positions: DataFrame, lines: DataFrame) -> DataFrame:
+    """(reference, m, position): month-end stock of the designations that were sold most under each reference; no row where none has a position."""
+    key = F.upper(F.trim("label")).alias("key")
+    sold = lines.groupBy(key, "reference").agg(F.sum("qty").alias("q"))
+    owner = sold.groupBy("key").agg(F.min_by("reference", F.struct((-F.col("q")).alias("q"), F.col("reference"))).alias("reference"))
+    return positions.join(owner, "key").groupBy("reference", R.month_index(F.col("month")).alias("m")).agg(F.sum("position").alias("position"))
+
+
 def reference_features(demand: DataFrame, flows: DataFrame, h: int = 1) -> DataFrame:
     """About fifty strictly retrospective variables per (reference, origin month), and the demand h months later.
 

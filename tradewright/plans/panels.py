@@ -197,7 +197,9 @@ V["refgrid"] = """SELECT g.reference, g.m, coalesce(y, 0) AS y, coalesce(amount,
 V["refflow"] = f"""SELECT b.reference, b.m, sum(qty) AS qty_in FROM (SELECT reference, {MI.format('date')} AS m, qty FROM purchase_lines) b GROUP BY 1, 2"""
 _W = {k: f"w{k} AS (PARTITION BY reference ORDER BY m ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (3, 6, 12, 24)}
 _TOT = "(" + " + ".join(f"sum(q_{k}) OVER w12" for k in P.REFERENCE_TYPES) + ")"
-V["reffeat"] = f"""SELECT reference, m, {", ".join(f"lag(y, {k}) OVER o AS lag_{k}" for k in range(12))}, lag(y, 11) OVER o AS season_1, lag(y, 23) OVER o AS season_2,
+V["refpos"] = f"""SELECT reference, {MI.format('month')} AS m, sum(position) AS position FROM months JOIN (SELECT key, arg_min(reference, (-q, reference)) AS reference FROM (
+    SELECT upper(trim(label)) AS key, reference, sum(qty) AS q FROM lines GROUP BY 1, 2) GROUP BY 1) USING (key) WHERE cum_in > 0 GROUP BY 1, 2"""
+V["reffeat"] = f"""SELECT reference, m, position, {", ".join(f"lag(y, {k}) OVER o AS lag_{k}" for k in range(12))}, lag(y, 11) OVER o AS season_1, lag(y, 23) OVER o AS season_2,
     {", ".join(f"avg(y) OVER w{k} AS mean_{k}, median(y) OVER w{k} AS median_{k}" for k in (3, 6, 12, 24))}, stddev_pop(y) OVER w12 AS std_12, max(y) OVER w12 AS max_12, avg(CAST(y = 0 AS INTEGER)) OVER w12 AS zero_share_12,
     coalesce(avg(y) OVER wp, 0) AS mean_12_before, coalesce(t - last_value(CASE WHEN y > 0 THEN t END IGNORE NULLS) OVER wr, t + 1) AS since_sale, coalesce(t + 1 - min(CASE WHEN y > 0 THEN t END) OVER wr, 0) AS age,
     count(CASE WHEN y > 0 THEN 1 END) OVER w24 AS active_24, count(*) OVER w24 / nullif(count(CASE WHEN y > 0 THEN 1 END) OVER w24, 0) AS adi,
@@ -205,7 +207,7 @@ V["reffeat"] = f"""SELECT reference, m, {", ".join(f"lag(y, {k}) OVER o AS lag_{
     {", ".join(f"CASE WHEN {_TOT} > 0 THEN sum(q_{k}) OVER w12 / {_TOT} END AS share_{k}" for k in P.REFERENCE_TYPES)}, avg(hhi) OVER w12 AS hhi_12, max(n_customers) OVER w12 AS max_customers_12,
     CASE WHEN sum(y) OVER w12 > 0 THEN sum(amount) OVER w12 / sum(y) OVER w12 END AS price_12, sum(coalesce(qty_in, 0)) OVER w3 AS bought_3, sum(coalesce(qty_in, 0)) OVER w12 AS bought_12,
     count(CASE WHEN y > 0 THEN 1 END) OVER w24 >= 6 AND count(CASE WHEN y > 0 THEN 1 END) OVER w12 >= 1 AS eligible, lead(y, 1) OVER o AS target
-    FROM refgrid LEFT JOIN refflow USING (reference, m) WINDOW o AS (PARTITION BY reference ORDER BY m), {", ".join(_W.values())}, wp AS (PARTITION BY reference ORDER BY m ROWS BETWEEN 23 PRECEDING AND 12 PRECEDING),
+    FROM refgrid LEFT JOIN refflow USING (reference, m) LEFT JOIN refpos USING (reference, m) WINDOW o AS (PARTITION BY reference ORDER BY m), {", ".join(_W.values())}, wp AS (PARTITION BY reference ORDER BY m ROWS BETWEEN 23 PRECEDING AND 12 PRECEDING),
     wr AS (PARTITION BY reference ORDER BY m ROWS UNBOUNDED PRECEDING)"""
 V["refmarket"] = """SELECT m, mk AS market_last, lag(mk, 11) OVER (ORDER BY m) AS market_year_ago, avg(mk) OVER (ORDER BY m ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS market_mean_12 FROM (SELECT m, sum(y) AS mk FROM refgrid GROUP BY 1)"""
 
@@ -215,11 +217,12 @@ def ref_demand(t):
 
 
 def ref_flows(t):
-    return t.purchase_lines.groupBy("reference", R.month_index(c("date")).alias("m")).agg(F.sum("qty").alias("qty_in")).withColumn("position", F.lit(None).cast("double"))
+    bought = t.purchase_lines.groupBy("reference", R.month_index(c("date")).alias("m")).agg(F.sum("qty").alias("qty_in"))
+    return bought.join(P.reference_positions(positions(t), t.sales_lines), ["reference", "m"], "full")
 
 
-XF = [f for f in P.REFERENCE_FEATURES if f not in ("position", "growth_12")]
-q("t11_reference_features", lambda t: rnd(P.reference_features(ref_demand(t), ref_flows(t)), [*XF, "growth_12"], 4).drop("position", "h", "target_month"), f"""
+XF = [f for f in P.REFERENCE_FEATURES if f != "growth_12"]
+q("t11_reference_features", lambda t: rnd(P.reference_features(ref_demand(t), ref_flows(t)), [*XF, "growth_12"], 4).drop("h", "target_month"), f"""
   SELECT reference, m, {rsql(XF, 4)}, round(CASE WHEN mean_12_before > 0 THEN mean_12 / mean_12_before END + 1e-9, 4) AS growth_12, target FROM reffeat JOIN refmarket USING (m) WHERE eligible""")
 V["rbuy"] = "SELECT reference, customer, m, q FROM refper WHERE q > 0"
 q("t11_customer_signals", lambda t: rnd(P.customer_signals(t.sales_lines, t.quotes), ["expected_repurchase", "quote_activity", "quoted_amount_3m"], 3), f"""
