@@ -198,7 +198,7 @@ V["refflow"] = f"""SELECT b.reference, b.m, sum(qty) AS qty_in FROM (SELECT refe
 _W = {k: f"w{k} AS (PARTITION BY reference ORDER BY m ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (3, 6, 12, 24)}
 _TOT = "(" + " + ".join(f"sum(q_{k}) OVER w12" for k in P.REFERENCE_TYPES) + ")"
 V["refpos"] = f"""SELECT reference, {MI.format('month')} AS m, sum(position) AS position FROM months JOIN (SELECT key, arg_min(reference, (-q, reference)) AS reference FROM (
-    SELECT upper(trim(label)) AS key, reference, sum(qty) AS q FROM lines GROUP BY 1, 2) GROUP BY 1) USING (key) WHERE cum_in > 0 GROUP BY 1, 2"""
+    SELECT upper(trim(label)) AS key, reference, sum(qty) AS q FROM outs GROUP BY 1, 2) GROUP BY 1) USING (key) WHERE cum_in > 0 GROUP BY 1, 2"""
 V["reffeat"] = f"""SELECT reference, m, position, {", ".join(f"lag(y, {k}) OVER o AS lag_{k}" for k in range(12))}, lag(y, 11) OVER o AS season_1, lag(y, 23) OVER o AS season_2,
     {", ".join(f"avg(y) OVER w{k} AS mean_{k}, median(y) OVER w{k} AS median_{k}" for k in (3, 6, 12, 24))}, stddev_pop(y) OVER w12 AS std_12, max(y) OVER w12 AS max_12, avg(CAST(y = 0 AS INTEGER)) OVER w12 AS zero_share_12,
     coalesce(avg(y) OVER wp, 0) AS mean_12_before, coalesce(t - last_value(CASE WHEN y > 0 THEN t END IGNORE NULLS) OVER wr, t + 1) AS since_sale, coalesce(t + 1 - min(CASE WHEN y > 0 THEN t END) OVER wr, 0) AS age,
@@ -218,7 +218,7 @@ def ref_demand(t):
 
 def ref_flows(t):
     bought = t.purchase_lines.groupBy("reference", R.month_index(c("date")).alias("m")).agg(F.sum("qty").alias("qty_in"))
-    return bought.join(P.reference_positions(positions(t), t.sales_lines), ["reference", "m"], "full")
+    return bought.join(P.reference_positions(positions(t), outs(t)), ["reference", "m"], "full")
 
 
 XF = [f for f in P.REFERENCE_FEATURES if f != "growth_12"]
