@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tradewright.functions import metrics as X
 from tradewright.functions import rules as R
+from tradewright.functions.bootstrap import bootstrap_gap
 from tradewright.functions.scale import scalar
 from tradewright.operators.panels import eligible
 from tradewright.session import cut_lineage
@@ -23,23 +24,46 @@ from tradewright.session import cut_lineage
 RULES = ("zero", "last", "seasonal", "seasonal_growth", "seasonal_level", "mean_3", "mean_6", "mean_12", "median_3", "median_6", "median_12", "trend")
 
 
-def base_rules(demand: DataFrame, h: int = 1) -> DataFrame:
-    """Every simple rule at every origin, wide, with the demand h months later as `target`."""
-    c, w = F.col, Window.partitionBy("reference").orderBy("m")
-    last = lambda k: w.rowsBetween(-(k - 1), 0)
+INTERMITTENT = tuple(f"{kind}_{tenth}" for tenth in (1, 2, 3) for kind in ("croston", "sba", "tsb"))
+HORIZONS = (1, 2, 3)
+VALIDATION, TEST = 12, 18          # origins on which a rule is chosen, and later ones on which it is reported
+WINDOW = 24                        # months an intermittent rule looks back
+REFERENCE_RULE, MIN_GAIN = "median_12", 2.0
+
+
+def _series():
+    return Window.partitionBy("reference").orderBy("m")
+
+
+def _last(k: int):
+    return _series().rowsBetween(-(k - 1), 0)
+
+
+def _any_horizon() -> dict[str, Column]:
+    """The simple rules that say the same for every horizon."""
+    return {"zero": F.lit(0.0), "last": F.col("y"), **{f"mean_{k}": F.avg("y").over(_last(k)) for k in (3, 6, 12)},
+            **{f"median_{k}": F.percentile("y", F.lit(0.5)).over(_last(k)) for k in (3, 6, 12)}}
+
+
+def _at_horizon(h: int) -> dict[str, Column]:
+    """The simple rules for h months ahead, with the demand of that month as `target`."""
+    c, w = F.col, _series()
     season = F.coalesce(F.lag("y", 12 - h).over(w), c("y"))
     has = F.lag("y", 12 - h).over(w).isNotNull()
-    rec, prev = F.avg("y").over(last(12)), F.avg("y").over(w.rowsBetween(-23, -12))
+    rec, prev = F.avg("y").over(_last(12)), F.avg("y").over(w.rowsBetween(-23, -12))
     level = F.when(prev > 0, rec / prev).otherwise(1.0)
-    r3, p3 = F.avg("y").over(last(3)), F.avg("y").over(w.rowsBetween(-14, -12))
+    r3, p3 = F.avg("y").over(_last(3)), F.avg("y").over(w.rowsBetween(-14, -12))
     n15 = F.count(F.lit(1)).over(w.rowsBetween(-14, 0)) >= 15
     clip = lambda x: F.least(F.greatest(x, F.lit(0.5)), F.lit(2.0))
-    trend = F.regr_intercept("y", "t").over(last(12)) + F.regr_slope("y", "t").over(last(12)) * (c("t") + h)
+    trend = F.regr_intercept("y", "t").over(_last(12)) + F.regr_slope("y", "t").over(_last(12)) * (c("t") + h)
     growth = F.when(n15, season * clip(F.when(p3 > 0, r3 / p3).otherwise(1.0)))
-    return demand.withColumns({
-        "zero": F.lit(0.0), "last": c("y"), "seasonal": season, "seasonal_growth": growth, "seasonal_level": F.when(has, season * clip(level)).otherwise(season),
-        **{f"mean_{k}": F.avg("y").over(last(k)) for k in (3, 6, 12)}, **{f"median_{k}": F.percentile("y", F.lit(0.5)).over(last(k)) for k in (3, 6, 12)},
-        "trend": F.greatest(F.coalesce(trend, c("y")), F.lit(0.0)), "target": F.lead("y", h).over(w)})
+    return {"seasonal": season, "seasonal_growth": growth, "seasonal_level": F.when(has, season * clip(level)).otherwise(season),
+            "trend": F.greatest(F.coalesce(trend, c("y")), F.lit(0.0)), "target": F.lead("y", h).over(w)}
+
+
+def base_rules(demand: DataFrame, h: int = 1) -> DataFrame:
+    """Every simple rule at every origin, wide, with the demand h months later as `target`."""
+    return demand.withColumns({**_any_horizon(), **_at_horizon(h)})
 
 
 def long_rules(wide: DataFrame, keys: Sequence[str], rules: Sequence[str] = RULES) -> DataFrame:
@@ -91,8 +115,67 @@ def rule_scores(demand: DataFrame, h: int = 1, last_origins: int = 12, rules: Se
     return X.error_block(long_rules(e, ["target as y"], rules), ["rule"])
 
 
+def rules_at_origins(demand: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """(reference, m, h, phase, y, one column for each rule) at the last eligible origins: 12 of validation, then 18 of test.
+
+    y is the demand h months after the origin; horizons that end after the last month are left out. The intermittent
+    rules fold the last 24 months of each origin, and only of these origins. All windows share one sorted partition of a reference's months.
+    """
+    hi = scalar(demand.agg(F.max("m")))
+    ahead = {h: _at_horizon(h) for h in horizons}
+    wide = eligible(demand.withColumns({**_any_horizon(), **{f"{n}_h{h}": x for h, by in ahead.items() for n, x in by.items()}, "past": F.collect_list("y").over(_last(WINDOW))}))
+    near = wide.filter("eligible").filter((F.col("m") >= hi - VALIDATION - TEST) & (F.col("m") < hi))
+    folded = near.withColumns({f"{kind}_{tenth}": _croston(F.col("past"), tenth / 10, kind) for kind, tenth in (r.split("_") for r in INTERMITTENT) for tenth in (int(tenth),)})
+    each = F.array(*[F.struct(F.lit(h).alias("h"), *[F.col(f"{n}_h{h}").alias(n) for n in by]) for h, by in ahead.items()])
+    own = [c for c in (*RULES, *INTERMITTENT) if c not in ahead[horizons[0]]]
+    phase = F.when(F.col("m") >= hi - TEST, "test").otherwise("validation")
+    rows = folded.select("reference", "m", phase.alias("phase"), *own, F.explode(each).alias("at")).select("reference", "m", "phase", *own, "at.*")
+    return rows.filter("target is not null").withColumnRenamed("target", "y")
+
+
+def walk_forward_scores(rows: DataFrame) -> DataFrame:
+    """Errors of every rule by phase and horizon over `rules_at_origins`."""
+    return X.error_block(long_rules(rows, ["phase", "h", "y"], (*RULES, *INTERMITTENT)), ["phase", "h", "rule"])
+
+
 def chosen_rule(scores: DataFrame) -> DataFrame:
-    return scores.orderBy("wape_pct", "rule").limit(1).select("rule", "wape_pct")
+    """For each horizon the rule of least WAPE on the validation origins (ties: first by name), with its WAPE on the test origins."""
+    on = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("wape_pct")))
+    both = scores.groupBy("h", "rule").agg(on("validation").alias("validation_wape_pct"), on("test").alias("test_wape_pct"))
+    return both.filter("validation_wape_pct is not null").groupBy("h").agg(F.min(F.struct("validation_wape_pct", "rule", "test_wape_pct")).alias("b")).select(
+        "h", "b.rule", "b.validation_wape_pct", "b.test_wape_pct")
+
+
+def _against_reference(rows: DataFrame) -> DataFrame:
+    """(reference, m, h, phase, y, role, rule, yhat): the reference rule and the rule chosen at one month, which then serves all horizons."""
+    first = chosen_rule(walk_forward_scores(rows)).filter("h = 1").select(F.lit("chosen").alias("role"), "rule")
+    roles = first.unionByName(rows.sparkSession.range(1).select(F.lit("reference").alias("role"), F.lit(REFERENCE_RULE).alias("rule")))
+    return long_rules(rows, ["reference", "m", "h", "phase", "y"], (*RULES, *INTERMITTENT)).join(F.broadcast(roles), "rule")            # two rows
+
+
+def protocol_report(rows: DataFrame) -> DataFrame:
+    """WAPE at each horizon and over three months together, and bias at one month, by phase, of the chosen and the reference rule."""
+    long = _against_reference(rows)
+    e = F.abs(F.col("yhat") - F.col("y"))
+    at = lambda h, x: F.sum(F.when(F.col("h") == h, x))
+    one = long.groupBy("role", "rule", "phase").agg(*[F.round(R.pct(at(h, e), at(h, F.col("y"))), 6).alias(f"wape_h{h}") for h in HORIZONS],
+                                                     F.round(R.pct(at(1, F.col("yhat") - F.col("y")), at(1, F.col("y"))), 6).alias("bias_h1"))
+    cases = long.groupBy("role", "phase", "reference", "m").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("yhat").alias("yhat")).filter(F.col("n") == len(HORIZONS))
+    three = cases.groupBy("role", "phase").agg(F.round(R.pct(F.sum(e), F.sum("y")), 6).alias("wape_3_months"))
+    return one.join(three, ["role", "phase"], "left")
+
+
+def served_rule(rows: DataFrame) -> DataFrame:
+    """The chosen rule serves only if it beats the reference rule on the test by `MIN_GAIN` points of WAPE at one month, with a 95 % interval above zero."""
+    test = cut_lineage(_against_reference(rows.filter("h = 1")).filter("phase = 'test'"))
+    e = F.abs(F.col("yhat") - F.col("y"))
+    of = lambda role, x: F.sum(F.when(F.col("role") == role, x))
+    units = test.groupBy("reference").agg(of("reference", e).alias("a"), of("chosen", e).alias("b"), of("reference", F.col("y")).alias("base"))
+    gap = units.agg(F.round(R.pct(F.sum("a") - F.sum("b"), F.sum("base")), 6).alias("gain"))
+    name = test.filter("role = 'chosen'").agg(F.max("rule").alias("rule"))
+    ok = (F.col("gain") >= MIN_GAIN) & (F.col("low") > 0)
+    return name.crossJoin(gap).crossJoin(bootstrap_gap(units, "reference", "a", "b", "base").select("replicates", "low", "high")).select(                  # one row each
+        F.col("rule").alias("candidate"), "gain", "replicates", "low", "high", ok.alias("deployed"), F.when(ok, F.col("rule")).otherwise(REFERENCE_RULE).alias("served"))
 
 
 def market_series(demand: DataFrame) -> DataFrame:

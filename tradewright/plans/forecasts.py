@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradewright.functions import rules as R
+from tradewright.functions.bootstrap import weight_sql
 from tradewright.operators import forecasting as G
 from tradewright.operators import panels as P
 from tradewright.plans import panels as pp
 from tradewright.plans.registry import register
+from tradewright.session import cut_lineage
 
 c = F.col
 
@@ -17,13 +19,13 @@ def _w(k):
     return f"w{k} AS (PARTITION BY reference ORDER BY m ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
 
 
-def rules_sql(src):
+def rules_sql(src, h=1):
     return f"""SELECT *, 0.0::DOUBLE AS zero, y AS last, s AS seasonal, CASE WHEN n15 >= 15 THEN s * least(greatest(CASE WHEN p3 > 0 THEN mean_3 / p3 ELSE 1 END, 0.5), 2) END AS seasonal_growth,
-        CASE WHEN has THEN s * least(greatest(CASE WHEN pv > 0 THEN mean_12 / pv ELSE 1 END, 0.5), 2) ELSE s END AS seasonal_level, greatest(coalesce(ri + rs * (t + 1), y), 0) AS trend FROM (
-      SELECT reference, m, t, y, coalesce(lag(y, 11) OVER o, y) AS s, lag(y, 11) OVER o IS NOT NULL AS has, {", ".join(f"avg(y) OVER w{k} AS mean_{k}, median(y) OVER w{k} AS median_{k}" for k in (3, 6, 12))},
-        avg(y) OVER wp AS pv, avg(y) OVER wq AS p3, count(*) OVER w15 AS n15, regr_intercept(y, t) OVER w12 AS ri, regr_slope(y, t) OVER w12 AS rs, lead(y, 1) OVER o AS target,
+        CASE WHEN has THEN s * least(greatest(CASE WHEN pv > 0 THEN mean_12 / pv ELSE 1 END, 0.5), 2) ELSE s END AS seasonal_level, greatest(coalesce(ri + rs * (t + {h}), y), 0) AS trend FROM (
+      SELECT reference, m, t, y, coalesce(lag(y, {12 - h}) OVER o, y) AS s, lag(y, {12 - h}) OVER o IS NOT NULL AS has, {", ".join(f"avg(y) OVER w{k} AS mean_{k}, median(y) OVER w{k} AS median_{k}" for k in (3, 6, 12))},
+        avg(y) OVER wp AS pv, avg(y) OVER wq AS p3, count(*) OVER w15 AS n15, regr_intercept(y, t) OVER w12 AS ri, regr_slope(y, t) OVER w12 AS rs, lead(y, {h}) OVER o AS target,
         count(CASE WHEN y > 0 THEN 1 END) OVER w24 >= 6 AND count(CASE WHEN y > 0 THEN 1 END) OVER w12 >= 1 AS eligible, count(*) OVER w24 AS n24, count(CASE WHEN y > 0 THEN 1 END) OVER w24 AS a24,
-        avg(CASE WHEN y > 0 THEN y END) OVER w24 AS m24, stddev_pop(CASE WHEN y > 0 THEN y END) OVER w24 AS s24, CASE WHEN count(*) OVER wf = 3 THEN sum(y) OVER wf END AS next_3
+        avg(CASE WHEN y > 0 THEN y END) OVER w24 AS m24, stddev_pop(CASE WHEN y > 0 THEN y END) OVER w24 AS s24, CASE WHEN count(*) OVER wf = 3 THEN sum(y) OVER wf END AS next_3, list(y) OVER w24 AS v
       FROM {src} WINDOW o AS (PARTITION BY reference ORDER BY m), {", ".join(_w(k) for k in (3, 6, 12, 15, 24))}, wp AS (PARTITION BY reference ORDER BY m ROWS BETWEEN 23 PRECEDING AND 12 PRECEDING),
         wq AS (PARTITION BY reference ORDER BY m ROWS BETWEEN 14 PRECEDING AND 12 PRECEDING), wf AS (PARTITION BY reference ORDER BY m ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))"""
 
@@ -58,7 +60,40 @@ q("g8_intermittent_demand", lambda t: pp.rnd(G.intermittent_forecasts(dem(t)), [
     {", ".join(f"round(CASE WHEN k = 0 THEN 0 ELSE ({_TZ.format(a=f'0.{i}::DOUBLE')}) * ({_TP.format(a=f'0.{i}::DOUBLE')}) END + 1e-9, 6) AS tsb_{i}" for i in (1, 2, 3))} FROM d""")
 SCORES = f"""WITH l AS (SELECT target AS y, {LONG} FROM rules WHERE eligible AND target IS NOT NULL AND m > (SELECT max(m) FROM refgrid) - 13), s AS (SELECT rule, {ERR} FROM l WHERE yhat IS NOT NULL GROUP BY 1)"""
 q("g9_rule_scores", lambda t: G.rule_scores(dem(t)), SCORES + " SELECT * FROM s")
-q("g9_chosen_rule", lambda t: G.chosen_rule(G.rule_scores(dem(t))), SCORES + " SELECT rule, wape_pct FROM s ORDER BY wape_pct, rule LIMIT 1")
+_ALL = (*G.RULES, *G.INTERMITTENT)
+_SMOOTHED = ", ".join(f"CASE WHEN k = 0 THEN 0 ELSE {_SM.format(z='nz', a=f'0.{i}::DOUBLE')} / greatest({_SM.format(z='g', a=f'0.{i}::DOUBLE')}, 1) * {1.0 if n == 'croston' else 1 - i / 20} END AS {n}_{i}" for i in (1, 2, 3) for n in ("croston", "sba"))
+_TSB = ", ".join(f"CASE WHEN k = 0 THEN 0 ELSE ({_TZ.format(a=f'0.{i}::DOUBLE')}) * ({_TP.format(a=f'0.{i}::DOUBLE')}) END AS tsb_{i}" for i in (1, 2, 3))
+V["walk"] = f"""WITH a AS ({" UNION ALL ".join(f"SELECT {h} AS h, * FROM ({rules_sql('refgrid', h)})" for h in G.HORIZONS)}), hi AS (SELECT max(m) AS hi FROM refgrid),
+  e AS (SELECT a.*, CASE WHEN m >= hi - 18 THEN 'test' ELSE 'validation' END AS phase, {_NZ} AS nz, list_filter(list_transform(v, lambda x, i: CASE WHEN x > 0 THEN i END), lambda x: x IS NOT NULL) AS p FROM a, hi
+    WHERE eligible AND target IS NOT NULL AND m >= hi - 30),
+  d AS (SELECT *, len(nz) AS k, list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - p[i - 1] END) AS g FROM e), w AS (SELECT *, {_SMOOTHED}, {_TSB} FROM d),
+  l AS (SELECT reference, m, h, phase, target AS y, unnest([{", ".join(f"'{r}'" for r in _ALL)}]) AS rule, unnest([{", ".join(f"{r}::DOUBLE" for r in _ALL)}]) AS yhat FROM w)
+  SELECT * FROM l WHERE yhat IS NOT NULL"""
+V["wscores"] = f"SELECT phase, h, rule, {ERR} FROM walk GROUP BY ALL"
+V["wchoice"] = """SELECT a.h, a.rule, a.wape_pct AS validation_wape_pct, b.wape_pct AS test_wape_pct FROM wscores a LEFT JOIN wscores b ON b.phase = 'test' AND a.h = b.h AND a.rule = b.rule
+  WHERE a.phase = 'validation' QUALIFY row_number() OVER (PARTITION BY a.h ORDER BY a.wape_pct, a.rule) = 1"""
+V["wroles"] = f"SELECT 'chosen' AS role, rule FROM wchoice WHERE h = 1 UNION ALL SELECT 'reference', '{G.REFERENCE_RULE}'"
+
+
+def walk(t):
+    return cut_lineage(G.rules_at_origins(dem(t)))
+
+
+q("g9_walk_forward_scores", lambda t: G.walk_forward_scores(G.rules_at_origins(dem(t))), "SELECT * FROM wscores")
+q("g9_chosen_rule", lambda t: G.chosen_rule(G.walk_forward_scores(G.rules_at_origins(dem(t)))), "SELECT * FROM wchoice")
+q("g9_protocol_report", lambda t: G.protocol_report(walk(t)), """
+  WITH l AS (SELECT * FROM walk JOIN wroles USING (rule)), c AS (SELECT role, phase, reference, m, sum(y) AS y, sum(yhat) AS yhat FROM l GROUP BY ALL HAVING count(*) = 3),
+  s AS (SELECT role, phase, round(sum(abs(yhat - y)) * 100 / sum(y), 6) AS wape_3_months FROM c GROUP BY ALL),
+  o AS (SELECT role, rule, phase, """ + ", ".join(f"round(sum(abs(yhat - y)) FILTER (h = {h}) * 100 / sum(y) FILTER (h = {h}), 6) AS wape_h{h}" for h in G.HORIZONS) + """,
+    round(sum(yhat - y) FILTER (h = 1) * 100 / sum(y) FILTER (h = 1), 6) AS bias_h1 FROM l GROUP BY ALL)
+  SELECT o.*, wape_3_months FROM o LEFT JOIN s USING (role, phase)""")
+q("g9_served_rule", lambda t: G.served_rule(walk(t)), f"""
+  WITH l AS (SELECT * FROM walk JOIN wroles USING (rule) WHERE phase = 'test' AND h = 1), u AS (SELECT reference, sum(abs(yhat - y)) FILTER (role = 'reference') AS a, sum(abs(yhat - y)) FILTER (role = 'chosen') AS b,
+    sum(y) FILTER (role = 'reference') AS base FROM l GROUP BY 1),
+  r AS (SELECT u.*, rep, {weight_sql("reference", "rep")} AS w FROM u, (SELECT unnest(range(1, 2001)) AS rep)), g AS (SELECT (sum(w * a) - sum(w * b)) / sum(w * base) * 100 AS gap FROM r GROUP BY rep),
+  i AS (SELECT count(*) AS replicates, round(quantile_cont(gap, 0.025), 5) AS low, round(quantile_cont(gap, 0.975), 5) AS high FROM g),
+  o AS (SELECT round((sum(a) - sum(b)) * 100 / sum(base), 6) AS gain FROM u), c AS (SELECT rule FROM wroles WHERE role = 'chosen')
+  SELECT rule AS candidate, gain, replicates, low, high, gain >= {G.MIN_GAIN} AND low > 0 AS deployed, CASE WHEN gain >= {G.MIN_GAIN} AND low > 0 THEN rule ELSE '{G.REFERENCE_RULE}' END AS served FROM c, o, i""")
 q("g9_market_rule_mape", lambda t: G.market_rule_mape(dem(t)), f"""
   WITH l AS (SELECT m, target, {LONG} FROM mrules WHERE target > 0 AND m > (SELECT max(m) FROM mrules WHERE target > 0) - 24)
   SELECT rule, count(*) AS origins, round(avg(abs(target - yhat) / target) * 100, 6) AS mape_pct FROM l WHERE yhat > 0 AND rule <> 'zero' GROUP BY 1""")
