@@ -111,3 +111,54 @@ def repair_cost(roles):
             total += END_COST[at]
             best = total if best is None else min(best, total)
     return best
+
+
+def grams(text):
+    """{number: count} of single letters, and of pairs and triples in which a run of other characters counts as one edge."""
+    marks = [0]
+    for ch in (text or "").lower():
+        if ch.isalpha():
+            marks.append(ord(ch))
+        elif marks[-1]:
+            marks.append(0)
+    if marks[-1]:
+        marks.append(0)
+    out = {}
+    for i, m in enumerate(marks):
+        own = ([(m,)] if m else []) + ([tuple(marks[i:i + 2])] if i + 1 < len(marks) else []) + ([tuple(marks[i - 1:i + 2])] if m else [])
+        for g in own:
+            number = 0
+            for x in g:
+                number = (number << 21) | x
+            out[number] = out.get(number, 0) + 1
+    return out
+
+
+def _by_rank(counts, most):
+    return sorted(counts, key=lambda g: (-counts[g], g))[:most]
+
+
+def ranks(text, most):
+    return _by_rank(grams(text), most)
+
+
+def profiles(rows, most):
+    sums = {}
+    for lang, text in rows:
+        if lang is not None and text is not None:
+            for g, n in grams(text).items():
+                held = sums.setdefault(lang, {})
+                held[g] = held.get(g, 0) + n
+    return {lang: _by_rank(held, most) for lang, held in sums.items() if held}
+
+
+def language(text, known, most):
+    own = ranks(text, most)
+    if not own or not known:
+        return "und", 0.0
+    far = {}
+    for lang, held in known.items():
+        place = {g: i for i, g in enumerate(held)}
+        far[lang] = sum(abs(place[g] - i) if g in place else most for i, g in enumerate(own))
+    best = min(sorted(far), key=lambda lang: far[lang])
+    return best, round(1 - far[best] / (most * len(own)), 9)

@@ -109,13 +109,45 @@ def test_decision_list(spark, docs):
     many = table(spark, DATA.replace("sf0.001", "sf0.01"), "documents")
     judged = quality.judge_documents(many, labels).cache()
     by = {(r.quality, r.kept): r["count"] for r in judged.where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
-    assert by[0, False] >= 0.75 * (by[0, False] + by.get((0, True), 0))
+    assert by[0, False] >= 0.9 * (by[0, False] + by.get((0, True), 0))
     assert by[1, True] >= 0.99 * (by[1, True] + by.get((1, False), 0))
     kept = quality.keep_good(many, labels)
     assert kept.columns == many.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in judged.where("kept").collect()}
 
 
+def test_decision_list_on_documents_it_did_not_learn_from(spark):
+    from tests.conftest import DATA
+    from tradewright.llm.common import table
+    folder = DATA.replace("sf0.001", "sf0.1")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(7)) < 4
+    labels = table(spark, folder, "labels")
+    judged = quality.judge_documents(table(spark, folder, "documents"), labels.where(half)).join(labels.where(~half), "doc_id").where("not base_failed")
+    by = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    print("held-out", by)
+    assert by[0, False] >= 0.95 * (by[0, False] + by.get((0, True), 0))
+    assert by[1, True] >= 0.99 * (by[1, True] + by.get((1, False), 0))
+
+
+def test_covering_goes_on_after_a_refused_rule(spark):
+    """Most bad rows share a feature with many good ones, which cannot be proved; two smaller causes are precise."""
+    import random
+    draw, rows, labels = random.Random(5), [], []
+    for i in range(1500):
+        cause = i % 15                                       # 0: symbols, 1: repeated lines, 2 to 4: upper case, bad or good alike
+        bad = cause in (0, 1) or (cause in (2, 3, 4) and draw.random() < 0.8)
+        rows.append((i, 200, 1000, 150 if cause == 0 else 0, 12 if cause == 1 else 0, 0, 20, draw.randint(120, 160), 0, 300 if cause in (2, 3, 4) else draw.randint(5, 20), 1200))
+        labels.append((i, 0 if bad else 1))
+    counted = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    rules = quality.learn_rules(counted, known)
+    opened = {r[0].feature for r in rules}
+    assert opened == {"symbols_per_word", "dup_lines"}
+    judged = {r.doc_id: r.rule for r in quality.judge(counted, rules).collect()}
+    assert all((judged[i] > 0) == (i % 15 in (0, 1)) for i in range(1500))
+    assert [str(r) for r in map(lambda r: r[0], rules)] == [str(r[0]) for r in quality.learn_rules(counted, known)]
+
+
 def test_decision_list_without_labels(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for r in quality.judge_documents(odd, empty).collect():
@@ -139,6 +171,27 @@ def test_language_id(spark, odd, none):
     assert all(r.lang_pred == "und" for r in langid.identify(odd.select("doc_id", "text"), {}).collect())
 
 
+def test_grams_by_hand(monkeypatch):
+    """Whatever the size of a block, a gram counts once."""
+    texts = ["a", "ab", "  ab, ab ", "Größe und Maß 12 日本語 テキスト x", "word " * 40, "\u0130stanbul \u03a3\u03a3", "1 2 3", "", "don't stop"]
+    for block in (1, 2, 3, 5, 1 << 20):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for text in texts:
+            u, c = langid.counted(text)
+            assert dict(zip(u.tolist(), c.tolist())) == brute.grams(text), (block, text)
+            assert langid.ranked(text, 7).tolist() == brute.ranks(text, 7)
+
+
+def test_languages_by_hand(odd, docs):
+    """Profiles, distances and ties beside plain Python."""
+    for table in (docs, odd):
+        rows = table.select("doc_id", "text", "lang").collect()
+        profiles = langid.learn_profiles(table)
+        assert profiles == brute.profiles([(r.lang, r.text) for r in rows], langid.PROFILE)
+        got = sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in langid.identify(table.select("doc_id", "text"), profiles).collect())
+        assert got == sorted((str(r.doc_id), *brute.language(r.text, profiles, langid.PROFILE)) for r in rows)
+
+
 def test_grams_do_not_depend_on_width():
     u, c = langid.counted("ab, ab")
     wide = langid.counted("ab, ab 日")

@@ -2,8 +2,8 @@
 
 A profile is the ranked list of the most frequent 1- to 3-grams of a language; a document is given the language whose profile
 has the least out-of-place distance to the ranks of its own most frequent n-grams. An n-gram is one number of three
-code points, so grams are counted by sorting numbers. Profiles come from all learning documents: tasks count
-in bounded blocks, Spark sums, and only `PROFILE` grams for each language reach the driver.
+code points, so grams are counted by sorting numbers, for long texts in bounded blocks that share no gram. Profiles
+come from all learning documents: tasks count, Spark sums, and only `PROFILE` grams for each language reach the driver.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
-def _block_grams(low: str) -> np.ndarray:
-    """All n-grams of a block as numbers of three places; texts of low code points use 32-bit numbers, which sort faster."""
-    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _places(text: str) -> np.ndarray:
+    """The lower-cased text's code points, every run of other characters than letters being one 0, with a 0 at both ends."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(_is_letter()[points], points, 0)
     edge = points == 0
     keep = np.ones(len(points), bool)
@@ -43,15 +43,21 @@ def _block_grams(low: str) -> np.ndarray:
         p = p[1:]
     if len(p) > 2 and p[-2] == 0:
         p = p[:-1]
-    if len(p) < 3:
-        return np.zeros(0, np.int64)
-    narrow = int(p.max()) < NARROW
-    bits, kind = (10, np.int32) if narrow else (21, np.int64)
-    p = p.astype(kind)
-    one = p[1:-1][p[1:-1] > 0]
-    two = (p[:-1] << bits) | p[1:]
-    three = ((p[:-2] << (2 * bits)) | (p[1:-1] << bits) | p[2:])[p[1:-1] > 0]
-    return np.concatenate([one, two, three])
+    return p
+
+
+def _block_grams(p: np.ndarray, at: int, to: int, bits: int) -> np.ndarray:
+    """The n-grams of the places `at` to `to`: single letters there, pairs that begin and triples whose middle stands there.
+
+    So a gram belongs to one block only, wherever blocks end. Places of few bits make 32-bit numbers, which sort faster.
+    """
+    q = p[max(at - 1, 0):to + 1]
+    lead = at - max(at - 1, 0)
+    own = q[lead:lead + to - at]
+    two = (own[:len(q) - lead - 1] << bits) | q[lead + 1:]
+    middle = own[1 - lead:len(q) - lead - 1]                         # neither the first nor the last place of the text
+    three = (q[:len(middle)] << (2 * bits)) | (middle << bits) | q[2:2 + len(middle)]
+    return np.concatenate([middle[middle > 0], two, three[middle > 0]])
 
 
 def _wide(codes: np.ndarray, narrow: bool) -> np.ndarray:
@@ -62,11 +68,15 @@ def _wide(codes: np.ndarray, narrow: bool) -> np.ndarray:
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams (1 to 3 letters, a word's edge counting as one at either end) and their counts."""
+    p = _places(text)
+    if len(p) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    narrow = int(p.max()) < NARROW
+    p = p.astype(np.int32 if narrow else np.int64)
     parts = []
-    for at in range(0, max(len(text), 1), BLOCK):
-        g = _block_grams(text[max(0, at - 2):at + BLOCK].lower())
-        u, c = np.unique(g, return_counts=True)
-        parts.append((_wide(u, g.dtype == np.int32), c))
+    for at in range(0, len(p), BLOCK):
+        u, c = np.unique(_block_grams(p, at, min(at + BLOCK, len(p)), 10 if narrow else 21), return_counts=True)
+        parts.append((_wide(u, narrow), c))
     if len(parts) == 1:
         return parts[0]
     u, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -161,7 +171,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:
-    """Every document's predicted language; learned from those whose crc32 of the id, modulo 3, is not 1."""
+    """Every document's predicted language; learned from those whose crc32 of the id, modulo 3, is not 1.
+
+    A row for each row: repeated rows are learned from and predicted each. Null ids are held in neither part's remainder, so
+    held_out is null and they are not learned from; texts or languages that are null are not learned from either. Frequencies
+    that tie are ranked by the gram's number, distances that tie go to the smaller name. Other columns are
+    not read. An empty table gives no rows.
+    """
     held = crc_remainder("doc_id", 3) == 1
     profiles = learn_profiles(docs.where(~held))
     return identify(docs.select("doc_id", held.alias("held_out"), "text"), profiles)

@@ -1,8 +1,9 @@
 """Quality rules: whole-text statistics and a learned decision list, in built-in functions only.
 
-Sequential covering: a rule grows by the threshold condition of the best information gain on the growing part of
-the labelled rows, is pruned from its end on the other part, and is kept if it is precise there; the rows it covers
-leave, and the next rule is grown. Rules become one ordered conditional expression. The driver sees only counts by
+Sequential covering: a rule grows by the threshold condition of the best information gain on
+one half of the labelled rows, is pruned from its end on the other half, and is kept if it is precise there; the rows it covers
+leave, and the next rule is grown. A rule that is not precise is set aside with the feature and side it began with, and
+growing goes on. Rules become one ordered conditional expression. The driver sees only counts by
 (feature, bin, label).
 """
 
@@ -21,9 +22,9 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-BINS = 16
+BINS = 64
 MAX_RULES, MAX_CONDITIONS = 8, 3
-MIN_PRECISION, MIN_SUPPORT = 0.95, 3
+MIN_PRECISION, MIN_SUPPORT = 0.95, 8         # on held-out rows
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_lines", "n_distinct_words", "n_digits", "n_upper", "n_chars_all")
 
@@ -113,7 +114,8 @@ def _bin(x: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.lit(cuts), lambda c: c <= x))
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], place: dict[str, int]) -> list[Condition]:
+def _grow(rows: DataFrame, cuts: dict[str, list[float]], place: dict[str, int], refused: set[tuple[str, bool]]) -> list[Condition]:
+    """A conjunction that begins with none of the refused (feature, side)."""
     rule: list[Condition] = []
     while len(rule) < MAX_CONDITIONS:
         by = _counts(rows.where(_all([c.over_bins(place) for c in rule])))
@@ -122,9 +124,12 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], place: dict[str, int])
             break
         best, gain = None, 1e-9
         for f, values in cuts.items():
+            low = [0, 0]
             for k, value in enumerate(values):
-                low = [sum(v[i] for (g, b), v in by.items() if g == place[f] and b <= k) for i in (0, 1)]
+                low = [x + y for x, y in zip(low, by.get((place[f], k), (0, 0)))]           # bad and good rows below the value
                 for above, (p, n) in ((False, low), (True, (p0 - low[0], n0 - low[1]))):
+                    if not rule and (f, above) in refused:
+                        continue
                     got = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
                     if got > gain:
                         best, gain = Condition(f, above, k, value), got
@@ -147,32 +152,37 @@ def learn_rules(counted: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     own = features()
     place = {f: i for i, f in enumerate(own)}
     seen = (counted.where(~base_failed()).join(labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("__tw_q")), "doc_id")
-            .select((1 - F.col("__tw_q")).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), *[c.alias(f) for f, c in own.items()]))
+            .select((1 - F.col("__tw_q")).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("held"), *[c.alias(f) for f, c in own.items()]))
     seen = cut_lineage(seen)
-    probs = [i / BINS for i in range(1, BINS)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
-    row = seen.agg(*[F.percentile_approx(f, probs, 10000).alias(f) for f in own]).first()
-    if row is None or any(row[f] is None for f in own):
+    probs = [i / BINS for i in range(BINS + 1)] + [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]
+    # cuts from the rows of each label: where most rows share one value, all quantiles of the whole may pass over what the rest hold
+    by_label = seen.groupBy("bad").agg(*[F.percentile_approx(f, probs, 10000).alias(f) for f in own]).collect()                 # two rows
+    if len(by_label) < 2 or any(row[f] is None for row in by_label for f in own):
         return []
-    cuts = {f: sorted(set(row[f])) for f in own}
+    cuts = {f: sorted({x for row in by_label for x in row[f]}) for f in own}
     # bin k holds the values from cut k-1 up to, not including, cut k
     bins = [_bin(F.col(f), cuts[f]) for f in own]
     rows = cut_lineage(seen.select("bad", "held", F.array(*bins).alias("bins")))
     rules: list[list[Condition]] = []
-    # bounded: MAX_RULES rules of MAX_CONDITIONS conditions, one small job each
+    refused: set[tuple[str, bool]] = set()
+    # bounded: MAX_RULES rules and a refusal for each feature and side, small jobs over the labelled rows
     while len(rules) < MAX_RULES:
         left = rows.where(~_any([_all([c.over_bins(place) for c in r]) for r in rules]))
-        rule = _grow(left.where(~F.col("held")), cuts, place)
+        held = left.where("held")
+        if _precision(held, [], place)[0] < MIN_SUPPORT:
+            break                                                     # no rule could prove itself on what is left
+        rule = _grow(left.where(~F.col("held")), cuts, place, refused)
         if not rule:
             break
-        held = left.where("held")
         scored = []
         for size in range(len(rule), 0, -1):
             p, n = _precision(held, rule[:size], place)
             scored.append(((p - n) / (p + n) if p + n else -1.0, -size, p, n))
         value, size, p, n = max(scored)
         if p < MIN_SUPPORT or p < MIN_PRECISION * (p + n):
-            break
-        rules.append(rule[:-size])
+            refused.add((rule[0].feature, rule[0].above))
+        else:
+            rules.append(rule[:-size])
     return rules
 
 
