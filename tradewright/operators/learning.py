@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 
 from tradewright.functions import metrics as X
 from tradewright.functions import rules as R
+from tradewright.functions.bootstrap import unit_code
 from tradewright.functions.scale import distinct_values, exact_quantiles, scalar
 from tradewright.session import cut_lineage
 
 SEED = 42
+FITS_AT_ONCE = 4
 
 
 # ---------------------------------------------------------------- estimators
@@ -67,7 +71,7 @@ def split_summary(df: DataFrame, day: str, q: float, horizon_days: int) -> DataF
 
 
 def group_fold(entity: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(entity), F.lit(k)).cast("int")
+    return (unit_code(entity) % k).cast("int")
 
 
 def fold_sizes(df: DataFrame, entity: str, k: int) -> DataFrame:
@@ -109,19 +113,99 @@ def select_classifier(panel: DataFrame, features: Sequence[str], day: str, horiz
                                               "candidate string, params string, auc_train double, auc_valid double, eligible boolean, chosen boolean, auc_out_of_period double")
 
 
-def walk_forward(panel: DataFrame, features: Sequence[str], day: str, horizon_days: int, cuts: Sequence[float] = (0.4, 0.6, 0.8)) -> DataFrame:
-    """Several cuts; every prediction comes from the past of its own cut, and predictions are pooled."""
-    panel, pooled = cut_lineage(panel), None
-    for i, q in enumerate(cuts):
-        cut, nxt = scalar(date_quantile(panel, day, q)), scalar(date_quantile(panel, day, cuts[i + 1] if i + 1 < len(cuts) else 1.0))
-        m = classifier("logistic", features).fit(panel.filter(F.date_add(day, horizon_days) <= cut))
-        p = predict(m, panel.filter((F.col(day) > cut) & (F.col(day) <= nxt))).select(F.lit(str(i + 1)).alias("fold"), "y", "p")
-        pooled = p if pooled is None else pooled.unionByName(p)
-    pooled = cut_lineage(pooled)
-    both = pooled.unionByName(pooled.withColumn("fold", F.lit("pooled")))
-    t = both.groupBy("fold", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    size = both.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("positives"))
-    return size.join(X.grouped_auc(t, "fold"), "fold")
+def fit_all(panel: DataFrame, sets: Sequence[tuple[str, Column, Column, Sequence[str]]], kind: str = "logistic") -> DataFrame:
+    """(name, y, p) of all test rows of each (name, train condition, test condition, features), from one model each.
+
+    The fits run a few at a time over the same stored panel, and all predictions are scored together afterwards.
+    """
+    def one(job):
+        name, train, test, features = job
+        return predict(classifier(kind, features).fit(panel.filter(train)), panel.filter(test)).select(F.lit(name).alias("name"), "y", "p")
+    return cut_lineage(reduce(DataFrame.unionByName, _each(one, sets)))
+
+
+def _each(work: Callable, jobs: Sequence) -> list:
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(work, jobs))
+
+
+def auc_by_name(scored: DataFrame) -> DataFrame:
+    """(name, rows, positives, auc); names without both classes have no auc."""
+    t = scored.groupBy("name", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    size = scored.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("positives"))
+    return size.join(X.grouped_auc(t, "name"), "name", "left")
+
+
+def origins(panel: DataFrame, day: str, count: int = 4, share: float = 0.15, min_train: int = 400, min_test: int = 120) -> list[tuple]:
+    """(cut, end of the test) of each origin; test parts hold `share` of the rows, the first follows what they leave.
+
+    Dates are read off the running number of rows by date, so only one row for each date reaches the driver.
+    """
+    by_day = sorted(tuple(r) for r in panel.groupBy(day).agg(F.count(F.lit(1)).alias("n")).collect())          # one row for each date
+    n = sum(x for _, x in by_day)
+    if n < min_train + min_test:
+        return []
+
+    def date_at(i: int):
+        for d, x in by_day:
+            i -= x
+            if i < 0:
+                return d
+        return by_day[-1][0]
+    step = max(int(n * share), 1)
+    first = max(min_train, int(n * (1 - count * share)))
+    if first >= n - min_test:
+        first = max(min_train, n - int(n * share) - min_test)
+    at = [i for i in range(first, n, step) if i + min_test <= n][:count]
+    return [(date_at(i), date_at(i + step - 1) if i + step < n else by_day[-1][0]) for i in at]
+
+
+def walk_forward(panel: DataFrame, features: Sequence[str], day: str, horizon_days: int, count: int = 4, min_train: int = 400, min_test: int = 120, least: int = 40) -> DataFrame:
+    """Several origins; every prediction comes from the past of its own cut, and predictions are pooled.
+
+    An origin whose training part is under `min_train` rows, or whose test part is under `least` rows or of one class, is reported and not kept.
+    """
+    panel = cut_lineage(panel)
+    spark, known = panel.sparkSession, []
+    for i, (cut, end) in enumerate(origins(panel, day, count, min_train=min_train, min_test=min_test), 1):
+        known.append((str(i), cut, F.date_add(day, horizon_days) <= F.lit(cut), (F.col(day) > F.lit(cut)) & (F.col(day) <= F.lit(end))))
+    schema = "fold string, cut date, train_rows long, rows long, positives long, kept boolean"
+    if not known:
+        return spark.createDataFrame([], schema + ", auc double")
+    one = panel.agg(*[x for i, (_, _, a, b) in enumerate(known) for x in (R.count_where(a).alias(f"a{i}"), R.count_where(b).alias(f"b{i}"), F.coalesce(F.sum(F.when(b, F.col("y"))), F.lit(0)).alias(f"p{i}"))]).first()
+    rows = [(name, cut, one[f"a{i}"], one[f"b{i}"], int(one[f"p{i}"]), one[f"a{i}"] >= min_train and one[f"b{i}"] >= least and 0 < one[f"p{i}"] < one[f"b{i}"]) for i, (name, cut, _, _) in enumerate(known)]
+    sets = [(name, a, b, features) for (name, _, a, b), r in zip(known, rows, strict=True) if r[5]]
+    table = spark.createDataFrame(rows, schema)
+    if not sets:
+        return table.withColumn("auc", F.lit(None).cast("double"))
+    pooled = fit_all(panel, sets)
+    scores = auc_by_name(pooled.unionByName(pooled.withColumn("name", F.lit("pooled"))))
+    total = scores.filter("name = 'pooled'").select(F.col("name").alias("fold"), F.lit(None).cast("date").alias("cut"), F.lit(None).cast("long").alias("train_rows"), "rows", "positives", F.lit(True).alias("kept"), "auc")
+    return table.join(scores.select(F.col("name").alias("fold"), "auc"), "fold", "left").unionByName(total)
+
+
+def group_k_fold(panel: DataFrame, features: Sequence[str], entity: str, k: int = 5) -> DataFrame:
+    """AUC of each fold of entities under a model of the other folds, and their mean; a fold of one class has none."""
+    p = cut_lineage(panel.withColumn("_fold", group_fold(F.col(entity), k)))
+    s = auc_by_name(fit_all(p, [(str(i), F.col("_fold") != i, F.col("_fold") == i, features) for i in range(k)]))
+    mean = s.agg(F.lit("mean").alias("name"), F.sum("rows").alias("rows"), F.sum("positives").alias("positives"), F.round(F.avg("auc"), 6).alias("auc"))
+    return s.unionByName(mean).withColumnRenamed("name", "fold")
+
+
+def weighted_blocks(panel: DataFrame, features: Sequence[str], day: str, horizon_days: int, blocks: int = 4) -> DataFrame:
+    """Each block of dates is tested under a model of what was known before its first day; the average weighs later blocks double."""
+    b = time_blocks(panel, day, blocks)
+    p = cut_lineage(panel.join(F.broadcast(b.select(day, "block")), day))                                       # one row for each date
+    first = {r.block: r.first for r in b.groupBy("block").agg(F.min(day).alias("first")).collect()}             # few blocks
+    known = {i: F.date_add(day, horizon_days) <= F.lit(first[i]) for i in first if i > 0}
+    both = p.agg(*[F.count_distinct(F.when(x, F.col("y"))).alias(str(i)) for i, x in known.items()]).first() if known else {}
+    sets = [(str(i), x, F.col("block") == i, features) for i, x in known.items() if both[str(i)] == 2]
+    if not sets:
+        return panel.sparkSession.createDataFrame([], "block string, rows long, positives long, auc double, weight double")
+    s = auc_by_name(fit_all(p, sets)).withColumn("weight", F.pow(F.lit(2.0), F.col("name").cast("int") - 1))
+    w = F.when(F.col("auc").isNotNull(), F.col("weight"))
+    total = s.agg(F.lit("weighted").alias("name"), F.sum("rows").alias("rows"), F.sum("positives").alias("positives"), F.round(F.sum(F.col("auc") * w) / F.sum(w), 6).alias("auc"), F.sum(w).alias("weight"))
+    return s.unionByName(total).withColumnRenamed("name", "block")
 
 
 def isotonic_check(scores: DataFrame, k: int = 3) -> DataFrame:
@@ -135,31 +219,51 @@ def isotonic_check(scores: DataFrame, k: int = 3) -> DataFrame:
     return parts.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier_raw"), F.avg((F.col("q") - F.col("y")) ** 2).alias("brier_calibrated"))
 
 
+def permuted(rows: DataFrame, features: Sequence[str], key: Sequence[str], repeats: int) -> DataFrame:
+    """(feature, repeat, y, features): the rows once for each feature and repeat, with that feature's values re-dealt among them.
+
+    In a repeat every row has one donor: the row at its place in an order by hash. One sort orders all repeats, and the copies are made
+    after the join, so a row is shuffled once for each repeat and not for each feature.
+    """
+    u = lambda *x: F.pmod(F.xxhash64(*key, *x), F.lit(1 << 40)) / float(1 << 40)
+    own = cut_lineage(rows.select(*key, "y", *features).withColumn("_at", u()))
+    base = X.ordered_position(own, ["_at", *key]).select("position", "n_rows", "y", F.struct(*features).alias("own"))
+    dealt = own.select(*key, F.struct(*features).alias("donor"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).withColumn("_at", F.col("repeat") + u(F.col("repeat")))
+    donors = X.ordered_position(dealt, ["_at", *key]).select("repeat", (F.col("position") - F.col("repeat") * F.floor(F.col("n_rows") / repeats)).alias("position"), "donor")
+    met = base.join(donors, "position")
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col("donor" if g == f else "own")[g].alias(g) for g in features]) for f in features])
+    return met.select("repeat", "y", F.explode(each).alias("x")).select("repeat", "y", "x.*")
+
+
 def permutation_importance(panel: DataFrame, features: Sequence[str], day: str, horizon_days: int, repeats: int = 5) -> DataFrame:
-    """AUC lost when one column of the test rows is shuffled: values are re-dealt by position in a hashed order."""
+    """AUC lost after the cut when one feature is shuffled among the test rows: mean and spread over the repeats.
+
+    All features and repeats are scored by one model in one stacked table.
+    """
     panel = cut_lineage(panel)
     train, test = time_split(panel, day, 0.75, horizon_days)
     m = classifier("logistic", features).fit(train)
-    base = cut_lineage(test.withColumn("id", F.xxhash64("customer", day).cast("double")))
-    ref, rows = _auc(predict(m, base)), []
-    at = cut_lineage(X.ordered_position(base, ["id", "customer"]))
-    for f in features:
-        drop = 0.0
-        for r in range(repeats):
-            moved = X.ordered_position(base.select(F.col(f).alias("moved"), "customer", F.xxhash64("customer", day, F.lit(r)).cast("double").alias("h")), ["h", "customer"])
-            drop += ref - _auc(predict(m, at.drop(f).join(moved.select("position", F.col("moved").alias(f)), "position")))
-        rows.append((f, drop / repeats))
-    return panel.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
-
-
-def leak_audit(panel: DataFrame, features: Sequence[str], entity: str, k: int = 3) -> DataFrame:
-    """The same model judged by entity folds and by row folds: a gap means entities are memorised. Ablation drops one feature."""
+    ref = _auc(predict(m, test))
+    scored = predict(m, permuted(test, features, ["customer", day], repeats)).select(F.concat_ws("|", "feature", "repeat").alias("name"), "y", "p")
+    drop = F.lit(ref) - F.col("auc")
+    return auc_by_name(scored).groupBy(F.element_at(F.split("name", r"\|"), 1).alias("feature")).agg(
+        F.count(F.lit(1)).alias("repeats"), F.round(F.avg(drop), 6).alias("auc_drop"), F.round(F.stddev_pop(drop), 6).alias("spread"))
+
+
+def leak_audit(panel: DataFrame, features: Sequence[str], entity: str, k: int = 5, without: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """The same model by entity folds and by row folds, all k of each: a gap means entities are memorised. Ablations drop features.
+
+    `auc` is of all out-of-fold predictions together, `mean_auc` the mean of the folds'.
+    """
     p = cut_lineage(panel.withColumns({"by_entity": group_fold(F.col(entity), k), "by_row": group_fold(F.concat_ws("|", *[F.col(x).cast("string") for x in panel.columns]), k)}))
-    rows = []
-    for name, fold, feats in (("entity_split", "by_entity", features), ("row_split", "by_row", features), (f"without_{features[0]}", "by_entity", features[1:])):
-        m = classifier("logistic", feats).fit(p.filter(F.col(fold) != 0))
-        rows.append((name, len(feats), _auc(predict(m, p.filter(F.col(fold) == 0)))))
-    return p.sparkSession.createDataFrame(rows, "variant string, features int, auc double")
+    variants = [("entity_split", "by_entity", list(features)), ("row_split", "by_row", list(features))]
+    variants += [("without_" + "_".join(gone), "by_entity", [f for f in features if f not in gone]) for gone in ([[f] for f in features[:1]] if without is None else without)]
+    pooled = fit_all(p, [(f"{name}|{i}", F.col(fold) != i, F.col(fold) == i, feats) for name, fold, feats in variants for i in range(k)])
+    variant = F.element_at(F.split("name", r"\|"), 1)
+    folds = auc_by_name(pooled).groupBy(variant.alias("variant")).agg(F.count("auc").alias("folds"), F.round(F.avg("auc"), 6).alias("mean_auc"))
+    whole = auc_by_name(pooled.withColumn("name", variant)).select(F.col("name").alias("variant"), "rows", "auc")
+    size = p.sparkSession.createDataFrame([(name, len(feats)) for name, _, feats in variants], "variant string, features int")
+    return size.join(folds, "variant").join(whole, "variant")
 
 
 def cold_start(credit: DataFrame, cut: str) -> DataFrame:
@@ -249,19 +353,27 @@ def rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return s.join(ra, "k").join(rb, "k").select(F.coalesce(F.try_divide(F.col("s") - e, (F.col("sa") + F.col("sb")) / 2.0 - e), F.lit(1.0)).alias("ari"))
 
 
-def segment_quality(profiles: DataFrame, features: Sequence[str], ks: Sequence[int] = (3, 4, 5, 6), resamples: int = 2) -> DataFrame:
-    """Silhouette and resample stability (median adjusted Rand index) per number of segments."""
-    p, rows = cut_lineage(profiles), []
-    for k in ks:
+def segment_quality(profiles: DataFrame, features: Sequence[str], ks: Sequence[int] = (3, 4, 5, 6), resamples: int = 8) -> DataFrame:
+    """Silhouette and resample stability (median adjusted Rand index) per number of segments; resamples are fitted a few at a time."""
+    p = cut_lineage(profiles)
+
+    def whole(k):
         lab = cut_lineage(_kmeans(features, k).fit(p).transform(p).select("customer", F.col("segment").alias("s0"), "x"))
-        sil = ClusteringEvaluator(featuresCol="x", predictionCol="s0").evaluate(lab)
-        aris = []
-        for r in range(resamples):
-            part = p.filter(F.pmod(F.xxhash64("customer", F.lit(r)), F.lit(5)) != 0)          # four fifths, by hash
-            again = _kmeans(features, k).fit(part).transform(part).select("customer", F.col("segment").alias("s1"))
-            aris.append(rand_index(lab.select("customer", "s0").join(again, "customer"), "s0", "s1").first()["ari"])
-        rows.append((k, float(sil), sorted(aris)[len(aris) // 2]))
-    return p.sparkSession.createDataFrame(rows, "k int, silhouette double, stability double")
+        return lab, ClusteringEvaluator(featuresCol="x", predictionCol="s0").evaluate(lab)
+
+    def again(job):
+        k, r = job
+        part = p.filter(F.pmod(F.xxhash64("customer", F.lit(r)), F.lit(5)) != 0)          # four fifths, by hash
+        other = _kmeans(features, k).fit(part).transform(part).select("customer", F.col("segment").alias("s1"))
+        return rand_index(labels[k][0].select("customer", "s0").join(other, "customer"), "s0", "s1").first()["ari"]
+    labels = dict(zip(ks, _each(whole, ks), strict=True))
+    jobs = [(k, r) for k in ks for r in range(resamples)]
+    aris = dict(zip(jobs, _each(again, jobs), strict=True))
+
+    def median(v):
+        v = sorted(v)
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    return p.sparkSession.createDataFrame([(k, float(labels[k][1]), float(median([aris[k, r] for r in range(resamples)]))) for k in ks], "k int, silhouette double, stability double")
 
 
 def segment_churn(profiles: DataFrame, churn: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:

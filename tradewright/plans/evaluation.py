@@ -169,7 +169,10 @@ q("l17_degradation_alert", lambda t: L.degradation(t.sales.groupBy("year").agg(F
 # ------------------------------------------------------------ learning (no SQL equivalent)
 q("l1_l3_l4_churn_model_selection", lambda t: L.select_classifier(pp.churn(t), P.CHURN_FEATURES, "obs_date", 90))
 q("l5_walk_forward", lambda t: L.walk_forward(pp.churn(t), P.CHURN_FEATURES, "obs_date", 90))
-q("l6_group_folds", lambda t: L.fold_sizes(pp.churn(t), "customer", 5))
+q("l6_group_folds", lambda t: L.fold_sizes(pp.churn(t), "customer", 5), """
+  SELECT CAST(CAST(concat('0x', substr(md5(CAST(customer AS VARCHAR)), 1, 8)) AS BIGINT) % 2147483647 % 5 AS INTEGER) AS fold, count(DISTINCT customer) AS entities, count(*) AS "rows", sum(y)::BIGINT AS positives FROM churn GROUP BY 1""")
+q("l6_group_fold_auc", lambda t: L.group_k_fold(pp.churn(t), P.CHURN_FEATURES, "customer"))
+q("l7_weighted_blocks", lambda t: L.weighted_blocks(pp.churn(t), P.CHURN_FEATURES, "obs_date", 90))
 q("l8_isotonic_calibration", lambda t: L.isotonic_check(scored(t)))
 q("l9_segments", lambda t: L.segment_quality(P.customer_profiles(t.sales, t.customers, star.mart_demand_customer_product(t.sales_lines)), P.PROFILE_FEATURES))
 q("l11_segment_churn", lambda t: L.segment_churn(P.customer_profiles(t.sales, t.customers, star.mart_demand_customer_product(t.sales_lines)), pp.churn(t), P.PROFILE_FEATURES))
@@ -181,7 +184,7 @@ q("l15_b27_open_quote_protocol", lambda t: L.open_quote_protocol(t.quotes, pp.qu
     WHERE datediff('day', date, md) <= 120)
   SELECT CASE WHEN ht >= 20000 AND p >= 0.25 THEN 'call' WHEN ht >= 20000 THEN 'tender_follow_up' WHEN p >= 0.25 THEN 'batch_reminder' ELSE 'leave' END AS protocol, count(*) AS quotes, round(sum(ht), 2) AS amount,
     round(sum(ht * p), 2) AS expectation, median(age) AS median_age FROM x GROUP BY 1""")
-q("l18_permutation_importance", lambda t: L.permutation_importance(pp.churn(t), ["recency_days", "freq_12m", "rev_12m"], "obs_date", 90, repeats=2))
+q("l18_permutation_importance", lambda t: L.permutation_importance(pp.churn(t), P.CHURN_FEATURES, "obs_date", 90))
 q("l19_leak_audit", lambda t: L.leak_audit(pp.churn(t), P.CHURN_FEATURES, "customer"))
 q("l20_cold_start", lambda t: L.cold_start(P.credit_panel(t.sales), "1996-01-01"))
 q("l16_residual_learning", lambda t: L.residual_learning(P.demand_features(t.sales_lines, t.customers), P.DEMAND_FEATURES, "month"))
