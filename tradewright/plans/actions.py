@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradewright.operators import actions as A
 from tradewright.operators import kpi
+from tradewright.operators import panels as P
 from tradewright.operators import procurement as pro
 from tradewright.operators import receivables as rec
+from tradewright.operators import serving as S
 from tradewright.operators import star, stock
+from tradewright.plans import panels as pp
 from tradewright.plans.registry import register
 from tradewright.plans.supply import V as SUPPLY
 from tradewright.plans.supply import with_opening
+from tradewright.session import shared_folder
 
 c = F.col
 V = {
@@ -130,3 +136,46 @@ q("a11_customer_score_table", lambda t: star.mart_margin_customer_month(t.sales_
     "customer", "last_month", F.round("m", 4).alias("last_margin")), """
   WITH m AS (SELECT customer, strftime(date, '%Y-%m') AS month, sum(amount) - sum(cost) AS m FROM lines WHERE amount <> 0 AND abs(cost) <= 5 * abs(amount) GROUP BY 1, 2)
   SELECT customer, max(month) AS last_month, round(arg_max(m, month), 4) AS last_margin FROM m GROUP BY 1""")
+
+
+# ------------------------------------------------------------ served models (no SQL equivalent: learned)
+def churn_model(t):
+    now = P.churn_panel(P.customer_days(t.sales), pp.START, for_scoring=True)
+    return S.train_classifier("churn", pp.churn(t), now, P.CHURN_FEATURES, {"recency_days": 1, "recency_gap_ratio": 1, "freq_12m": -1, "revenue_trend": -1}, "obs_date", 90, "customer", c("rev_12m"))
+
+
+def margin_model(t):
+    months, delays = P.customer_months(t.sales_lines), P.monthly_delays(t.sales)
+    panel = P.margin_panel(months, delays)
+    low = panel.agg(F.percentile("future_margin_pct", F.lit(0.2))).scalar()
+    now = S.latest(P.margin_panel(months, delays, for_scoring=True), "customer", "month")
+    return S.train_classifier("margin", panel.withColumn("y", (c("future_margin_pct") < low).cast("int")), now, P.MARGIN_FEATURES, {"margin_3m_pct": -1, "margin_12m_pct": -1}, "month", 92, "customer",
+                              F.expm1("log_rev_12m") * c("margin_12m_pct") / 100.0)
+
+
+def quote_model(t):
+    every = P.quote_panel(t.quotes, t.sales, t.sales_lines, for_scoring=True)
+    still_open = every.filter((c("date") > F.add_months(t.quotes.agg(F.max("date")).scalar(), -6)) & (c("y") == 0))
+    return S.train_classifier("quotes", pp.quote_panel(t), still_open, P.QUOTE_FEATURES, {"past_conversion": 1, "log_ht": -1}, "date", 183, "quote_no", c("ht"))
+
+
+def revenue_model(t):
+    months, delays = P.customer_months(t.sales_lines), P.monthly_delays(t.sales)
+    now = S.latest(P.revenue_panel(months, delays, 12, for_scoring=True), "customer", "month")
+    return S.train_revenue("revenue", P.revenue_panel(months, delays, 12), now, P.REVENUE_FEATURES, "month", 366, "future_revenue", "rev_12m")
+
+
+def published(t, *models):
+    """The folder of a registry that holds one version of the models."""
+    folder = f"{shared_folder(t.spark)}/registry-{uuid.uuid4().hex[:12]}"
+    S.publish(t.spark, folder, "1", [m(t) for m in models])
+    return folder
+
+
+def served_tables(t):
+    folder = published(t, churn_model, margin_model, quote_model, revenue_model)
+    return {m: S.served(t.spark, folder, m) for m in ("churn", "margin", "quotes", "revenue")}
+
+
+q("l17_served_registry", lambda t: S.state(t.spark, published(t, churn_model, margin_model, quote_model, revenue_model)).drop("published_at"))
+q("n19_model_findings", lambda t: A.ordered_findings(A.all_findings([*S.model_findings(served_tables(t), t.customers, A.stake_severity(kpi.annual_revenue(t.sales).scalar())), findings(t)])))
