@@ -114,11 +114,11 @@ def _bin(x: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.lit(cuts), lambda c: c <= x))
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], place: dict[str, int], refused: set[tuple[str, bool]]) -> list[Condition]:
-    """A conjunction that begins with none of the refused (feature, side)."""
+def _grow(rows: DataFrame, first: dict[tuple[int, int], list[int]], cuts: dict[str, list[float]], place: dict[str, int], refused: set[tuple[str, bool]]) -> list[Condition]:
+    """A conjunction that begins with none of the refused (feature, side); `first` holds the counts of all rows."""
     rule: list[Condition] = []
     while len(rule) < MAX_CONDITIONS:
-        by = _counts(rows.where(_all([c.over_bins(place) for c in rule])))
+        by = _counts(rows.where(_all([c.over_bins(place) for c in rule]))) if rule else first
         p0, n0 = (sum(v[i] for (f, _), v in by.items() if f == 0) for i in (0, 1))
         if not p0 or not n0:
             break
@@ -163,15 +163,18 @@ def learn_rules(counted: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     # bin k holds the values from cut k-1 up to, not including, cut k
     bins = [_bin(F.col(f), cuts[f]) for f in own]
     rows = cut_lineage(seen.select("bad", "held", F.array(*bins).alias("bins")))
+    uncovered = lambda known: rows.where(~_any([_all([c.over_bins(place) for c in r]) for r in known]))
     rules: list[list[Condition]] = []
     refused: set[tuple[str, bool]] = set()
+    # counted over all rows once: a refusal leaves them as they are, a rule takes away what it covers
+    first = _counts(rows.where(~F.col("held")))
     # bounded: MAX_RULES rules and a refusal for each feature and side, small jobs over the labelled rows
     while len(rules) < MAX_RULES:
-        left = rows.where(~_any([_all([c.over_bins(place) for c in r]) for r in rules]))
+        left = uncovered(rules)
         held = left.where("held")
         if _precision(held, [], place)[0] < MIN_SUPPORT:
             break                                                     # no rule could prove itself on what is left
-        rule = _grow(left.where(~F.col("held")), cuts, place, refused)
+        rule = _grow(left.where(~F.col("held")), first, cuts, place, refused)
         if not rule:
             break
         scored = []
@@ -182,7 +185,10 @@ def learn_rules(counted: DataFrame, labels: DataFrame) -> list[list[Condition]]:
         if p < MIN_SUPPORT or p < MIN_PRECISION * (p + n):
             refused.add((rule[0].feature, rule[0].above))
         else:
-            rules.append(rule[:-size])
+            rule = rule[:-size]
+            gone = _counts(left.where(~F.col("held") & _all([c.over_bins(place) for c in rule])))
+            first = {k: [n - g for n, g in zip(v, gone.get(k, (0, 0)))] for k, v in first.items()}
+            rules.append(rule)
     return rules
 
 
