@@ -16,30 +16,46 @@ from tradewright.llm.common import table  # noqa: E402
 from tradewright.session import shared_folder  # noqa: E402
 
 
+#: percent of common shingles from which documents are copies; the contract of op5 asks for 85, stages on word shingles for 80
+NEAR = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the rules learned from `labels` reject go."""
+    """Documents that the base rules or the rules learned from `labels` reject go; a null, empty or wordless text is rejected.
+
+    Rows that repeat a doc_id are judged each by its text. Long texts are counted whole.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a smaller doc_id holds go; the text and n_chars are those of what stays."""
+    """Lines that a smaller doc_id holds go; the text and n_chars are those of what stays.
+
+    Null and empty texts become empty ones; rows with a null doc_id keep all their lines, and rows that repeat a doc_id the same ones.
+    """
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    return near_dedup.keep_one(docs)
+    """Of each group of near copies, of similarity 0.8 or more, the smallest doc_id stays.
+
+    A document without words has no copy. Rows with a null doc_id all stay; of rows that repeat a doc_id one stays.
+    """
+    return near_dedup.keep_one(docs, percent=NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands as often as the mix takes it."""
+    """A document stands as often as the mix takes it; a null source is a source, an empty text is taken for the whole passes only."""
     mixed = mixing.mix(docs)
     return mixed.where("repeats > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("__tw_time")).drop("__tw_time")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, with their number and the digests of ids and decoded bytes."""
+    """The token ids of every document, with their number and the digests of ids and decoded bytes; a null text has none.
+
+    A row for each row, equal or not, texts of any length whole; columns other than those named end here.
+    """
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
     return bpe.digests(encoded).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
