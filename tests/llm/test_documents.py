@@ -148,6 +148,19 @@ def test_covering_goes_on_after_a_refused_rule(spark):
     assert [str(r) for r in map(lambda r: r[0], rules)] == [str(r[0]) for r in quality.learn_rules(counted, known)]
 
 
+def test_quality_rows_are_placed_once(spark, monkeypatch):
+    """Labelled rows are dealt to their (feature, bin) once, however many conditions and refusals follow, and copies are one row."""
+    rows = [(i, 100, 500, 60 if i % 9 == 0 else 1, 0, 0, 10, 80 if i % 7 else 20, 5, 5, 600) for i in range(900)] * 3
+    counted = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    known = spark.createDataFrame([(i, 0 if i % 9 == 0 or i % 70 == 1 else 1) for i in range(900)], "doc_id long, quality int")
+    dealt, placed = [], quality.F.posexplode
+    monkeypatch.setattr(quality.F, "posexplode", lambda *a: dealt.append(a) or placed(*a))
+    rules = quality.learn_rules(counted, known)
+    assert len(dealt) == 1 and rules
+    judged = {r.doc_id: r.rule for r in quality.judge(counted, rules).collect()}
+    assert all(judged[i] > 0 for i in range(0, 900, 9))
+
+
 def test_decision_list_without_labels(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for r in quality.judge_documents(odd, empty).collect():

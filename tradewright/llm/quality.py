@@ -101,11 +101,10 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _counts(rows: DataFrame) -> dict[tuple[int, int], list[int]]:
-    """Rejected and kept rows by (feature, bin)."""
+def _counts(placed: DataFrame) -> dict[tuple[int, int], list[int]]:
+    """Rejected and kept rows by (feature, bin), from rows placed once for each feature."""
     out: dict[tuple[int, int], list[int]] = {}
-    for r in (rows.select(F.posexplode("bins").alias("f", "bin"), "bad").groupBy("f", "bin")
-              .agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")).collect()):        # features x bins at most
+    for r in placed.groupBy("f", "bin").agg(F.sum(F.col("bad") * F.col("n")).alias("p"), F.sum("n").alias("n")).collect():        # features x bins at most
         out[(r.f, r.bin)] = [int(r.p), int(r.n - r.p)]
     return out
 
@@ -114,11 +113,11 @@ def _bin(x: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.lit(cuts), lambda c: c <= x))
 
 
-def _grow(rows: DataFrame, first: dict[tuple[int, int], list[int]], cuts: dict[str, list[float]], place: dict[str, int], refused: set[tuple[str, bool]]) -> list[Condition]:
+def _grow(placed: DataFrame, first: dict[tuple[int, int], list[int]], cuts: dict[str, list[float]], place: dict[str, int], refused: set[tuple[str, bool]]) -> list[Condition]:
     """A conjunction that begins with none of the refused (feature, side); `first` holds the counts of all rows."""
     rule: list[Condition] = []
     while len(rule) < MAX_CONDITIONS:
-        by = _counts(rows.where(_all([c.over_bins(place) for c in rule]))) if rule else first
+        by = _counts(placed.where(_all([c.over_bins(place) for c in rule]))) if rule else first
         p0, n0 = (sum(v[i] for (f, _), v in by.items() if f == 0) for i in (0, 1))
         if not p0 or not n0:
             break
@@ -140,7 +139,7 @@ def _grow(rows: DataFrame, first: dict[tuple[int, int], list[int]], cuts: dict[s
 
 
 def _precision(rows: DataFrame, rule: list[Condition], place: dict[str, int]) -> tuple[int, int]:
-    r = rows.where(_all([c.over_bins(place) for c in rule])).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
+    r = rows.where(_all([c.over_bins(place) for c in rule])).agg(F.coalesce(F.sum(F.col("bad") * F.col("n")), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     return int(r.p), int(r.n - r.p)
 
 
@@ -162,19 +161,20 @@ def learn_rules(counted: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     cuts = {f: sorted({x for row in by_label for x in row[f]}) for f in own}
     # bin k holds the values from cut k-1 up to, not including, cut k
     bins = [_bin(F.col(f), cuts[f]) for f in own]
-    rows = cut_lineage(seen.select("bad", "held", F.array(*bins).alias("bins")))
-    uncovered = lambda known: rows.where(~_any([_all([c.over_bins(place) for c in r]) for r in known]))
+    # equal rows are one row with their number; those to grow on are placed by (feature, bin) once, and every count reads these
+    rows = cut_lineage(seen.select("bad", "held", F.array(*bins).alias("bins")).groupBy("bad", "held", "bins").agg(F.count(F.lit(1)).alias("n")))
+    placed = cut_lineage(rows.where(~F.col("held")).select("bad", "n", "bins", F.posexplode("bins").alias("f", "bin")))
+    uncovered = lambda part, known: part.where(~_any([_all([c.over_bins(place) for c in r]) for r in known]))
     rules: list[list[Condition]] = []
     refused: set[tuple[str, bool]] = set()
     # counted over all rows once: a refusal leaves them as they are, a rule takes away what it covers
-    first = _counts(rows.where(~F.col("held")))
+    first = _counts(placed)
     # bounded: MAX_RULES rules and a refusal for each feature and side, small jobs over the labelled rows
     while len(rules) < MAX_RULES:
-        left = uncovered(rules)
-        held = left.where("held")
+        left, held = uncovered(placed, rules), uncovered(rows.where("held"), rules)
         if _precision(held, [], place)[0] < MIN_SUPPORT:
             break                                                     # no rule could prove itself on what is left
-        rule = _grow(left.where(~F.col("held")), first, cuts, place, refused)
+        rule = _grow(left, first, cuts, place, refused)
         if not rule:
             break
         scored = []
@@ -186,7 +186,7 @@ def learn_rules(counted: DataFrame, labels: DataFrame) -> list[list[Condition]]:
             refused.add((rule[0].feature, rule[0].above))
         else:
             rule = rule[:-size]
-            gone = _counts(left.where(~F.col("held") & _all([c.over_bins(place) for c in rule])))
+            gone = _counts(left.where(_all([c.over_bins(place) for c in rule])))
             first = {k: [n - g for n, g in zip(v, gone.get(k, (0, 0)))] for k, v in first.items()}
             rules.append(rule)
     return rules
