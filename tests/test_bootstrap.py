@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,34 @@ def test_basket_scores_reach_the_whole_catalogue(spark, purchases):
     per = Counter(r.customer for r in adopted.collect())
     assert Counter(r.customer for r in dealt) == {c: min(3 * n, sum(1 for k, _ in want if k == c) - n) for c, n in per.items() if min(3 * n, sum(1 for k, _ in want if k == c) - n)}
     assert all((r.customer, r.item) in want for r in dealt) and not {(r.customer, r.item) for r in dealt} & {(r.customer, r.item) for r in adopted.collect()}
+
+
+def test_pairs_are_counted_where_the_item_is(spark, purchases, monkeypatch):
+    """No shuffle holds a row for a pair, and an item's neighbours are merged in bounded runs."""
+    df = spark.createDataFrame(purchases, "customer long, item long, date date, amount double, family string, type string")
+    plan = Y.similar_items(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item" in plan and "hashpartitioning(item#" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "other" in x]
+    full, few = Y.item_similarity(df).count(), Y.item_similarity(df, 3).count()
+    assert few < full
+    rows = [(i, 3, [i, 7, 8, 100 + b], [3, 2, 2, 1]) for i in (1, 2) for b in range(3)]
+    batches = [pd.DataFrame(rows[a:a + 2], columns=["item", "size", "others", "sizes"]) for a in range(0, 6, 2)]
+    for bound in (1, 5, 1000):
+        monkeypatch.setattr(Y, "PAIRS", bound)
+        got = [(i, s, o.tolist(), z.tolist(), n.tolist()) for i, s, o, z, n in Y._neighbours(iter(batches))]
+        assert got == [(i, 3, [7, 8, 100, 101, 102], [2, 2, 1, 1, 1], [3, 3, 1, 1, 1]) for i in (1, 2)]
+
+
+def test_scores_do_not_depend_on_blocks_tiles_or_runs(spark, purchases, monkeypatch):
+    at = F.lit(dt.date(2001, 3, 31))
+    df = spark.createDataFrame(purchases, "customer long, item long, date date, amount double, family string, type string")
+    lists = lambda: {(r.customer, r.rank): (r.item, round(r.score, 9)) for r in Y.knn_lists(df, at).collect()}
+    whole = lists()
+    for name, value in {"USERS": 40, "TILE": 64, "TILES": 7}.items():
+        monkeypatch.setattr(Y, name, value)
+    assert lists() == whole
+    left = pd.DataFrame({"item": [-1, 0, 2], "size": [0, 4, 2], "others": [[0, 1, 2], [1, 2], [0, 1]], "n": [[4, 3, 2], [2, 1], [1, 2]], "bonus": [[0.3, 0.2, 0.1], None, None]})
+    right = pd.DataFrame({"tile": 0, "customer": range(5), "items": [[0], [2], [0, 2], [], [9]], "wanted": [[]] * 5})
+    want = Y._tile_scores(None, False, 4)(left, right)
+    assert want.loc[(want.customer == 0) & (want.place == 1), "knn_sum"].tolist() == [2 / math.sqrt(12)]
+    monkeypatch.setattr(Y, "CELLS", 5)
+    pd.testing.assert_frame_equal(Y._tile_scores(None, False, 4)(left, right), want)
