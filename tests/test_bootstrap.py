@@ -139,3 +139,11 @@ def test_scores_do_not_depend_on_blocks_tiles_or_runs(spark, purchases, monkeypa
     assert want.loc[(want.customer == 0) & (want.place == 1), "knn_sum"].tolist() == [2 / math.sqrt(12)]
     monkeypatch.setattr(Y, "CELLS", 5)
     pd.testing.assert_frame_equal(Y._tile_scores(None, False, 4)(left, right), want)
+
+
+def test_unseen_items_of_equal_popularity_are_not_all_listed():
+    left = pd.DataFrame({"item": [-1, 3], "size": [0, 2], "others": [list(range(200)), [150]], "n": [[2] * 200, [1]], "bonus": [[0.2] * 50 + [0.1] * 150, None]})
+    right = pd.DataFrame({"tile": 0, "customer": [1, 2], "items": [[3], [0, 60]], "wanted": [[], []]})
+    got = Y._tile_scores(60, False, 200)(left, right)
+    places = {c: set(g.place) for c, g in got.groupby("customer")}
+    assert places[1] == set(range(50)) - {3} | {150} | set(range(50, 110)) and places[2] == set(range(1, 50)) | set(range(50, 111)) - {60}
