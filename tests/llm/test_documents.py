@@ -223,6 +223,22 @@ def test_byte_bpe(spark, odd, docs, none, most):
     assert bpe.encode(none).count() == 0
 
 
+def test_byte_bpe_long_words():
+    """Unbroken words of many letters cost no square of their length, and equal the library's."""
+    import random
+    import time
+    deal, coder = random.Random(7), brute.encoding()
+    ranks = bpe._ranks(bpe.public_tokenizers.path(bpe.RANKS))
+    for size in (1, 2, 3, 17, 400, 3000):
+        for letters in ("a", "ab", "abcdefghij", "éa\U0001f600"):
+            word = "".join(deal.choice(letters) for _ in range(size))
+            got = [i for w in bpe.regex.findall(bpe.spelled_pattern(), word) for i in bpe.merged(w.encode(), ranks)]
+            assert got == coder.encode_ordinary(word)
+    pieces, start = {i: p for p, i in ranks.items()}, time.time()
+    assert sum(len(pieces[i]) for i in bpe.merged(b"abcde" * 100_000, ranks)) == 500_000
+    assert time.time() - start < 60
+
+
 def test_model_scoring(spark, docs, odd, none):
     import zlib
     from collections import Counter

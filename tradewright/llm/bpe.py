@@ -1,157 +1,127 @@
-"""Byte-level BPE with given ranks, in Spark higher-order functions.
+"""Byte-level BPE with given ranks, in Arrow batches.
 
-Bytes stand as characters U+0000 to U+00FF, so a byte array is a string and joining bytes is joining strings. The rank
-map is a literal, an array of small maps picked by a hash. A word's merges are a fold: each step joins the leftmost adjacent pair
-of lowest rank. The distinct words of the whole table are counted, and the most frequent, at most `DICTIONARY` of
-them, are folded once and become a second map; a word outside it is folded where it stands. Decoding joins
-the pieces of the ids.
+A task cuts each text into words by the public pattern and joins, in each word, the leftmost adjacent pair of lowest rank until none
+is left: a queue of pairs, so a word costs its length times a logarithm, however long it is. A Python worker keeps the ids of words
+it has met, `KEPT` at most, and begins anew when they are full; no table of words is counted, shuffled or sent. Bytes stand as characters
+U+0000 to U+00FF for decoding, which joins the pieces of the ids in built-in functions.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewright.llm.common import carried, text_or_empty
-from tradewright.session import stored
+from tradewright.session import ship_package
 
 RANKS = "byte_bpe_50k.tiktoken"
-SHARDS = 16384
-DICTIONARY = 400_000
-DICTIONARY_SHARDS = 131072     # a few words each
-#: White space by Unicode's White_Space property, as a character class of Java.
-SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+KEPT = 400_000          # words a worker keeps
+LONGEST = 256           # characters of a word that is kept
+#: White space by Unicode's White_Space property, as a character class; Python's own class holds U+001C to U+001F too.
+SPACES = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
-def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
-    """The public pattern with \\s and \\S spelled out, which Java takes for ASCII only."""
+def spelled_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
+    """The public pattern with its white space spelled out."""
     return (pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"(?!\S)", f"(?![^{SPACES}])").replace(r"\s+", f"[{SPACES}]+"))
 
 
 @lru_cache(maxsize=4)
-def _ranks(path: str) -> dict[str, int]:
+def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f)}
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class Codec:
-    """The literals of one rank file, read on the driver."""
+    """The pieces of one rank file as a literal, read on the driver."""
 
     def __init__(self, path: str | None = None) -> None:
         ranks = _ranks(path or public_tokenizers.path(RANKS))
-        self.spark_shards: list[dict[str, int]] | None = None
-        self.ranks = ranks
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
-            pieces[rank] = piece
+            pieces[rank] = piece.decode("latin-1")
         self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
-    def rank_map(self, df: DataFrame) -> Column:
-        """The literal: an array of `SHARDS` maps; the shard of a piece is given by Spark's own hash."""
-        if self.spark_shards is None:
-            spark = df.sparkSession
-            shards: list[dict[str, int]] = [{} for _ in range(SHARDS)]
-            given = spark.createDataFrame([(k, v) for k, v in self.ranks.items()], "piece string, rank int")     # the vocabulary, of fixed size
-            for r in given.select("piece", "rank", _shard(F.col("piece")).alias("s")).collect():
-                shards[r.s][r.piece] = r["rank"]
-            self.spark_shards = shards
-        return F.from_json(F.lit(json.dumps(self.spark_shards)), "array<map<string,int>>")
 
+def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word of bytes. A part is known by its first byte; `ends` and `before` are its end and the part before it."""
+    n = len(raw)
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(ranks[raw[i:i + 2]], i, i + 2) for i in range(n - 1) if raw[i:i + 2] in ranks]
+    heapq.heapify(queue)
+    while queue:
+        _, at, end = heapq.heappop(queue)
+        # a pair that no longer stands as it was queued: its left part is gone, or one of the two has grown
+        if ends[at] < 0 or ends[at] >= end or ends[ends[at]] != end:
+            continue
+        ends[ends[at]], ends[at] = -1, end
+        if end < n:
+            before[end] = at
+            rank = ranks.get(raw[at:ends[end]])
+            if rank is not None:
+                heapq.heappush(queue, (rank, at, ends[end]))
+        if at:
+            left = before[at]
+            rank = ranks.get(raw[left:end])
+            if rank is not None:
+                heapq.heappush(queue, (rank, left, end))
+    return [ranks[raw[i:e]] for i, e in enumerate(ends) if e > 0]
+
+
+class Words(dict):
+    """Ids by word; what is missing is worked out, and kept while there is room."""
+
+    def __init__(self, ranks: dict[bytes, int], most: int) -> None:
+        super().__init__()
+        self.ranks, self.most = ranks, most
+
+    def __missing__(self, word: str) -> list[int]:
+        raw = word.encode()
+        whole = self.ranks.get(raw)
+        ids = [whole] if whole is not None else merged(raw, self.ranks)
+        if self.most and len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
+        return ids
 
-def _shard(piece: Column, shards: int = SHARDS) -> Column:
-    return F.pmod(F.hash(piece), F.lit(shards))
 
-
-def _look_up(maps: Column, piece: Column, shards: int = SHARDS) -> Column:
-    return F.try_element_at(F.get(maps, _shard(piece, shards)), piece)
-
-
-def as_bytes(text: Column) -> Column:
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def merged(word: Column, ranks: Column) -> Column:
-    """The ids of one word of bytes: a fold of merges over its characters.
-
-    The state holds the parts and, beside each, the rank of its pair with the next one; a merge looks up the two new pairs only.
-    """
-    def start(letters: Column) -> Column:
-        after = F.slice(letters, 2, F.greatest(F.size(letters), F.lit(1)))
-        return F.struct(letters.alias("parts"), F.zip_with(letters, after, lambda a, b: _look_up(ranks, F.concat(a, b))).alias("pairs"))
-
-    def step(state: Column, _: Column) -> Column:
-        low = F.array_min(state["pairs"])
-        return F.when(low.isNull(), state).otherwise(_let(F.array_position(state["pairs"], low).cast("int"), lambda at: join(state["parts"], state["pairs"], at)))
-
-    def join(parts: Column, pairs: Column, at: Column) -> Column:
-        # the parts `at` and the next one (counted from 1) become one; pairs on both sides of it are new
-        new = F.concat(F.get(parts, at - 1), F.get(parts, at))
-        longer = F.transform(parts, lambda p, i: F.when(i == at - 1, new).otherwise(p))
-        ranked = F.transform(pairs, lambda r, i: F.when(i == at - 2, _look_up(ranks, F.concat(F.get(parts, i), new))).when(i == at - 1, _look_up(ranks, F.concat(new, F.get(parts, at + 1)))).otherwise(r))
-        return F.struct(F.filter(longer, lambda _, i: i != at).alias("parts"), F.filter(ranked, lambda _, i: i != at).alias("pairs"))
-
-    def ids(raw: Column) -> Column:
-        letters = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
-        last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(raw) - 1, F.lit(1))), _let(letters, start), step)
-        return F.transform(last["parts"], lambda p: _look_up(ranks, p))
-    return _let(word, ids)
-
-
-def words(text: Column, pattern: str | None = None) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern or java_pattern()), F.lit(0))
-
-
-def dictionary(docs: DataFrame, codec: Codec, most: int = DICTIONARY) -> DataFrame:
-    """(word, ids) of the most frequent distinct words, `most` at the highest: those above a count that so many reach."""
-    counted = stored(docs.select(F.explode(words(text_or_empty())).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "word-counts")
-    level = F.floor(F.log2("n") * 16).cast("int")
-    total, least = 0, None
-    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):         # some hundred levels
-        total += r["count"]
-        if total > most:
-            break
-        least = r.level
-    common = counted.where(level >= F.lit(least if least is not None else 1 << 20)).select("word", as_bytes(F.col("word")).alias("bytes"))
-    ranks = codec.rank_map(docs)
-    ids = _let(ranks, lambda r: _whole_or_merged(F.col("bytes"), r))
-    return stored(common.select("word", ids.alias("ids")), "word-ids")
-
-
-def _whole_or_merged(raw: Column, ranks: Column) -> Column:
-    return _let(_look_up(ranks, raw), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(merged(raw, ranks)))
+@lru_cache(maxsize=4)
+def _words(path: str, most: int) -> Words:
+    """One for a worker, whatever number of tasks it runs."""
+    return Words(_ranks(path), most)
 
 
-def _as_value(known: DataFrame) -> Column:
-    """The dictionary as one value, an array of small maps: a scalar subquery of bounded size."""
-    by = known.groupBy(_shard(F.col("word"), DICTIONARY_SHARDS).alias("s")).agg(F.collect_list(F.struct("word", "ids")).alias("m"))
-    slots = known.sparkSession.range(DICTIONARY_SHARDS).select(F.col("id").cast("int").alias("slot"))
-    one = slots.join(by, F.col("slot") == F.col("s"), "left").agg(F.sort_array(F.collect_list(F.struct("slot", "m"))).alias("all"))
-    return one.select(F.transform("all", lambda x: F.map_from_entries(F.coalesce(x["m"], F.array().cast("array<struct<word:string,ids:array<int>>>"))))).scalar()
+def _encoded(path: str, pattern: str, most: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, cut = _words(path, most), regex.compile(pattern).findall
+        for texts in batches:
+            ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, cut(t.as_py().decode("utf-8", "replace")))), np.int32) for t in texts]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+    return run
 
 
-def encode(docs: DataFrame, path: str | None = None, most: int = DICTIONARY) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, most: int = KEPT) -> DataFrame:
     """The documents with `ids` (array<int>) added, as the tiktoken library encodes ordinary text by the same ranks.
 
     A null or empty text has no ids. Rows stay as they are, repeated or not; an empty table gives no rows, and a
     column named `ids` gives way.
     """
-    codec = Codec(path)
-    ranks, known = codec.rank_map(docs), _as_value(dictionary(docs, codec, most))
-    # each map stands once in the plan and is handed down by name
-    one = lambda word, r, c: F.coalesce(_look_up(c, word, DICTIONARY_SHARDS), _let(as_bytes(word), lambda raw: _whole_or_merged(raw, r)))
-    ids = _let(ranks, lambda r: _let(F.col("__tw_known"), lambda c: F.flatten(F.transform(words(text_or_empty()), lambda word: one(word, r, c)))))
-    return docs.withColumn("__tw_known", known).select(*carried(docs, "ids"), ids.alias("ids"))
+    ship_package(docs.sparkSession)
+    run = F.arrow_udf(_encoded(path or public_tokenizers.path(RANKS), spelled_pattern(), most), "array<int>")
+    return docs.select(*carried(docs, "ids"), run(text_or_empty().cast("binary")).alias("ids"))
 
 
 def decode(ids: Column, codec: Codec) -> Column:
