@@ -329,3 +329,11 @@ def test_scores_do_not_depend_on_the_size_of_the_pair_table(docs, monkeypatch):
     monkeypatch.setattr(lm, "PAIRS", 300)
     cut = {r.doc_id: r.score for r in lm.score_documents(some).collect()}
     assert cut == {d: pytest.approx(x, rel=1e-5) for d, x in whole.items()}
+
+
+def test_windows_are_equal_where_their_words_are(spark):
+    """op9: a word is hashed once for all windows it stands in; it was hashed once for each."""
+    words = [["a", "b"] * 9, [str(i % 9) for i in range(40)], list("abcdefgh"), ["x"] * 7, []]
+    for r in spark.createDataFrame([(w,) for w in words], "w array<string>").select("w", quality._windows(F.col("w")).alias("h")).collect():
+        runs = [tuple(r.w[i:i + quality.WINDOW]) for i in range(len(r.w) - quality.WINDOW + 1)]
+        assert len(r.h) == len(runs) and len(set(zip(r.h, runs))) == len(set(runs)) == len(set(r.h))

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewright.functions.rules import let
 from tradewright.llm.common import carried, text_or_empty, words_of
 from tradewright.session import cut_lineage, stored
 
@@ -29,6 +30,15 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_lines", "n_distinct_words", "n_digits", "n_upper", "n_chars_all")
 
 
+def _windows(words: Column) -> Column:
+    """A hash of each run of `WINDOW` words, a power of two: hashes of neighbouring runs are joined until they are long enough, so a word is hashed once."""
+    def joined(hashes: Column, width: int) -> Column:
+        if width == WINDOW:
+            return F.slice(hashes, 1, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
+        return let(F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + width))), lambda longer: joined(longer, 2 * width))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: joined(hashes, 1))
+
+
 def _repeat_words(windows: str) -> Column:
     """Words in windows whose hash occurs twice or more; the windows are ranked by (hash, place), so cost is n log n."""
     w = F.col(windows)
@@ -45,20 +55,18 @@ def _repeat_words(windows: str) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """The documents with the counts of `COUNTS` (long) added; a null text counts as empty."""
     text = text_or_empty()
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    with_words = docs.select(*carried(docs, *COUNTS), words_of(F.col("text")).alias("__tw_words"), bare.alias("__tw_bare"), lines.alias("__tw_lines"))
+    with_words = docs.select(*carried(docs, *COUNTS), words_of(F.col("text")).alias("__tw_words"), lines.alias("__tw_lines"))
     n = F.size("__tw_words")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("__tw_words"), i, WINDOW)))).otherwise(
-        F.array().cast("array<bigint>"))
-    cut = with_words.withColumn("__tw_windows", windows)
+    bare = F.array_join("__tw_words", "")
+    cut = with_words.withColumns({"__tw_windows": _windows(F.col("__tw_words")), "__tw_bare": bare})
+    without = lambda kind: F.length("__tw_bare") - F.length(F.regexp_replace("__tw_bare", f"[{kind}]+", ""))
     repeats = F.size(F.array_distinct("__tw_windows")) < F.size("__tw_windows")
     counts = {
-        "n_words": n, "word_chars": F.length("__tw_bare"), "n_symbols": F.length("__tw_bare") - F.length(F.translate("__tw_bare", SYMBOLS, "")),
+        "n_words": n, "word_chars": F.length("__tw_bare"), "n_symbols": without(SYMBOLS),
         "n_dup_lines": F.size("__tw_lines") - F.size(F.array_distinct("__tw_lines")), "n_repeat_words": F.when(repeats, _repeat_words("__tw_windows")).otherwise(0),
         "n_lines": F.size("__tw_lines"), "n_distinct_words": F.size(F.array_distinct("__tw_words")),
-        "n_digits": F.length("__tw_bare") - F.length(F.translate("__tw_bare", "0123456789", "")),
-        "n_upper": F.length("__tw_bare") - F.length(F.translate("__tw_bare", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), "n_chars_all": F.length(F.coalesce(F.col("text"), F.lit("")))}
+        "n_digits": without("0-9"), "n_upper": without("A-Z"), "n_chars_all": F.length(F.coalesce(F.col("text"), F.lit("")))}
     return cut.select(*carried(docs, *COUNTS), *[c.cast("long").alias(k) for k, c in counts.items()])
 
 
