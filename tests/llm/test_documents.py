@@ -1,6 +1,8 @@
 """Mixing, line dedup, near dedup, quality rules, language id, BPE and model scoring against plain Python."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +225,15 @@ def test_byte_bpe(spark, odd, docs, none, most):
     assert bpe.encode(none).count() == 0
 
 
+def test_byte_bpe_ascii_words():
+    """Texts of ASCII are cut by a plain pattern into the same words."""
+    r = random.Random(3)
+    plain = re.compile(bpe.ascii_pattern(bpe.spelled_pattern())).findall
+    for _ in range(300):
+        text = "".join(r.choice(["'s", "'ll", "'", " ", "  ", "\n", "\r\n", "\x1c", "\x0b", "\x00", "a", "Zz", "09", "_", "-.", "\x7f"]) for _ in range(80))
+        assert plain(text) == bpe.regex.findall(bpe.spelled_pattern(), text)
+
+
 def test_byte_bpe_long_words():
     """Unbroken words of many letters cost no square of their length, and equal the library's."""
     import random

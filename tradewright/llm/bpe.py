@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -37,6 +38,11 @@ def spelled_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
     return (pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"(?!\S)", f"(?![^{SPACES}])").replace(r"\s+", f"[{SPACES}]+"))
 
 
+def ascii_pattern(pattern: str) -> str:
+    """The spelled pattern for texts of ASCII alone, where it cuts alike: all its classes are ranges, so the plain `re` can run it."""
+    return pattern.replace(SPACES, r"\t-\r ").replace(r"[^\t-\r \p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+
+
 @lru_cache(maxsize=4)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -105,9 +111,13 @@ def _words(path: str, most: int) -> Words:
 
 def _encoded(path: str, pattern: str, most: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, cut = _words(path, most), regex.compile(pattern).findall
+        known, cut, cut_ascii = _words(path, most), regex.compile(pattern).findall, re.compile(ascii_pattern(pattern)).findall
         for texts in batches:
-            ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, cut(t.as_py().decode("utf-8", "replace")))), np.int32) for t in texts]
+            ids = []
+            for t in texts:
+                text = t.as_py().decode("utf-8", "replace")
+                words = cut_ascii(text) if text.isascii() else cut(text)
+                ids.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
     return run
