@@ -198,3 +198,14 @@ def test_invoice_text(spark):
     assert (r.number, r.date, r.ht, r.vat, r.ttc, r.net, r.currency) == ("F-2026-118", dt.date(2026, 3, 12), 1234.5, 234.555, 1469.055, 1470.055, "TND")
     bad = text.replace("1 469,055", "1 969,055")
     assert N.extract_fields(spark.createDataFrame([(1, bad)], "id int, text string")).first().ttc == 1469.055
+
+
+def test_text_search_moves_no_weights_of_other_terms(spark):
+    """The same rows as by the whole index, also for repeated, missing and empty keys and texts; texts are shuffled by key alone."""
+    from tradewright.operators import text as T
+    rows = [(1, "alpha beta gamma"), (1, "alpha delta"), (2, "beta beta gamma"), (None, "alpha beta"), (None, "gamma"), (3, ""), (4, None), (5, "omega psi chi")]
+    docs, asked = spark.createDataFrame(rows, "doc int, text string"), spark.createDataFrame([(7, "alpha beta"), (8, "gamma unknown"), (9, None)], "item int, text string")
+    got = T.text_search(docs, ["doc"], "text", asked, "item", "text", floor=0.0)
+    index, idf = T.tfidf_index(docs, ["doc"], "text")
+    want = T.tfidf_search(index, idf, asked, "item", "text", ["doc"], floor=0.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
