@@ -4,6 +4,8 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,13 +86,13 @@ def test_lists_of_a_wide_catalogue_make_no_cell_for_every_item(spark, monkeypatc
     assert first[7] == 61 and first[0] == 11                # the least of those that one neighbour alone owns
 
 
-def test_a_customer_with_far_more_entries_is_worked_on_in_parts(monkeypatch):
-    import numpy as np
-    import pyarrow as pa
+def test_listings_leave_in_small_batches_and_heavy_customers_are_worked_on_in_parts(monkeypatch):
     rng = np.random.default_rng(3)
     rows = [sorted(rng.choice(40, size=rng.integers(1, 12), replace=False).tolist()) for _ in range(50)]
     users = [[u for u, b in enumerate(rows) if i in b] for i in range(40)]
 
+    monkeypatch.setattr(walk, "ROWS", 100)
+
     def scores(step):
         monkeypatch.setattr(walk, "STEP", step)
         n = len(rows)
@@ -100,7 +102,8 @@ def test_a_customer_with_far_more_entries_is_worked_on_in_parts(monkeypatch):
         asks = [pa.array([-1] * n), pa.array(range(n)), pa.array(rows, pa.list_(pa.int32())), none(pa.int32()), none(pa.int32()), none(pa.float64()), none(pa.int64())]
         tile = [pa.array([0]), pa.nulls(1, pa.int64()), pa.array([list(range(40))], pa.list_(pa.int32())), pa.array([[len(x) for x in users]], pa.list_(pa.int32())),
                 pa.array([[u for x in users for u in x]], pa.list_(pa.int32())), none(pa.float64(), 1), none(pa.int64(), 1)]
-        out = walk._walked(None, True, [0, 40])([pa.RecordBatch.from_arrays(x, names) for x in (shelf, asks, tile)])
+        out = list(walk._walked(None, True, [0, 40])(iter([pa.RecordBatch.from_arrays(x, names) for x in (shelf, asks, tile)])))
+        assert max(b.num_rows for b in out) <= 100 + 40
         return {(r["customer"], r["item"]): (r["knn_sum"], r["knn_max"]) for b in out for r in b.to_pylist()}
     whole, parts = scores(1 << 18), scores(1)
     assert set(whole) == set(parts) and len(whole) == 50 * 40 - sum(map(len, rows))
